@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagewright.llm.bpe import op10_byte_level_bpe
 from pagewright.llm.packing import op4_best_fit_packing
+from pagewright.llm.rules import op8_quality_rules
 from pagewright.llm.simhash import op1_simhash_near_dedup
+from pagewright.llm.sketch import op5_document_fingerprints
+from pagewright.llm.token_store import op6_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op4_best_fit_packing": op4_best_fit_packing,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op4_best_fit_packing,
+        op5_document_fingerprints,
+        op6_token_ids,
+        op8_quality_rules,
+        op10_byte_level_bpe,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
