@@ -28,7 +28,17 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
-        df.write.parquet(path)
+        clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+        try:  # the table holds the result, so the shuffle files behind it go when it is written
+            was = self.spark.conf.get(clean)
+            self.spark.conf.set(clean, "true")
+        except Exception:  # a Spark without this setting removes them later
+            was = None
+        try:
+            df.write.parquet(path)
+        finally:
+            if was is not None:
+                self.spark.conf.set(clean, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]  # ids stay unique while the frames live
