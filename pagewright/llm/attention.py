@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, HEADS = 16, 2
+BLOCK, HEADS = 16, 1
 Params = dict[str, np.ndarray]
 
 
-def init(vocabulary: int, classes: int, dim: int, hidden: int, counts: np.ndarray, seed: int = 7) -> Params:
+def init(vocabulary: int, classes: int, dim: int, hidden: int, counts: np.ndarray, seed: int = 7, keys: int = 8, values: int = 16) -> Params:
     """counts: how often each id occurs; its place in the order of frequency fixes an id's class."""
     r, each = np.random.default_rng(seed), -(-vocabulary // classes)
 
@@ -31,8 +31,8 @@ def init(vocabulary: int, classes: int, dim: int, hidden: int, counts: np.ndarra
     with np.errstate(divide="ignore"):
         within = np.where(by > 0, np.log(by / by.sum(1, keepdims=True)), -30)
     return {
-        "slot": slot, "emb": normal(vocabulary, dim, scale=0.3), "q": normal(dim, dim, scale=dim**-0.5), "k": normal(dim, dim, scale=dim**-0.5),
-        "v": normal(dim, dim, scale=dim**-0.5), "o": normal(dim, dim, scale=0.1 * dim**-0.5), "dist": np.zeros((HEADS, 2 * BLOCK), np.float32),
+        "slot": slot, "emb": normal(vocabulary, dim, scale=0.3), "q": normal(dim, keys, scale=dim**-0.5), "k": normal(dim, keys, scale=dim**-0.5),
+        "v": normal(dim, values, scale=dim**-0.5), "o": normal(values, dim, scale=0.1 * values**-0.5), "dist": np.zeros((HEADS, 2 * BLOCK), np.float32),
         "w1": normal(dim, hidden, scale=dim**-0.5), "b1": np.zeros(hidden, np.float32), "w2": normal(hidden, dim, scale=0.1 * hidden**-0.5),
         "cw": normal(dim, classes, scale=0.05), "cb": np.log(by.sum(1) / by.sum()).astype(np.float32),
         "iw": normal(classes, dim, each, scale=0.05), "ib": within.astype(np.float32),
@@ -80,7 +80,7 @@ def forward(p: Params, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     """(states at each position, what backward needs)."""
     x = p["emb"][given]
     q, k, v = _heads(x @ p["q"]), _with_previous(_heads(x @ p["k"]), first), _with_previous(_heads(x @ p["v"]), first)
-    scale = np.float32((x.shape[2] // HEADS) ** -0.5)
+    scale = np.float32((p["q"].shape[1] // HEADS) ** -0.5)
     s = np.matmul(q, k.transpose(0, 1, 3, 2)) * scale
     s += np.where(_CAUSAL, p["dist"][:, _DIST], np.float32(-1e9))
     s[first, :, :, :BLOCK] = -1e9
@@ -99,16 +99,48 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _states(p: Params, given: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The states that `forward` gives, with fewer passes over memory; scores are too small to overflow."""
+    x = p["emb"][given]
+    scale = np.float32((p["q"].shape[1] // HEADS) ** -0.5)
+    q, k, v = _heads(x @ (p["q"] * scale)), _with_previous(_heads(x @ p["k"]), first), _with_previous(_heads(x @ p["v"]), first)
+    s = np.matmul(q, k.transpose(0, 1, 3, 2))
+    s += np.where(_CAUSAL, p["dist"][:, _DIST], np.float32(-1e9))
+    np.minimum(s, 60, out=s)
+    np.exp(s, out=s)
+    s[first, :, :, :BLOCK] = 0
+    a = np.matmul(s, v)
+    a /= s.sum(-1, keepdims=True)
+    y = x + _back(a) @ p["o"]
+    u = y @ p["w1"]
+    u += p["b1"]
+    np.maximum(u, 0, out=u)
+    y += u @ p["w2"]
+    return y
+
+
+def _picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log softmax at one place of each row; z is overwritten."""
+    got = z[np.arange(len(which)), which]
+    np.clip(z, -80, 80, out=z)
+    np.exp(z, out=z)
+    return got - np.log(z.sum(1))
+
+
 def log_probabilities(p: Params, z: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Natural log probabilities of goal (ids) given states z (rows)."""
     each = p["ib"].shape[1]
-    c, w = p["slot"][goal] // each, p["slot"][goal] % each
-    out = _log_softmax(z @ p["cw"] + p["cb"])[np.arange(len(c)), c]
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(p["cb"].shape[0] + 1))
-    for k in np.unique(c).tolist():
-        rows = order[edges[k] : edges[k + 1]]
-        out[rows] += _log_softmax(z[rows] @ p["iw"][k] + p["ib"][k])[np.arange(len(rows)), w[rows]]
+    slot = p["slot"][goal]
+    c, w = slot // each, slot % each
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    z, c, w = z[order], c[order], w[order]
+    lp = _picked(z @ p["cw"] + p["cb"], c)
+    edges = np.searchsorted(c, np.arange(p["cb"].shape[0] + 1)).tolist()
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        if a < b:
+            lp[a:b] += _picked(z[a:b] @ p["iw"][k] + p["ib"][k], w[a:b])
+    out = np.empty(len(lp))
+    out[order] = lp
     return out
 
 
@@ -117,20 +149,15 @@ def score(p: Params, texts: list[np.ndarray], end: int) -> np.ndarray:
     given, goal, first = layout(texts, end)
     place = np.repeat(np.arange(len(texts)), [-(-(len(t) + 1) // BLOCK) for t in texts])
     out = np.zeros(len(texts))
-    starts = np.flatnonzero(first)
-    at = 0
-    while at < len(first):  # about 1,024 blocks at a time; a cut text goes on with the block before as context
-        to = min(at + 1024, len(first))
+    for at in range(0, len(first), 512):  # a cut text goes on with the block before as context
+        to = min(at + 512, len(first))
         lo = at if first[at] else at - 1
         f = first[lo:to].copy()
         f[0] = True
-        z, _ = forward(p, given[lo:to], f)
-        z = z[at - lo :]
+        z = _states(p, given[lo:to], f)[at - lo :]
         there = goal[at:to] >= 0
         lp = log_probabilities(p, z[there], goal[at:to][there])
         out += np.bincount(np.broadcast_to(place[at:to, None], there.shape)[there], lp, len(texts))
-        at = to
-    assert len(starts) == len(texts)
     return out
 
 
