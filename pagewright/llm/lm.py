@@ -38,7 +38,7 @@ from pagewright.llm.atoms import AtomEncoder, byte_names
 from pagewright.llm.common import Scratch, read, slices, texts_of
 
 VOCABULARY, CLASSES, DIM, HIDDEN = 2048, 64, 32, 64
-WARM, WARM_STEPS, SHARE, IDS_A_PART = 600, 1500, 64, 1_000_000
+WARM, WARM_STEPS, SHARE, IDS_A_PART = 2000, 2500, 64, 1_000_000
 HOT_WORDS = 1 << 18
 _CODERS: dict[tuple[str, int], AtomEncoder] = {}
 

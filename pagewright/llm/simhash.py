@@ -12,8 +12,8 @@ fingerprints can, hence no bucket, however full, is paired out and no link is lo
 
 Cases. A null or blank text has fingerprint zero and is linked like any other; one or two words are one shingle;
 repeated documents share a fingerprint; repeated doc_ids each keep their row; rows with a null doc_id keep their
-fingerprint and get their group's component, and do not name it (null if the group has no id). Other columns are
-carried through by `simhash_components` callers by doc_id. An empty table gives an empty result.
+fingerprint and get their group's component, and do not name it (component_id is null if no row of it has an id).
+`one_of_each` carries all other columns, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,14 +60,15 @@ def masks(radius: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id long, fp long), a row for each row of docs."""
+    """(doc_id long, key long, fp long), a row for each row of docs; key: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = [signed(fingerprint(t, words)) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fp, pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    return docs.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def links(scratch: Scratch, distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -89,16 +90,31 @@ def links(scratch: Scratch, distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id long, fp long, fingerprint string, component_id long), a row for each row."""
+    """docs (doc_id, text) -> (doc_id, key, fp, fingerprint, component, component_id), a row for each row.
+
+    key: a hash of the text; component: the smallest fingerprint reachable; component_id: the smallest doc_id.
+    """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.table(fingerprints(docs, words))
-    distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    comp = components(scratch, links(scratch, distinct, radius))
-    named = scratch.table(
-        distinct.join(comp, "node", "left").select(F.col("fp").alias("f"), F.coalesce("component", "node").alias("component_id"))
-    )
-    out = fps.join(named, fps.fp == named.f, "left")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("d")))
+    comp = components(scratch, links(scratch, distinct.select("fp", F.col("fp").alias("node")), radius))
+    named = distinct.join(comp, distinct.fp == comp.node, "left").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("component"), "d")
+    named = scratch.table(named)
+    least = scratch.table(named.groupBy(F.col("component").alias("c")).agg(F.min("d").alias("component_id")))
+    named = scratch.table(named.join(least, F.col("component") == F.col("c")).select("f", "component", "component_id"))
+    out = fps.join(named, fps.fp == named.f)
+    return out.select("doc_id", "key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """docs with all columns: of each component the first row by doc_id (null ids last) and text hash."""
+    scratch = Scratch(docs.sparkSession)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "key")
+    first = simhash_components(docs, words, radius).groupBy("component").agg(F.min(order).alias("o"))
+    first = scratch.table(first.select(F.col("o.doc_id").alias("_f_doc"), F.col("o.key").alias("_f_key")))
+    own = docs.withColumn("_f_own", F.xxhash64("text"))
+    on = (F.col("_f_own") == F.col("_f_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_f_doc"))
+    return own.join(first, on).dropDuplicates(["_f_doc", "_f_key"]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
