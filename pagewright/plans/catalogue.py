@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.operators import relational
+from pagewright.plans import grouped
 from pagewright.sources import fixtures
 
 HIDDEN_STEPS = {"features": "ocr_features", "hist": "image_hist_features"}
@@ -34,3 +35,5 @@ ORACLE_SQL: dict[str, str] = {}
 for _name in relational.TEXTS:
     QUERIES[HIDDEN_STEPS.get(_name, _name)] = partial(_relational, _name)
     ORACLE_SQL[HIDDEN_STEPS.get(_name, _name)] = relational.second_engine(_name, fixtures.duck)
+for _name, (_query, _sql) in grouped.ALL.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _query, _sql
