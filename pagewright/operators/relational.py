@@ -134,7 +134,7 @@ IMAGE_KINDS = re.sub(r"RAMP\((\w+),([\d.]+),([\d.]+)\)", lambda m: ramp(m[1], fl
 
 #: PNG predictor Up undone (bytes mod 256 by column); X4: block averages; P22: /Decode flip
 PNG_PREDICTOR_UP = "SELECT bmp_id, y, x, sum(grey) OVER (PARTITION BY bmp_id, x ORDER BY y ROWS UNBOUNDED PRECEDING)%256 AS byte FROM {bitmaps} b"
-BLOCK_AVERAGE = "SELECT bmp_id, by, bx, CAST(floor((sum(grey)+2)/4.0) AS BIGINT) AS grey FROM (SELECT bmp_id, CAST(floor(y/2.0) AS BIGINT) AS by, CAST(floor(x/2.0) AS BIGINT) AS bx, grey FROM {bitmaps} b) a GROUP BY bmp_id, by, bx"
+BLOCK_AVERAGE = "SELECT bmp_id, yb, xb, CAST(floor((sum(grey)+2)/4.0) AS BIGINT) AS grey FROM (SELECT bmp_id, CAST(floor(y/2.0) AS BIGINT) AS yb, CAST(floor(x/2.0) AS BIGINT) AS xb, grey FROM {bitmaps} b) a GROUP BY bmp_id, yb, xb"
 DECODE_FLIP = "SELECT bmp_id, y, x, 255-grey AS grey FROM {bitmaps} b"
 
 #: evaluation
