@@ -57,7 +57,7 @@ def fit(rows: list[tuple[list[bytes], int | None, int | None]], steps: int = 120
     names = [f for f, n in docs.most_common(MAX_WORDS) if n >= MIN_DOCS]
     at = {f: k for k, f in enumerate(names)}
     cols = [np.array([at[f] for f in r[0] if f in at], np.int64) for r in rows]
-    size = np.array([len(c) for c in cols])
+    size = np.array([len(c) for c in cols], np.int64)
     flat = np.concatenate(cols) if cols else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), size)
     weights, bias = np.zeros((len(names), 2)), [0.0, 0.0]
