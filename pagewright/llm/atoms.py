@@ -5,7 +5,8 @@ two non-space characters: the space opens the match to its right, and no match t
 ids of a text are those of its parts, each encoded with its space, one after another. Texts with parts that touch
 further white space are encoded in stretches that reach from one such place to the next, so the result is always
 that of the whole text. Each batch's distinct parts are looked up once (Arrow does the splitting and the
-dictionary), and a text's ids are gathered from them by numpy. The caches are bounded; they only save time.
+dictionary), and a text's ids are gathered from them by numpy. The caches are bounded, keep what came first, which
+holds the frequent parts, and start anew where most parts are missing; they only save time.
 """
 
 from __future__ import annotations
@@ -41,9 +42,7 @@ class AtomEncoder:
         v = self.pieces.get(p)
         if v is None:
             v = self.encode_piece(p)
-            if len(p) <= LONGEST:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
+            if len(p) <= LONGEST and len(self.pieces) < CACHE:
                 self.pieces[p] = v
         return v
 
@@ -57,9 +56,7 @@ class AtomEncoder:
             v = self._piece(" " + p[:-1]) + self._piece(p[-1])
         else:
             v = self.encode(" " + p)
-        if len(p) <= LONGEST:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
+        if len(p) <= LONGEST and len(self.parts) < CACHE:
             self.parts[p] = v
         return v
 
@@ -86,6 +83,9 @@ class AtomEncoder:
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = list(map(self.parts.get, names))
         if None in values:
+            if len(self.parts) >= CACHE and 2 * values.count(None) > len(values):  # other texts than those the caches were filled with
+                self.parts.clear()
+                self.pieces.clear()
             for k, v in enumerate(values):
                 if v is None:
                     values[k] = self._part(names[k])

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import Scratch
 
 
+#: edges up to which a round is one job
+SMALL = 100_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v").cast("decimal(38,0)")
     return tuple(edges.agg(F.count("*"), F.sum(h)).first())
@@ -31,17 +35,20 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 100) -> Dat
     if before[0] == 0:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
+        # a few edges cannot be skewed by much, so their round is one job; else each half writes its minima, which
+        # leaves both sides of a join exchanges that adaptive execution splits
+        keep = scratch.table if before[0] > SMALL else lambda df: df
         # large star: every larger neighbour of a node is linked to the smallest of the node and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
-        large = scratch.table(
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+        large = keep(
             both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         # small star: every smaller neighbour of a node, and the node, are linked to the smallest of them
-        lower = scratch.table(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")))
+        lower = keep(large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")))
         star = large.join(lower, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.table(star.union(lower.select("n", "m")).distinct())
-        scratch.drop(e, least, large, lower)
+        scratch.drop(e, *([least, large, lower] if before[0] > SMALL else []))
         e, now = after, _digest(after)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

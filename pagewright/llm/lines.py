@@ -5,11 +5,10 @@ Every line that isn't blank is stripped and named by 128 bits of hash. Distinct
 pairs are verified on the exact shingle sets; verified links are closed by distributed union-find; the first line of
 each component, by document and place, stays.
 
-Full bands. The lines of a bucket are never paired out. In a round each bucket has a leader, the smallest line (by a
-hash of bucket and line) outside the bucket's smallest component, and the leader is verified against those lines of
-the bucket that aren't in its component; links are closed after the round. A bucket all of whose lines are in one
-component is done. After the rounds each line outside the bucket's largest component is verified against all lines
-of other components, so every candidate pair that could still join two components has been compared.
+Full bands. The lines of a bucket are not paired out. First each bucket has a leader, the smallest line by a hash of
+bucket and line, which is verified against all other lines of the bucket; links are closed after that. A bucket all
+of whose lines are in one component is done. Then each line outside the bucket's largest component is verified against all lines
+of other components of the bucket, so every candidate pair that could still join two components has been compared.
 
 Cases. A null text is empty. Blank lines stay. A line shorter than a shingle is one shingle, so it matches itself
 alone. Rows of the same id and text are one document: they keep the same lines. Null ids come first. Other columns
@@ -31,7 +30,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pagewright.llm.common import Scratch, read, slices, texts_of
 from pagewright.llm.components import components
 
-SHINGLE, BANDS, ROWS, LIKENESS, ROUNDS = 9, 10, 5, 0.8, 3
+SHINGLE, BANDS, ROWS, LIKENESS, ROUNDS = 9, 10, 5, 0.8, 1
 STEP = 1 << 16
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,7 +172,7 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
             state = members.join(comp, members.line == comp.node, "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
         state = scratch.table(state)
         # one row a bucket and component, then those of buckets with several
-        sizes = scratch.table(state.groupBy("bucket", "c").agg(F.count("*").alias("n")))
+        sizes = state.groupBy("bucket", "c").agg(F.count("*").alias("n"))
         top = F.max_by("c", F.struct("n", "c")) if turn else F.min("c")
         several = scratch.table(sizes.groupBy(F.col("bucket").alias("k")).agg(top.alias("top"), F.count("*").alias("m")).where("m > 1").select("k", "top"))
         if several.limit(1).count() == 0:
@@ -185,7 +184,9 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
             outside = outside.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", F.col("o.line").alias("l"), F.col("o.c").alias("lc"))
         else:
             outside = outside.select("bucket", F.col("line").alias("l"), F.col("c").alias("lc"))
-        outside = scratch.table(outside.select(F.col("bucket").alias("k"), "l", "lc"))
+        outside = outside.select(F.col("bucket").alias("k"), "l", "lc")
+        if turn == ROUNDS:
+            outside = scratch.table(outside)
         pairs = state.join(outside, F.col("bucket") == F.col("k")).where("c <> lc").select(F.least("line", "l").alias("a"), F.greatest("line", "l").alias("b")).distinct()
         new = scratch.table(verified(pairs, bodies))
         found = new if found is None else scratch.table(found.union(new))

@@ -149,7 +149,7 @@ def write_dataset(scratch: Scratch, docs: DataFrame, tokenizer: str, end_id: int
                     yield from flush()
         yield from flush()
 
-    ranged = held.repartitionByRange(max(1, min(rows, -(-total // ids_a_file))), "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ranged = held.repartitionByRange(max(1, min(rows, -(-total // ids_a_file))), "doc_id").sortWithinPartitions("doc_id", "ids")
     files = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, piece int, body binary")
     out = scratch.table(files)
     scratch.drop(held)
