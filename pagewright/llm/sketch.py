@@ -78,10 +78,12 @@ def as_string(s: Column) -> Column:
 def successors(ids: DataFrame, bits: int = 9) -> DataFrame:
     """ids (id long, distinct) -> (id, next_id), the last one's being the first: by buckets of 2^bits, then over buckets.
 
-    No task orders more than 2^bits ids, whatever their spread.
+    No task orders more than 2^bits ids, whatever their spread. Buckets are of unsigned ids, so that those of negative
+    and other ids meet at last.
     """
+    bucket = F.shiftrightunsigned(F.col("id").bitwiseXOR(F.lit(-(1 << 63))), bits)
     first = F.first("id").over(Window.partitionBy("b").orderBy("id"))
-    rows = ids.withColumn("b", F.shiftright("id", bits)).withColumn("n", F.lead("id").over(Window.partitionBy("b").orderBy("id"))).withColumn("f", first)
+    rows = ids.withColumn("b", bucket).withColumn("n", F.lead("id").over(Window.partitionBy("b").orderBy("id"))).withColumn("f", first)
     firsts = rows.where("id = f").select("b", "f")
     if firsts.limit(2).count() < 2:
         return rows.select("id", F.coalesce("n", "f").alias("next_id"))
