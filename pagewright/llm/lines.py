@@ -33,8 +33,9 @@ from pagewright.llm.components import components
 SHINGLE, BANDS, ROWS, LIKENESS, ROUNDS = 9, 10, 5, 0.8, 1
 STEP = 1 << 16
 _RNG = np.random.default_rng(20)
-_A = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: h -> a h + b modulo 2^32, a odd: one permutation of the upper half of shingle values for each minimum
+_A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _POWERS = [np.uint64(pow(0x100000001B3, k, 1 << 64)) for k in range(SHINGLE)]
 
 
@@ -49,8 +50,12 @@ def shingle_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     padded = np.concatenate([codes, np.zeros(SHINGLE, np.uint64)])
-    rolled = np.zeros(len(codes), np.uint64)
-    for k in range(SHINGLE):
+    rolled, width = padded, 1
+    while 2 * width <= SHINGLE:  # of 1, 2, 4 .. codes
+        rolled = rolled[: len(rolled) - width] + rolled[width:] * _POWERS[width]
+        width *= 2
+    rolled = rolled[: len(codes)].copy()
+    for k in range(width, SHINGLE):
         rolled += padded[k : k + len(codes)] * _POWERS[k]
     begin, n = np.cumsum(size) - size, np.maximum(1, size - SHINGLE + 1)
     starts = np.cumsum(n) - n
@@ -62,24 +67,52 @@ def shingle_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """lines x BANDS keys (signed 64-bit)."""
-    out = np.empty((len(lines), BANDS), np.int64)
+    least = np.empty((BANDS * ROWS, len(lines)), np.uint64)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     cut = np.flatnonzero(np.diff(np.concatenate([[-1], np.cumsum(size) // STEP])))  # lines in runs of about STEP characters
     for lo, hi in zip(cut, [*cut[1:], len(lines)]):
         values, starts = shingle_values(lines[lo:hi])
-        for band in range(BANDS):
-            key = np.full(hi - lo, (band + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
-            for k in range(band * ROWS, (band + 1) * ROWS):
-                key = _mix(key ^ np.minimum.reduceat((values * _A[k] + _B[k]) >> np.uint64(32), starts))
-            out[lo:hi, band] = key.view(np.int64)
+        upper = (values >> np.uint64(32)).astype(np.uint32)
+        h = np.empty_like(upper)
+        for k in range(BANDS * ROWS):
+            np.multiply(upper, _A[k], out=h)
+            np.add(h, _B[k], out=h)
+            least[k, lo:hi] = np.minimum.reduceat(h, starts)
+    out = np.empty((len(lines), BANDS), np.int64)
+    for band in range(BANDS):
+        key = np.full(len(lines), (band + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = _mix(key ^ least[k])
+        out[:, band] = key.view(np.int64)
     return out
 
 
+def likenesses(xs: list[str], ys: list[str]) -> np.ndarray:
+    """Jaccard likeness of the shingle sets of each pair of lines, of STEP characters and a line at a time."""
+    out, lo, held = np.empty(len(xs)), 0, 0
+    for hi, (x, y) in enumerate(zip(xs, ys), 1):
+        held += len(x) + len(y)
+        if held >= 4 * STEP or hi - lo == 4096 or hi == len(xs):
+            a, b = _distinct(xs[lo:hi]), _distinct(ys[lo:hi])
+            both = np.concatenate([a, b])
+            both.sort()
+            n, m, common = (np.bincount((k >> np.uint64(52)).astype(np.int64), minlength=hi - lo) for k in (a, b, both[1:][both[1:] == both[:-1]]))
+            out[lo:hi] = common / (n + m - common)
+            lo, held = hi, 0
+    return out
+
+
+def _distinct(lines: list[str]) -> np.ndarray:
+    """The distinct shingles of up to 4096 lines: a line's place in 12 bits above 52 bits of hash, ascending."""
+    values, starts = shingle_values(lines)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(values))))
+    key = owner << np.uint64(52) | values >> np.uint64(12)
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])]
+
+
 def jaccard(a: str, b: str) -> float:
-    (x, _), (y, _) = shingle_values([a]), shingle_values([b])
-    x, y = np.unique(x), np.unique(y)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    return float(likenesses([a], [b])[0])
 
 
 def _name(line: str) -> bytes:
@@ -151,8 +184,8 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            kept = [jaccard(x, y) >= LIKENESS - 1e-12 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            kept = likenesses(batch.column("x").to_pylist(), batch.column("y").to_pylist()) >= LIKENESS - 1e-12
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     x, y = (bodies.select(F.col("line").alias(p), F.col("body").alias(q)) for p, q in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
