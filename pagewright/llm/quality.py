@@ -92,7 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(f, pa.binary()), b.column("_q").cast(pa.int32()), b.column("_t").cast(pa.int32())], ["doc_id", "f", "q", "t"])
 
     got = rows.mapInArrow(run, "doc_id long, f binary, q int, t int").dropDuplicates(["doc_id"]).orderBy("doc_id").toLocalIterator()
-    return fit([(bytes(r["f"]).split(b"\n"), r["q"], r["t"]) for r in got])
+    one: dict[bytes, bytes] = {}  # a feature's bytes are held once
+    return fit([([one.setdefault(f, f) for f in bytes(r["f"]).split(b"\n")], r["q"], r["t"]) for r in got])
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
