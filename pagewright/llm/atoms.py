@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 120_000, 48
 
 
 def is_plain(part: str) -> bool:
