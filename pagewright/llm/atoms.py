@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE, LONGEST = 120_000, 48
+CACHE, LONGEST = 500_000, 48
 
 
 def is_plain(part: str) -> bool:
@@ -50,10 +50,10 @@ class AtomEncoder:
         """The ids of a space and this part; None if the part is not plain."""
         if not is_plain(p):
             return None
-        if p.isalpha():
-            v = self._piece(" " + p)
+        if p.isalpha():  # a single match, which the parts alone hold
+            v = self.encode_piece(" " + p)
         elif p[-1] in ".,;:!?" and p[:-1].isalpha():
-            v = self._piece(" " + p[:-1]) + self._piece(p[-1])
+            v = (self.parts.get(p[:-1]) or self._part(p[:-1])) + self._piece(p[-1])
         else:
             v = self.encode(" " + p)
         if len(p) <= LONGEST and len(self.parts) < CACHE:
