@@ -217,17 +217,23 @@ def gradients(p: Params, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     return float(loss / n), g
 
 
-def train(p: Params, texts: list[np.ndarray], end: int, steps: int, blocks: int = 128, rate: float = 4e-3, seed: int = 1) -> Params:
-    """Adam over random runs of blocks; the rate falls linearly to a tenth."""
+def train(p: Params, texts: list[np.ndarray], end: int, steps: int | None, blocks: int = 128, rate: float = 4e-3, seed: int = 1) -> Params:
+    """Adam over random runs of blocks, or without steps over each block once, in runs of permuted order; the rate falls linearly to a tenth."""
     p = {k: v.copy() for k, v in p.items()}
     given, goal, first = layout(texts, end)
     r = np.random.default_rng(seed)
     m, s = ({k: np.zeros_like(v) for k, v in p.items() if k != "slot"} for _ in range(2))
+    run = max(1, min(8, len(first)))
+    each = max(1, blocks // run)
+    order = r.permutation(np.arange(0, len(first), run)) if steps is None else None
+    steps = steps if order is None else -(-len(order) // each)
     for t in range(1, steps + 1):
-        run = max(1, min(8, len(first)))
-        pick = (r.integers(0, len(first) - run + 1, max(1, blocks // run))[:, None] + np.arange(run)).ravel()
-        f = first[pick].copy()
+        starts = r.integers(0, len(first) - run + 1, each) if order is None else order[(t - 1) * each : t * each]
+        pick = (starts[:, None] + np.arange(run)).ravel()
+        there = pick < len(first)  # the last run may be shorter
+        f = first[np.minimum(pick, len(first) - 1)]
         f[::run] = True
+        pick, f = pick[there], f[there]
         _, g = gradients(p, given[pick], goal[pick], f)
         lr = rate * (1 - 0.9 * t / steps)
         for k in m:

@@ -7,8 +7,8 @@ blank before it; its score is the probability of the ids of these and of the end
 
 What is learnt from the corpus. Words and subword ids are counted over all training documents, by partial sums. The
 counts give the base, and the frequency classes and output biases of the model. Its weights start from WARM training
-documents of smallest hash, then every partition of a share of 1 / SHARE of all training documents trains on from
-there and the weights are averaged by the ids that each has seen, so what is learnt grows with the input.
+documents of smallest hash; then all training documents are dealt into parts of about IDS_A_PART ids, each part trains on from
+there over every block once in permuted order, and the weights are averaged by the ids that each part has seen.
 
 Scale. Words of a count of 2^j and more go to the workers as a dictionary, j being the least for which they are
 HOT_WORDS at most; the other words of a document stay with its row and are joined with their counts, so no worker
@@ -38,7 +38,7 @@ from pagewright.llm.atoms import AtomEncoder, byte_names
 from pagewright.llm.common import Scratch, read, slices, texts_of
 
 VOCABULARY, CLASSES, DIM, HIDDEN = 2048, 64, 32, 64
-WARM, WARM_STEPS, SHARE, IDS_A_PART = 2000, 2500, 64, 1_000_000
+WARM, WARM_STEPS, IDS_A_PART = 2000, 2500, 1_000_000
 HOT_WORDS = 1 << 18
 _CODERS: dict[tuple[str, int], AtomEncoder] = {}
 
@@ -122,21 +122,41 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
 
 
 def _trained(rows: DataFrame, start: attention.Params, path: str, steps: int | None) -> DataFrame:
-    """rows (text) -> a row for each partition: (weight: its ids, body: the pickled weights)."""
+    """rows (text) -> (weight: ids seen, body: the pickled weights): a row for a partition, more where it has over 2 IDS_A_PART ids.
+
+    With steps, random runs of the partition; without, each of its blocks once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[np.ndarray] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n
+            out = attention.train(start, texts, VOCABULARY - 1, steps, rate=1e-2 if steps else 2e-3)
+            body = pickle.dumps({k: v for k, v in out.items() if k != "slot"})
+            row = pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([body], pa.binary())], ["weight", "body"])
+            texts.clear()
+            n = 0
+            return row
+
         for b in slices(batches):
-            texts += encode([words_of(t) for t in texts_of(b)], path)
-        n = sum(len(t) + 1 for t in texts)
+            new = encode([words_of(t) for t in texts_of(b)], path)
+            texts += new
+            n += sum(len(t) + 1 for t in new)
+            if n >= 2 * IDS_A_PART and not steps:  # bounds what a task holds
+                yield flush()
         if n:
-            out = attention.train(start, texts, VOCABULARY - 1, steps or max(1, n // 2048), rate=1e-2 if steps else 2e-3)
-            body = pickle.dumps({k: v for k, v in out.items() if k != "slot"})
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([body], pa.binary())], ["weight", "body"])
+            yield flush()
 
     return rows.mapInArrow(run, "weight long, body binary")
 
 
+def rounds(train: DataFrame, start: attention.Params, path: str, parts: int) -> DataFrame:
+    """(weight, body) of the parts that all of train (doc_id, text) is dealt into; the weights sum to its ids and ends."""
+    return _trained(train.select("doc_id", "text").repartition(parts, F.xxhash64("doc_id", "text")).select("text"), start, path, None)
+
+
 def _average(parts: DataFrame) -> DataFrame:
     """Weighted means of eight or so rows at a time, until the driver takes the last."""
 
@@ -161,9 +181,8 @@ def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, path: str) -> att
     if not got:
         return p
     p |= pickle.loads(got[0]["body"])
-    share = train.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SHARE)) == 0).select("doc_id", "text")
-    parts = max(1, -(-int(counts.sum()) // (SHARE * IDS_A_PART)))
-    each = scratch.table(_trained(share.repartition(parts, F.xxhash64("doc_id", "text")).select("text"), p, path, None))
+    parts = max(1, -(-int(counts.sum()) // IDS_A_PART))
+    each = scratch.table(rounds(train, p, path, parts))
     while parts > 8:
         parts = -(-parts // 8)
         each = scratch.table(_average(each.repartition(parts)))
