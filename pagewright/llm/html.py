@@ -3,7 +3,7 @@
 Parsing. A page is a tree of its elements with HTML's implied ends; raw-text elements (script, style ..) have no
 children. An element's place is its chain of block elements with their classes and roles, digits left out.
 
-Style tree. The pages of a host are merged by place. A merged node has two entropies over its occurrences, each
+Style tree. The distinct pages of a host, each counted once however often it is repeated, are merged by place. A merged node has two entropies over its occurrences, each
 divided by the log of their number: of the child sequences (presentation) and of the whole text below (content).
 Its importance is (1 - g) presentation + g content, g = 0.9. A box that is the same, or one of a few, on every page
 has little; one that differs from page to page has 1. Counts by host, place and hash are grouped aggregates. Nodes of
@@ -11,14 +11,15 @@ MIN_SEEN occurrences and more and less than LEAST importance are removed with wh
 
 What isn't judged by counts. Elements that HTML or their class or role names as menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles or comments are removed on any page, so hosts with few pages lose them too.
-A page's article (article or main, if it has one) is its main part: text outside is left, and inside it plain text
-blocks (p, h1 .., lists of text, tables) are not judged by counts, since a host may repeat an article.
+A page's article (article or main, if it has one) is its main part: text outside is left, and nothing inside it is
+judged by counts, since a host may repeat an article. Nor is a box that holds more than half of a page's text, all
+left out before put aside.
 
 Text. Character references are decoded, white space within a block becomes one space, blocks are joined by a blank
 line in page order. Nothing else is dropped or cut.
 
 Cases. A null html gives an empty text; a null or odd url belongs to the host ''; unclosed, crossed and unknown tags
-are read as browsers would, roughly; a '<' that opens no tag is text. Repeated pages count each time and are each
+are read as browsers would, roughly; a '<' that opens no tag is text. Repeated pages count once and are each
 returned. Other columns are not returned. An empty table stays empty.
 """
 
@@ -45,7 +46,6 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-PLAIN = set("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption article main body html".split())
 OUT = set("head script style title noscript template iframe svg canvas object nav footer aside form button select option textarea dialog menu applet map noembed noframes xmp audio video".split())
 WORDS = set(
     "ad ads adbox adsense adslot advert adverts advertisement advertising banner banners sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb "
@@ -167,12 +167,29 @@ def judged_nodes(root: Node) -> list[tuple[str, Node]]:
     return out
 
 
+def _sizes(root: Node) -> dict[int, int]:
+    """By id of each node: the characters of its text that aren't white space and aren't left out on any page."""
+    size: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        x, done = todo.pop()
+        if x.out:
+            size[id(x)] = 0
+        elif done:
+            size[id(x)] = sum(len("".join(k.split())) if isinstance(k, str) else size[id(k)] for k in x.kids)
+        else:
+            todo.append((x, True))
+            todo += [(k, False) for k in x.kids if not isinstance(k, str)]
+    return size
+
+
 def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """The main text; low: the host's places of little importance."""
     if not page:
         return ""
     root = parse(page)
     found = _has_main(root)
+    size = _sizes(root) if low and not found else {}
     blocks: list[str] = []
     held: list[str] = []
 
@@ -192,7 +209,7 @@ def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
         if x is None:
             flush()
             continue
-        if x.out or (x.place in low and x.block and not (x.tag in PLAIN and x.main) and x.tag not in ("html", "body", "")):
+        if x.out or (x.place in low and x.block and not found and x.tag not in ("html", "body", "") and 2 * size[id(x)] <= size[id(root)]):
             if x.block:
                 flush()
             else:
@@ -244,8 +261,9 @@ def node_hashes(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> (host, place, seen, presentation, content, importance): the merged nodes."""
-    each = node_hashes(pages).groupBy("host", "place", "kind", "hash").agg(F.sum("n").cast("double").alias("n"))
+    """pages (host, html) -> (host, place, seen, presentation, content, importance): the merged nodes of distinct pages."""
+    once = pages.withColumn("key", F.xxhash64("html")).dropDuplicates(["host", "key"]).select("host", "html")
+    each = node_hashes(once).groupBy("host", "place", "kind", "hash").agg(F.sum("n").cast("double").alias("n"))
     h = (F.log("seen") - F.col("nlogn") / F.col("seen")) / F.log("seen")
     by = each.groupBy("host", "place", "kind").agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     by = by.withColumn("h", F.when(F.col("seen") > 1, F.greatest(h, F.lit(0.0))).otherwise(1.0))
