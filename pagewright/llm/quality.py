@@ -2,7 +2,9 @@
 
 Document evidence. Two logistic models on the words a text has and on bins of its surface figures, one for quality
 and one for toxicity, fitted to a sample of at most `max_labelled` labelled documents, the ones whose hashed ids are
-smallest. The bound is a parameter; everything below covers all documents.
+smallest. The bound is a parameter; everything below covers all documents. Every feature of MIN_DOCS sample rows and
+more takes part, scaled by its own log odds ratio, smoothed by a row of the class's rate: a word of a few rows of one
+class counts, and the many rare words of both classes hardly do.
 
 Site posteriors. A document counts in its host and path with its label, or unlabelled with its model probability.
 A host's rate is its documents' mean shrunk towards the global rate, a path's rate its mean shrunk towards its
@@ -34,7 +36,7 @@ from pagewright.llm.rules import measure
 
 TARGETS = ("quality", "toxic")
 STRIP = b".,;:!?\"'()[]{}*&%$#|<>"
-MIN_DOCS, MAX_WORDS = 8, 60_000
+MIN_DOCS = 2
 Model = tuple[dict[bytes, tuple[float, float]], tuple[float, float]]
 
 
@@ -54,7 +56,7 @@ def features(text: str) -> set[bytes]:
 def fit(rows: list[tuple[list[bytes], int | None, int | None]], steps: int = 120, ridge: float = 1.0) -> Model:
     """Logistic models of the targets over features that MIN_DOCS rows have; full-batch AdaGrad in numpy."""
     docs = Counter(f for r in rows for f in r[0])
-    names = [f for f, n in docs.most_common(MAX_WORDS) if n >= MIN_DOCS]
+    names = [f for f, n in docs.most_common() if n >= MIN_DOCS]
     at = {f: k for k, f in enumerate(names)}
     cols = [np.array([at[f] for f in r[0] if f in at], np.int64) for r in rows]
     size = np.array([len(c) for c in cols], np.int64)
@@ -68,16 +70,19 @@ def fit(rows: list[tuple[list[bytes], int | None, int | None]], steps: int = 120
         if not 0 < pos < n:
             bias[t] = 30.0 if t == 0 else -30.0  # neutral: rejects nothing
             continue
+        rate, of, both = pos / n, np.bincount(flat, y[owner], len(names)), np.bincount(flat, there[owner], len(names))
+        scale = np.abs(np.log((of + rate) / (both - of + 1 - rate) * (1 - rate) / rate))
+        each = scale[flat]
         w, b, sq, sb = np.zeros(len(names)), float(np.log(pos / (n - pos))), np.full(len(names), 1e-8), 1e-8
         for _ in range(steps):
-            z = np.bincount(owner, w[flat], len(rows)) + b
+            z = np.bincount(owner, w[flat] * each, len(rows)) + b
             e = np.where(there, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0)
-            g = np.bincount(flat, e[owner], len(names)) + ridge * w
+            g = np.bincount(flat, e[owner], len(names)) * scale + ridge * w
             sq += g * g
             sb += e.sum() ** 2
             w -= 0.3 * g / np.sqrt(sq)
             b -= 0.3 * e.sum() / np.sqrt(sb)
-        weights[:, t], bias[t] = w, b
+        weights[:, t], bias[t] = w * scale, b
     return {f: (float(a), float(b)) for f, (a, b) in zip(names, weights)}, (bias[0], bias[1])
 
 
