@@ -5,10 +5,12 @@ Every line that isn't blank is stripped and named by 128 bits of hash. Distinct
 pairs are verified on the exact shingle sets; verified links are closed by distributed union-find; the first line of
 each component, by document and place, stays.
 
-Full bands. The lines of a bucket are not paired out. First each bucket has a leader, the smallest line by a hash of
-bucket and line, which is verified against all other lines of the bucket; links are closed after that. A bucket all
-of whose lines are in one component is done. Then each line outside the bucket's largest component is verified against all lines
-of other components of the bucket, so every candidate pair that could still join two components has been compared.
+Full bands. The lines of a bucket are not paired out. Its leader, the line of smallest hash, is verified against its
+other lines (lines of one passage mostly have one leader in all of their buckets), and links are closed. Where lines
+of a leader are still in several components, those outside the largest are compared with the lines of other
+components in blocks of BLOCK by BLOCK lines, one matrix product each: a task holds two blocks, no pair is a row, and
+every candidate pair that could still join two components is compared exactly. Jaccard distance is a metric, so blocks
+of lines whose distances to the leader differ by more than 1 - LIKENESS hold no link and are left out.
 
 Cases. A null text is empty. Blank lines stay. A line shorter than a shingle is one shingle, so it matches itself
 alone. Rows of the same id and text are one document: they keep the same lines. Null ids come first. Other columns
@@ -30,8 +32,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pagewright.llm.common import Scratch, read, slices, texts_of
 from pagewright.llm.components import components
 
-SHINGLE, BANDS, ROWS, LIKENESS, ROUNDS = 9, 10, 5, 0.8, 1
-STEP = 1 << 16
+SHINGLE, BANDS, ROWS, LIKENESS = 9, 10, 5, 0.8
+STEP, BLOCK, BINS = 1 << 16, 128, 20
+#: bits of the fixed-size filter by which a task leaves out lines whose text nobody asks for; a full one lets all through
+FILTER = 1 << 24
 _RNG = np.random.default_rng(20)
 #: h -> a h + b modulo 2^32, a odd: one permutation of the upper half of shingle values for each minimum
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,76 +161,143 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return _identity(docs).mapInArrow(run, "doc_id long, key long, place int, line binary, bands array<long>")
 
 
+def name_filter(wanted: DataFrame) -> np.ndarray:
+    """FILTER bits, those set that start the name of a wanted line; FILTER / 64 rows at most reach the driver."""
+    place = F.conv(F.hex(F.substring("line", 1, 3)), 16, 10).cast("long")
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    out = np.zeros(FILTER // 64, np.int64)
+    for r in words.collect():
+        out[r["w"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
 def texts_of_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (line) -> (line, body), a row each."""
+    asked = docs.sparkSession.sparkContext.broadcast(np.packbits(name_filter(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        bits = asked.value
         for b in slices(batches):
             name, body = [], []
             for t in texts_of(b):
                 for line in t.split("\n"):
                     line = line.strip()
-                    if line and (h := _name(line)) not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(h)
-                        name.append(h)
-                        body.append(line)
+                    if line:
+                        h = _name(line)
+                        at = h[0] << 16 | h[1] << 8 | h[2]
+                        if bits[at >> 3] >> (7 - (at & 7)) & 1 and h not in seen:
+                            if len(seen) > 200_000:
+                                seen.clear()
+                            seen.add(h)
+                            name.append(h)
+                            body.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), pa.array(body, pa.string())], ["line", "body"])
 
     found = docs.select("text").mapInArrow(run, "line binary, body string").join(wanted, "line", "left_semi")
     return found.groupBy("line").agg(F.first("body").alias("body"))
 
 
-def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """pairs (a, b) of lines -> those of likeness LIKENESS or more."""
+def compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """pairs (l, line) of lines -> (l, line, j): their likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            kept = likenesses(batch.column("x").to_pylist(), batch.column("y").to_pylist()) >= LIKENESS - 1e-12
-            yield batch.select(["a", "b"]).filter(pa.array(kept))
+            j = likenesses(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("line"), pa.array(j, pa.float64())], ["l", "line", "j"])
+
+    x, y = (bodies.select(F.col("line").alias(p), F.col("body").alias(q)) for p, q in (("l", "x"), ("line", "y")))
+    return pairs.join(x, "l").join(y, "line").select("l", "line", "x", "y").mapInArrow(run, "l binary, line binary, j double")
+
+
+def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
+    """Shingles that each line outside shares with each line; values: the distinct shingles of each line."""
+    ids = np.unique(np.concatenate(values), return_inverse=True)[1].reshape(-1)
+    owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    out = np.zeros((int(outside.sum()), len(values)), np.float32)
+    order, step = np.argsort(ids, kind="stable"), 1 << 13
+    ids, owner = ids[order], owner[order]
+    for lo in range(0, int(ids[-1]) + 1, step):  # a matrix of a block's lines x step shingles at a time
+        a, b = np.searchsorted(ids, (lo, lo + step))
+        m = np.zeros((len(values), step), np.float32)
+        m[owner[a:b], ids[a:b] - lo] = 1
+        out += m[outside] @ m.T
+    return out
+
+
+def block_links(rows: list[tuple[bytes, bytes, bool, str]]) -> list[tuple[bytes, bytes]]:
+    """rows (line, component, outside, body) of one block pair -> links of lines outside, one for each line and component."""
+    values = [_distinct([r[3]]) for r in rows]
+    size, outside = np.array([len(v) for v in values], np.float32), np.array([r[2] for r in rows])
+    common = _common(values, outside)
+    alike = common >= (LIKENESS - 1e-7) * (size[outside][:, None] + size[None] - common)
+    mine, out = np.flatnonzero(outside), {}
+    for x, y in zip(*np.nonzero(alike)):
+        a, b = rows[mine[x]], rows[y]
+        if a[1] != b[1]:
+            out.setdefault((a[0], b[1]), b[0])
+    return [(a, b) for (a, _), b in out.items()]
+
+
+def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
+    """groups (l, line, j, c, top) -> links (a, b) between lines of one leader that are in different components.
+
+    The lines of a leader are dealt into bins by their likeness to it, and these into blocks.
+    """
+    g = groups.withColumn("bin", F.floor(F.col("j") * BINS).cast("int")).withColumn("h", F.xxhash64("line")).withColumn("outside", F.col("c") != F.col("top"))
+    size = g.groupBy("l", "bin").agg(F.ceil(F.count_if("outside") / BLOCK).alias("kx"), F.ceil(F.count("*") / BLOCK).alias("ky"))
+    at = g.join(size.withColumnsRenamed({"l": "l2", "bin": "bin2"}), (F.col("l") == F.col("l2")) & (F.col("bin") == F.col("bin2")))
+    at = at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by"))
+    x, y = size.where("kx > 0").select("l", F.col("bin").alias("xb"), "kx"), size.select(F.col("l").alias("l2"), F.col("bin").alias("yb"), "ky")
+    near = F.abs(F.col("xb") - F.col("yb")) <= round((1 - LIKENESS) * BINS) + 1
+    grid = x.join(y, (F.col("l") == F.col("l2")) & near).withColumn("xk", F.explode(F.sequence(F.lit(0), F.col("kx") - 1))).withColumn("yk", F.explode(F.sequence(F.lit(0), F.col("ky") - 1)))
+    grid = grid.select(F.col("l").alias("gl"), "xb", "yb", "xk", "yk", F.xxhash64("l", "xb", "yb", "xk", "yk").alias("t"))
+    left = at.where("outside").join(grid, (F.col("l") == F.col("gl")) & (F.col("bin") == F.col("xb")) & (F.col("bx") == F.col("xk")))
+    right = at.join(grid, (F.col("l") == F.col("gl")) & (F.col("bin") == F.col("yb")) & (F.col("by") == F.col("yk")))
+    both = left.select("t", "line", "c", F.lit(True).alias("outside")).union(right.select("t", "line", "c", F.lit(False).alias("outside")))
+    both = both.groupBy("t", "line", "c").agg(F.bool_or("outside").alias("outside"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes, bool, str]] = []
+        now, out = None, []
+        for b in slices(batches, 4096):
+            for t, *row in zip(*(b.column(k).to_pylist() for k in ("t", "line", "c", "outside", "body"))):
+                if t != now and held:
+                    out += block_links(held)
+                    held.clear()
+                now = t
+                held.append(tuple(row))
+            yield _pairs(out)
+            out.clear()
+        if held:
+            yield _pairs(block_links(held))
+
+    rows = both.join(bodies, "line").repartition("t").sortWithinPartitions("t").select("t", "line", "c", "outside", "body")
+    return rows.mapInArrow(run, "a binary, b binary")
+
 
-    x, y = (bodies.select(F.col("line").alias(p), F.col("body").alias(q)) for p, q in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """distinct (line, bands) -> (node, component) over the lines that are linked to another line."""
     keyed = distinct.select("line", F.explode("bands").alias("bucket"))
-    shared = scratch.table(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("k")))
-    members = scratch.table(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "line"))
-    bodies = scratch.table(texts_of_lines(docs, members.select("line").distinct()))
-    found, comp = None, None
-    for turn in range(ROUNDS + 1):
-        if comp is None:
-            state = members.withColumn("c", F.col("line"))
-        else:
-            state = members.join(comp, members.line == comp.node, "left").select("bucket", "line", F.coalesce("component", "line").alias("c"))
-        state = scratch.table(state)
-        # one row a bucket and component, then those of buckets with several
-        sizes = state.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        top = F.max_by("c", F.struct("n", "c")) if turn else F.min("c")
-        several = scratch.table(sizes.groupBy(F.col("bucket").alias("k")).agg(top.alias("top"), F.count("*").alias("m")).where("m > 1").select("k", "top"))
-        if several.limit(1).count() == 0:
-            break
-        state = state.join(several, F.col("bucket") == F.col("k")).select("bucket", "line", "c", "top")
-        outside = state.where("c <> top") if turn else state
-        if turn < ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), "bucket", "line"), "line", "c")
-            outside = outside.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", F.col("o.line").alias("l"), F.col("o.c").alias("lc"))
-        else:
-            outside = outside.select("bucket", F.col("line").alias("l"), F.col("c").alias("lc"))
-        outside = outside.select(F.col("bucket").alias("k"), "l", "lc")
-        if turn == ROUNDS:
-            outside = scratch.table(outside)
-        pairs = state.join(outside, F.col("bucket") == F.col("k")).where("c <> lc").select(F.least("line", "l").alias("a"), F.greatest("line", "l").alias("b")).distinct()
-        new = scratch.table(verified(pairs, bodies))
-        found = new if found is None else scratch.table(found.union(new))
-        comp = components(scratch, found)
-    if comp is None:
-        comp = distinct.select(F.col("line").alias("node"), F.col("line").alias("component")).limit(0)
-    return comp
+    lead = F.min(F.struct(F.xxhash64("line").alias("h"), "line"))
+    leaders = keyed.groupBy("bucket").agg(lead.alias("o"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("k"), F.col("o.line").alias("l"))
+    star = scratch.table(keyed.join(leaders, F.col("bucket") == F.col("k")).where("line <> l").select("l", "line").distinct())
+    wanted = scratch.table(star.select("line").union(star.select(F.col("l").alias("line"))).distinct())
+    bodies = scratch.table(texts_of_lines(docs, wanted))
+    star = scratch.table(compared(star, bodies))
+    alike = star.where(F.col("j") >= LIKENESS - 1e-12).select(F.col("l").alias("a"), F.col("line").alias("b"))
+    comp = components(scratch, alike)
+    all_of = star.union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j")).distinct())
+    state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", F.coalesce("component", "line").alias("c")))
+    sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"))
+    several = sizes.groupBy(F.col("l").alias("k")).agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("m")).where("m > 1").select("k", "top")
+    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "c", "top"))
+    more = scratch.table(blocks(groups, bodies))
+    return components(scratch, alike.union(more))
 
 
 def kept_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
