@@ -1,47 +1,74 @@
-"""A small causal self-attention model in numpy: forward, backward, Adam.
+"""A causal self-attention model in numpy: forward, backward, training, scoring.
 
 Ids are laid out in blocks of BLOCK. A position attends to its own block up to itself and to the block before, in the
-same text: windows of two blocks that overlap by one, each of which scores the ids of its second block, so every id
-is scored once, with BLOCK to 2 BLOCK - 1 ids before it (fewer at a text's start). All windows of a batch go through
-one masked attention. Keys and values don't depend on the window: distances enter as a learned bias of each head.
-The output is factored: an id's class, then the id within its class. The output biases start at the log frequencies.
+same text: windows of two blocks that overlap by one, each of which scores the ids of its second block, so every id is
+scored once, with BLOCK to 2 BLOCK - 1 ids before it (fewer at a text's start). All windows of a batch go through one
+masked attention. Distances enter as a learned bias. A state is the id's embedding, plus what attention gathers, plus a
+layer of rectified units.
+
+The output is a tree of three choices among `branch` ways each: ids are numbered by falling frequency and dealt out by
+that number, so the first two choices tell frequent ids apart. A lower choice sees the state through rectified units
+that the choices above shift. The biases of all choices start at the log frequencies; those of the last stay there.
+
+What is learnt by gradient, but for the embeddings, lies in one flat vector. It takes Adam steps; an embedding takes
+AdaGrad steps scaled by the sum of its squared gradients, for the ids of a batch alone.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-BLOCK, HEADS = 16, 1
-Params = dict[str, np.ndarray]
+BLOCK, KEYS, VALUES, HIDDEN = 16, 8, 16, 32
+Model = dict  # of arrays: slots (ids x 3), emb, flat, last (the last choice's biases); view() names the parts of flat
+
 
+def shapes(dim: int, branch: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "qkv": (dim, 2 * KEYS + VALUES), "o": (VALUES - 1, dim), "dist": (2 * BLOCK,), "w1": (dim, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, dim),
+        "n1": (dim, branch), "c1": (branch,), "a2": (dim, HIDDEN), "e2": (HIDDEN, branch), "n2": (HIDDEN, branch), "c2": (branch, branch),
+        "a3": (dim, HIDDEN), "e3": (HIDDEN, branch), "f3": (HIDDEN, branch), "n3": (HIDDEN, branch),
+    }
 
-def init(vocabulary: int, classes: int, dim: int, hidden: int, counts: np.ndarray, seed: int = 7, keys: int = 8, values: int = 16) -> Params:
-    """counts: how often each id occurs; its place in the order of frequency fixes an id's class."""
-    r, each = np.random.default_rng(seed), -(-vocabulary // classes)
 
-    def normal(*shape: int, scale: float) -> np.ndarray:
-        return (r.standard_normal(shape) * scale).astype(np.float32)
+def view(flat: np.ndarray, dim: int, branch: int) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, shape in shapes(dim, branch).items():
+        size = math.prod(shape)
+        out[name] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
 
-    order = np.lexsort((np.arange(vocabulary), -counts))
+def init(vocabulary: int, dim: int, counts: np.ndarray, seed: int = 7) -> Model:
+    """counts: how often each id occurs; its place in the order of frequency fixes an id's choices."""
+    branch, r = max(2, math.ceil(vocabulary ** (1 / 3) - 1e-9)), np.random.default_rng(seed)
     slot = np.empty(vocabulary, np.int64)
-    slot[order] = np.arange(vocabulary)
-    share = np.full(classes * each, 0.0)
-    share[slot] = counts + 1.0
-    by = share.reshape(classes, each)
-    with np.errstate(divide="ignore"):
-        within = np.where(by > 0, np.log(by / by.sum(1, keepdims=True)), -30)
-    return {
-        "slot": slot, "emb": normal(vocabulary, dim, scale=0.3), "q": normal(dim, keys, scale=dim**-0.5), "k": normal(dim, keys, scale=dim**-0.5),
-        "v": normal(dim, values, scale=dim**-0.5), "o": normal(values, dim, scale=0.1 * values**-0.5), "dist": np.zeros((HEADS, 2 * BLOCK), np.float32),
-        "w1": normal(dim, hidden, scale=dim**-0.5), "b1": np.zeros(hidden, np.float32), "w2": normal(hidden, dim, scale=0.1 * hidden**-0.5),
-        "cw": normal(dim, classes, scale=0.05), "cb": np.log(by.sum(1) / by.sum()).astype(np.float32),
-        "iw": normal(classes, dim, each, scale=0.05), "ib": within.astype(np.float32),
-    }
+    slot[np.lexsort((np.arange(vocabulary), -counts))] = np.arange(vocabulary)
+    slots = np.stack([slot % branch, slot // branch % branch, slot // branch**2], 1)
+    share = np.zeros((branch, branch, branch))
+    share[tuple(slots.T)] = counts + 1.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        one, two = share.sum((1, 2)), share.sum(2)
+        c1, c2, last = np.log(one / one.sum()), np.log(two / one[:, None]), np.log(share / two[:, :, None])
+    c1, c2, last = (np.maximum(np.nan_to_num(x, nan=-30.0, neginf=-30.0), -30) for x in (c1, c2, last))
+    flat = np.zeros(sum(map(math.prod, shapes(dim, branch).values())), np.float32)
+    p = view(flat, dim, branch)
+    for name, scale in (("qkv", 0.5), ("w1", 1), ("n1", 0.1), ("a2", 0.5), ("n2", 0.1), ("a3", 0.5), ("n3", 0.1), ("o", 0.3), ("w2", 0.1), ("e2", 0.1), ("e3", 0.1), ("f3", 0.1)):
+        p[name][...] = r.standard_normal(p[name].shape) * scale * p[name].shape[0] ** -0.5
+    p["qkv"][:, -1] = 0
+    p["c1"][...], p["c2"][...] = c1, c2.T
+    emb = (r.standard_normal((vocabulary, dim)) * 0.3).astype(np.float32)
+    return {"slots": slots, "emb": emb, "flat": flat, "last": np.ascontiguousarray(last.reshape(branch * branch, branch).T, np.float32)}
+
+
+_OWN = np.tril(np.ones((BLOCK, BLOCK), bool))
+_DIST = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
 
 
-_I, _J = np.arange(BLOCK)[:, None] + BLOCK, np.arange(2 * BLOCK)[None]
-_CAUSAL = _J <= _I
-_DIST = np.where(_CAUSAL, _I - _J, 0)
+def _shape(m: Model) -> tuple[int, int]:
+    return m["emb"].shape[1], m["last"].shape[0]
 
 
 def layout(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,193 +78,206 @@ def layout(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, n
     first = np.zeros(int(blocks.sum()), bool)
     starts = np.cumsum(blocks) - blocks
     first[starts] = True
-    goal = np.full(len(first) * BLOCK, -1, np.int64)
+    goal = np.full(len(first) * BLOCK, -1, np.int32)
     for t, s, n in zip(texts, (starts * BLOCK).tolist(), size.tolist()):
         goal[s : s + n - 1] = t
         goal[s + n - 1] = end
-    given = np.concatenate([[end], np.maximum(goal[:-1], 0)])
+    given = np.concatenate([[end], np.maximum(goal[:-1], 0)]).astype(np.int32)
     given[starts * BLOCK] = end
     return given.reshape(-1, BLOCK), goal.reshape(-1, BLOCK), first
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    n, b, d = x.shape
-    return x.reshape(n, b, HEADS, d // HEADS).transpose(0, 2, 1, 3)
-
-
-def _back(x: np.ndarray) -> np.ndarray:
-    n, h, b, d = x.shape
-    return x.transpose(0, 2, 1, 3).reshape(n, b, h * d)
-
-
-def _with_previous(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    before = np.concatenate([np.zeros_like(x[:1]), x[:-1]])
-    before[first] = 0
-    return np.concatenate([before, x], axis=2)
-
-
-def forward(p: Params, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """(states at each position, what backward needs)."""
-    x = p["emb"][given]
-    q, k, v = _heads(x @ p["q"]), _with_previous(_heads(x @ p["k"]), first), _with_previous(_heads(x @ p["v"]), first)
-    scale = np.float32((p["q"].shape[1] // HEADS) ** -0.5)
-    s = np.matmul(q, k.transpose(0, 1, 3, 2)) * scale
-    s += np.where(_CAUSAL, p["dist"][:, _DIST], np.float32(-1e9))
-    s[first, :, :, :BLOCK] = -1e9
-    s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    a = _back(np.matmul(s, v))
-    y = x + a @ p["o"]
-    u = np.maximum(y @ p["w1"] + p["b1"], 0)
-    z = y + u @ p["w2"]
-    return z, (given, first, x, q, k, v, s, a, y, u, scale)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def _states(p: Params, given: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The states that `forward` gives, with fewer passes over memory; scores are too small to overflow."""
-    x = p["emb"][given]
-    scale = np.float32((p["q"].shape[1] // HEADS) ** -0.5)
-    q, k, v = _heads(x @ (p["q"] * scale)), _with_previous(_heads(x @ p["k"]), first), _with_previous(_heads(x @ p["v"]), first)
-    s = np.matmul(q, k.transpose(0, 1, 3, 2))
-    s += np.where(_CAUSAL, p["dist"][:, _DIST], np.float32(-1e9))
-    np.minimum(s, 60, out=s)
-    np.exp(s, out=s)
-    s[first, :, :, :BLOCK] = 0
-    a = np.matmul(s, v)
-    a /= s.sum(-1, keepdims=True)
-    y = x + _back(a) @ p["o"]
-    u = y @ p["w1"]
+def _weights(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What exponentials of scores are multiplied by: within a block, and to the block before."""
+    near = np.exp(dist)
+    return np.where(_OWN, near[np.where(_OWN, _DIST, 0)], 0).astype(dist.dtype), near[_DIST + BLOCK]
+
+
+def states(m: Model, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """(states by position, what backward needs)."""
+    p, n = view(m["flat"], *_shape(m)), len(given)
+    x = m["emb"][given.ravel()]
+    y = (x @ p["qkv"]).reshape(n, BLOCK, -1)
+    y[:, :, -1] = 1  # so that the sum of weights comes with the values
+    q, k, v = y[:, :, :KEYS], y[:, :, KEYS : 2 * KEYS], y[:, :, 2 * KEYS :]
+    within, across = _weights(p["dist"])
+    own = np.matmul(q, k.transpose(0, 2, 1))
+    np.minimum(own, 60, out=own)
+    np.exp(own, out=own)
+    own *= within
+    far = np.matmul(q[1:], k[:-1].transpose(0, 2, 1))
+    np.minimum(far, 60, out=far)
+    np.exp(far, out=far)
+    far *= across
+    far[first[1:]] = 0
+    a = np.matmul(own, v)
+    a[1:] += np.matmul(far, v[:-1])
+    a = a.reshape(-1, VALUES)
+    den = a[:, -1:]
+    a = a[:, :-1] / den
+    z = a @ p["o"]
+    z += x
+    u = z @ p["w1"]
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    y += u @ p["w2"]
-    return y
-
-
-def _picked(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log softmax at one place of each row; z is overwritten."""
-    got = z[np.arange(len(which)), which]
-    np.clip(z, -80, 80, out=z)
-    np.exp(z, out=z)
-    return got - np.log(z.sum(1))
-
-
-def log_probabilities(p: Params, z: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of goal (ids) given states z (rows)."""
-    each = p["ib"].shape[1]
-    slot = p["slot"][goal]
-    c, w = slot // each, slot % each
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    z, c, w = z[order], c[order], w[order]
-    lp = _picked(z @ p["cw"] + p["cb"], c)
-    edges = np.searchsorted(c, np.arange(p["cb"].shape[0] + 1)).tolist()
-    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        if a < b:
-            lp[a:b] += _picked(z[a:b] @ p["iw"][k] + p["ib"][k], w[a:b])
-    out = np.empty(len(lp))
-    out[order] = lp
-    return out
-
-
-def score(p: Params, texts: list[np.ndarray], end: int) -> np.ndarray:
+    out = u @ p["w2"]
+    out += z
+    return out, (x, y, own, far, a, den, z, u)
+
+
+def _choice(logits: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log softmax of each column at one place, sums of the exponentials); logits turn into exponentials."""
+    logits -= logits.max(0)
+    got = logits[which, at]
+    np.exp(logits, out=logits)
+    s = logits.sum(0)
+    return got - np.log(s), s
+
+
+def _levels(m: Model, z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """(natural log probabilities of goal given states, what backward needs); features run down, positions across."""
+    p, branch, at = view(m["flat"], *_shape(m)), m["last"].shape[0], np.arange(len(goal))
+    c = m["slots"][goal]
+    c1, c2, c3 = c[:, 0], c[:, 1], c[:, 2]
+    zt = z.T
+    l1 = p["n1"].T @ zt
+    l1 += p["c1"][:, None]
+    lp, s1 = _choice(l1, c1, at)
+    h2 = p["a2"].T @ zt
+    h2 += np.take(p["e2"], c1, 1)
+    np.maximum(h2, 0, out=h2)
+    l2 = p["n2"].T @ h2
+    l2 += np.take(p["c2"], c1, 1)
+    more, s2 = _choice(l2, c2, at)
+    lp += more
+    h3 = p["a3"].T @ zt
+    h3 += np.take(p["e3"], c1, 1)
+    h3 += np.take(p["f3"], c2, 1)
+    np.maximum(h3, 0, out=h3)
+    l3 = p["n3"].T @ h3
+    l3 += np.take(m["last"], c1 * branch + c2, 1)
+    more, s3 = _choice(l3, c3, at)
+    lp += more
+    return lp, (c1, c2, c3, at, l1, s1, h2, l2, s2, h3, l3, s3)
+
+
+def score(m: Model, texts: list[np.ndarray], end: int, step: int = 256) -> np.ndarray:
     """The natural log probability of each text and its end."""
     given, goal, first = layout(texts, end)
     place = np.repeat(np.arange(len(texts)), [-(-(len(t) + 1) // BLOCK) for t in texts])
     out = np.zeros(len(texts))
-    for at in range(0, len(first), 512):  # a cut text goes on with the block before as context
-        to = min(at + 512, len(first))
+    for at in range(0, len(first), step):  # a cut text goes on with the block before as context
+        to = min(at + step, len(first))
         lo = at if first[at] else at - 1
         f = first[lo:to].copy()
         f[0] = True
-        z = _states(p, given[lo:to], f)[at - lo :]
-        there = goal[at:to] >= 0
-        lp = log_probabilities(p, z[there], goal[at:to][there])
-        out += np.bincount(np.broadcast_to(place[at:to, None], there.shape)[there], lp, len(texts))
+        z = states(m, given[lo:to], f)[0][(at - lo) * BLOCK :]
+        g = goal[at:to].ravel()
+        lp = _levels(m, z, np.maximum(g, 0))[0]
+        lp[g < 0] = 0
+        out += np.bincount(place[at:to], lp.reshape(-1, BLOCK).sum(1, dtype=np.float64), len(texts))
     return out
 
 
-def gradients(p: Params, given: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[float, Params]:
-    """(mean negative log probability, its gradients)."""
-    z, (given, first, x, q, k, v, s, a, y, u, scale) = forward(p, given, first)
+def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean negative log probability, gradient of flat, ids given, gradients of their embeddings)."""
+    dim, branch = _shape(m)
+    p, n = view(m["flat"], dim, branch), len(given)
+    flat = np.zeros_like(m["flat"])
+    g = view(flat, dim, branch)
+    z, (x, y, own, far, a, den, z0, u) = states(m, given, first)
+    goal = goal.ravel()
     there = goal >= 0
-    rows, ids = z[there], goal[there]
-    n, each, classes = len(ids), p["ib"].shape[1], p["cb"].shape[0]
-    c, w = p["slot"][ids] // each, p["slot"][ids] % each
-    g: Params = {}
-    lc = _log_softmax(rows @ p["cw"] + p["cb"])
-    loss = -lc[np.arange(n), c].sum()
-    e = np.exp(lc)
-    e[np.arange(n), c] -= 1
-    e /= n
-    g["cw"], g["cb"], dz = rows.T @ e, e.sum(0), e @ p["cw"].T
-    g["iw"], g["ib"] = np.zeros_like(p["iw"]), np.zeros_like(p["ib"])
-    order = np.argsort(c, kind="stable")
-    edges = np.searchsorted(c[order], np.arange(classes + 1))
-    for m in np.unique(c).tolist():
-        r = order[edges[m] : edges[m + 1]]
-        li = _log_softmax(rows[r] @ p["iw"][m] + p["ib"][m])
-        loss -= li[np.arange(len(r)), w[r]].sum()
-        e = np.exp(li)
-        e[np.arange(len(r)), w[r]] -= 1
-        e /= n
-        g["iw"][m], g["ib"][m] = rows[r].T @ e, e.sum(0)
-        dz[r] += e @ p["iw"][m].T
-    d = x.shape[2]
-    full = np.zeros_like(z)
-    full[there] = dz
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    du = (full @ p["w2"].T) * (u > 0)
-    g["w2"], g["w1"], g["b1"] = flat(u).T @ flat(full), flat(y).T @ flat(du), flat(du).sum(0)
-    dy = full + du @ p["w1"].T
-    g["o"] = flat(a).T @ flat(dy)
-    da, dx = _heads(dy @ p["o"].T), dy
-    ds = np.matmul(da, v.transpose(0, 1, 3, 2))
-    dv = np.matmul(s.transpose(0, 1, 3, 2), da)
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-    by = ds.sum(0)
-    g["dist"] = np.stack([np.bincount(_DIST[_CAUSAL], by[h][_CAUSAL], 2 * BLOCK) for h in range(HEADS)]).astype(np.float32)
-    dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 1, 3, 2), q) * scale
-
-    def own(t: np.ndarray) -> np.ndarray:
-        out, before = t[:, :, BLOCK:].copy(), t[:, :, :BLOCK].copy()
-        before[first] = 0
-        out[:-1] += before[1:]
-        return _back(out)
-
-    for name, t in (("q", _back(dq)), ("k", own(dk)), ("v", own(dv))):
-        g[name] = flat(x).T @ flat(t)
-        dx = dx + t @ p[name].T
-    g["emb"] = np.zeros_like(p["emb"])
-    np.add.at(g["emb"], given.ravel(), dx.reshape(-1, d))
-    return float(loss / n), g
-
-
-def train(p: Params, texts: list[np.ndarray], end: int, steps: int | None, blocks: int = 128, rate: float = 4e-3, seed: int = 1) -> Params:
-    """Adam over random runs of blocks, or without steps over each block once, in runs of permuted order; the rate falls linearly to a tenth."""
-    p = {k: v.copy() for k, v in p.items()}
-    given, goal, first = layout(texts, end)
-    r = np.random.default_rng(seed)
-    m, s = ({k: np.zeros_like(v) for k, v in p.items() if k != "slot"} for _ in range(2))
-    run = max(1, min(8, len(first)))
-    each = max(1, blocks // run)
-    order = r.permutation(np.arange(0, len(first), run)) if steps is None else None
-    steps = steps if order is None else -(-len(order) // each)
-    for t in range(1, steps + 1):
-        starts = r.integers(0, len(first) - run + 1, each) if order is None else order[(t - 1) * each : t * each]
-        pick = (starts[:, None] + np.arange(run)).ravel()
-        there = pick < len(first)  # the last run may be shorter
-        f = first[np.minimum(pick, len(first) - 1)]
-        f[::run] = True
-        pick, f = pick[there], f[there]
-        _, g = gradients(p, given[pick], goal[pick], f)
-        lr = rate * (1 - 0.9 * t / steps)
-        for k in m:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            p[k] -= (lr / (1 - 0.9**t)) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
-    return p
+    lp, (c1, c2, c3, at, l1, s1, h2, l2, s2, h3, l3, s3) = _levels(m, z, np.maximum(goal, 0))
+    share = there.astype(z.dtype) / there.sum()
+    loss = -float((lp * share).sum(dtype=np.float64))
+    one = np.eye(branch, dtype=z.dtype)
+    o1, o2 = one[c1], one[c2]
+    for e, s, c in ((l1, s1, c1), (l2, s2, c2), (l3, s3, c3)):
+        e *= share / s
+        e[c, at] -= share
+    zt = z.T
+    g["n1"][...], g["c1"][...] = zt @ l1.T, l1.sum(1)
+    dz = p["n1"] @ l1
+    g["n2"][...], g["c2"][...] = h2 @ l2.T, l2 @ o1
+    d2 = p["n2"] @ l2
+    d2 *= h2 > 0
+    g["a2"][...], g["e2"][...] = zt @ d2.T, d2 @ o1
+    dz += p["a2"] @ d2
+    g["n3"][...] = h3 @ l3.T
+    d3 = p["n3"] @ l3
+    d3 *= h3 > 0
+    g["a3"][...], g["e3"][...], g["f3"][...] = zt @ d3.T, d3 @ o1, d3 @ o2
+    dz += p["a3"] @ d3
+    dz = np.ascontiguousarray(dz.T)
+    du = dz @ p["w2"].T
+    du *= u > 0
+    g["w2"][...], g["w1"][...], g["b1"][...] = u.T @ dz, z0.T @ du, du.sum(0)
+    dz += du @ p["w1"].T
+    g["o"][...] = a.T @ dz
+    da = np.empty((len(x), VALUES), x.dtype)
+    np.divide(dz @ p["o"].T, den, out=da[:, :-1])
+    np.negative(np.einsum("ij,ij->i", da[:, :-1], a), out=da[:, -1])
+    da = da.reshape(n, BLOCK, VALUES)
+    q, k, v = y[:, :, :KEYS], y[:, :, KEYS : 2 * KEYS], y[:, :, 2 * KEYS :]
+    dy = np.empty_like(y)
+    dv = dy[:, :, 2 * KEYS :]
+    np.matmul(own.transpose(0, 2, 1), da, out=dv)
+    dv[:-1] += np.matmul(far.transpose(0, 2, 1), da[1:])
+    dv[:, :, -1] = 0
+    do = np.matmul(da, v.transpose(0, 2, 1))
+    do *= own
+    df = np.matmul(da[1:], v[:-1].transpose(0, 2, 1))
+    df *= far
+    dq, dk = dy[:, :, :KEYS], dy[:, :, KEYS : 2 * KEYS]
+    np.matmul(do, k, out=dq)
+    dq[1:] += np.matmul(df, k[:-1])
+    np.matmul(do.transpose(0, 2, 1), q, out=dk)
+    dk[:-1] += np.matmul(df.transpose(0, 2, 1), q[1:])
+    g["dist"][...] = np.bincount(_DIST[_OWN], do.sum(0)[_OWN], 2 * BLOCK) + np.bincount((_DIST + BLOCK).ravel(), df.sum(0).ravel(), 2 * BLOCK)
+    dy = dy.reshape(len(x), -1)
+    g["qkv"][...] = x.T @ dy
+    dz += dy @ p["qkv"].T
+    ids = given.ravel()
+    order = np.argsort(ids.astype(np.uint16) if len(m["emb"]) <= 1 << 16 else ids, kind="stable")
+    ids = ids[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return loss, flat, ids[starts], np.add.reduceat(dz[order], starts, axis=0)
+
+
+class Trainer:
+    """Steps over the blocks of texts, each block once, in runs of permuted order. expected: the ids that are to come in all;
+    the rate falls with those seen to a tenth."""
+
+    RUN = 8
+
+    def __init__(self, model: Model, end: int, expected: int, rate: float, blocks: int = 128, seed: int = 1):
+        self.model, self.end, self.expected, self.rate, self.blocks = {**model, "emb": model["emb"].copy(), "flat": model["flat"].copy()}, end, max(1, expected), rate, blocks
+        self.m, self.s, self.t, self.seen = np.zeros_like(model["flat"]), np.zeros_like(model["flat"]), 0, 0
+        self.sums, self.random = np.full(len(model["emb"]), 1e-8, model["emb"].dtype), np.random.default_rng(seed)
+
+    def feed(self, texts: list[np.ndarray]) -> None:
+        if not texts:
+            return
+        given, goal, first = layout(texts, self.end)
+        run = max(1, min(self.RUN, len(first)))
+        each, order = max(1, self.blocks // run), self.random.permutation(np.arange(0, len(first), run))
+        for k in range(0, len(order), each):
+            pick = (order[k : k + each, None] + np.arange(run)).ravel()
+            head = np.zeros(len(pick), bool)
+            head[::run] = True
+            there = pick < len(first)  # the last run may be shorter
+            pick, head = pick[there], head[there]
+            self.step(given[pick], goal[pick], first[pick] | head)
+
+    def step(self, given: np.ndarray, goal: np.ndarray, first: np.ndarray) -> float:
+        loss, flat, ids, emb = gradients(self.model, given, goal, first)
+        self.seen += int((goal >= 0).sum())
+        self.t += 1
+        rate = self.rate * max(0.1, 1 - 0.9 * self.seen / self.expected)
+        self.m += 0.1 * (flat - self.m)
+        self.s += 0.01 * (flat * flat - self.s)
+        self.model["flat"] -= (rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
+        self.sums[ids] += np.einsum("ij,ij->i", emb, emb)
+        self.model["emb"][ids] -= emb * (10 * rate / np.sqrt(self.sums[ids]))[:, None]
+        return loss

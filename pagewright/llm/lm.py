@@ -1,14 +1,17 @@
 """Language-model scores of documents (operator 7).
 
 Two scores in log10. The base is an add-one unigram over lower-cased words and an end. The model is the causal
-self-attention of `attention` over subword ids: the first `vocabulary` - 1 ids of a public byte-level vocabulary
+self-attention of `attention` over subword ids: the first VOCABULARY - 1 ids of a public byte-level vocabulary
 (itself a byte-level vocabulary, as merges build on earlier ones) and an end. A text is its words, each with one
 blank before it; its score is the probability of the ids of these and of the end.
 
 What is learnt from the corpus. Words and subword ids are counted over all training documents, by partial sums. The
-counts give the base, and the frequency classes and output biases of the model. Its weights start from WARM training
-documents of smallest hash; then all training documents are dealt into parts of about IDS_A_PART ids, each part trains on from
-there over every block once in permuted order, and the weights are averaged by the ids that each part has seen.
+counts give the base, and the order and output biases of the model's choices. Its weights are learnt in ROUNDS. Each
+training document belongs to one round by a hash of its id. A round's documents are dealt at random into parts of
+about IDS_A_PART ids; each part trains on from the last round's weights over every block of its documents, and the
+weights are averaged, those of an embedding by how often each part met its id. So every id of every training document
+is a goal once (PASSES times at most in a corpus of less than LEAST_IDS ids, which would else have too few steps).
+Over MOST_PARTS parts, parts get longer, so the weights that are averaged stay few.
 
 Scale. Words of a count of 2^j and more go to the workers as a dictionary, j being the least for which they are
 HOT_WORDS at most; the other words of a document stay with its row and are joined with their counts, so no worker
@@ -16,7 +19,7 @@ holds the corpus's words. Only weights, counts by id, and sums reach the driver,
 
 Cases. A null text is empty, and an empty one its end alone. A document with a null doc_id has the id text ''. Repeated
 documents each count and are each returned. Extra columns are ignored. Without training documents all counts are zero
-and the model is uniform but for its initial weights. An empty table stays empty.
+and the model has its initial weights. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -37,9 +40,11 @@ from pagewright.llm import attention
 from pagewright.llm.atoms import AtomEncoder, byte_names
 from pagewright.llm.common import Scratch, read, slices, texts_of
 
-VOCABULARY, CLASSES, DIM, HIDDEN = 2048, 64, 32, 64
-WARM, WARM_STEPS, IDS_A_PART = 2000, 2500, 1_000_000
-HOT_WORDS = 1 << 18
+VOCABULARY, DIM = 16384, 32
+#: ends of the rounds in 64ths of the training documents
+ROUNDS, IDS_A_PART, MOST_PARTS = (1, 8, 64), 2_000_000, 16384
+LEAST_IDS, PASSES, RATE, CHUNK = 8_000_000, 20, 3e-3, 300_000
+HOT_WORDS, CACHE = 1 << 18, 300_000
 _CODERS: dict[tuple[str, int], AtomEncoder] = {}
 
 
@@ -63,17 +68,37 @@ def coder(path: str, size: int) -> AtomEncoder:
     return _CODERS[path, size]
 
 
-def words_of(text: str) -> list[str]:
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()]
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def encode(words: list[list[str]], path: str) -> list[np.ndarray]:
-    ids, at = coder(path, VOCABULARY - 1).encode_batch([" " + " ".join(w) if w else "" for w in words])
-    return [ids[a:b].astype(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+class WordIds(dict):
+    """word -> its ids' bytes, with a blank before it; keeps the first CACHE words that it met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.coder = coder(path, VOCABULARY - 1)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = np.frombuffer(self.coder.encode(" " + word.decode("utf-8", "surrogatepass")), "<u4").astype("<u2").tobytes()
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
+_IDS: dict[str, WordIds] = {}
+
+
+def encode(texts: list[list[bytes]], path: str) -> list[np.ndarray]:
+    """The subword ids of texts that are given by their words."""
+    if path not in _IDS:
+        _IDS[path] = WordIds(path)
+    get = _IDS[path].__getitem__
+    return [np.frombuffer(b"".join(map(get, w)), "<u2") for w in texts]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -85,7 +110,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal ends
-            out = pa.RecordBatch.from_arrays([pa.array([*count, *[None] * bool(ends)], pa.string()), pa.array([*count.values(), *[ends] * bool(ends)], pa.int64())], ["word", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array([*count, *[None] * bool(ends)], pa.binary()), pa.array([*count.values(), *[ends] * bool(ends)], pa.int64())], ["word", "c"])
             count.clear()
             ends = 0
             return out
@@ -99,7 +124,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def id_counts(words: DataFrame, path: str) -> np.ndarray:
@@ -121,73 +146,85 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def _trained(rows: DataFrame, start: attention.Params, path: str, steps: int | None) -> DataFrame:
-    """rows (text) -> (weight: ids seen, body: the pickled weights): a row for a partition, more where it has over 2 IDS_A_PART ids.
-
-    With steps, random runs of the partition; without, each of its blocks once.
-    """
+def trained(texts: DataFrame, start: attention.Model, path: str, expected: int, passes: int = 1, rate: float = RATE) -> DataFrame:
+    """texts (text) -> (weight: ids seen, body: the pickled weights and how often each id was met), a row for each partition with texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[np.ndarray] = []
-        n = 0
+        held: list[np.ndarray] = []
+        own = attention.Trainer(start, VOCABULARY - 1, expected * passes, rate)
+        met, n = np.zeros(VOCABULARY, np.int64), 0
 
-        def flush() -> pa.RecordBatch:
+        def feed() -> None:
             nonlocal n
-            out = attention.train(start, texts, VOCABULARY - 1, steps, rate=1e-2 if steps else 2e-3)
-            body = pickle.dumps({k: v for k, v in out.items() if k != "slot"})
-            row = pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([body], pa.binary())], ["weight", "body"])
-            texts.clear()
+            for _ in range(passes):
+                own.feed(held)
+            met[:] += np.bincount(np.concatenate(held), minlength=VOCABULARY)
+            met[VOCABULARY - 1] += len(held)
+            held.clear()
             n = 0
-            return row
 
         for b in slices(batches):
             new = encode([words_of(t) for t in texts_of(b)], path)
-            texts += new
-            n += sum(len(t) + 1 for t in new)
-            if n >= 2 * IDS_A_PART and not steps:  # bounds what a task holds
-                yield flush()
-        if n:
-            yield flush()
-
-    return rows.mapInArrow(run, "weight long, body binary")
+            held += new
+            n += sum(map(len, new)) + len(new)
+            if n >= CHUNK:
+                feed()
+        if held:
+            feed()
+        if own.t:
+            body = pickle.dumps((own.model["flat"], own.model["emb"], met))
+            yield pa.RecordBatch.from_arrays([pa.array([int(met.sum())], pa.int64()), pa.array([body], pa.binary())], ["weight", "body"])
 
-
-def rounds(train: DataFrame, start: attention.Params, path: str, parts: int) -> DataFrame:
-    """(weight, body) of the parts that all of train (doc_id, text) is dealt into; the weights sum to its ids and ends."""
-    return _trained(train.select("doc_id", "text").repartition(parts, F.xxhash64("doc_id", "text")).select("text"), start, path, None)
+    return texts.mapInArrow(run, "weight long, body binary")
 
 
 def _average(parts: DataFrame) -> DataFrame:
-    """Weighted means of eight or so rows at a time, until the driver takes the last."""
+    """Weighted means of the rows of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mean = 0, None
+        total, flat, emb, met = 0, None, None, None
         for b in slices(batches, 1):
-            n, p = b.column("weight")[0].as_py(), pickle.loads(b.column("body")[0].as_py())
+            n, (f, e, m) = b.column("weight")[0].as_py(), pickle.loads(b.column("body")[0].as_py())
             total += n
-            mean = p if mean is None else {k: v + (p[k] - v) * np.float32(n / total) for k, v in mean.items()}
-        if mean is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([pickle.dumps(mean)], pa.binary())], ["weight", "body"])
+            if flat is None:
+                flat, emb, met = f, e, m
+                continue
+            flat += (f - flat) * np.float32(n / total)
+            met = met + m
+            emb += (e - emb) * (m / np.maximum(met, 1)).astype(np.float32)[:, None]
+        if flat is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([pickle.dumps((flat, emb, met))], pa.binary())], ["weight", "body"])
 
     return parts.mapInArrow(run, "weight long, body binary")
 
 
-def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, path: str) -> attention.Params:
-    p = attention.init(VOCABULARY, CLASSES, DIM, HIDDEN, counts)
+def in_round(docs: DataFrame, k: int) -> DataFrame:
+    """The training documents of round k; a row is in one round."""
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS[-1]))
+    return training(docs).where((part >= (ROUNDS[k - 1] if k else 0)) & (part < ROUNDS[k]))
+
+
+def training(docs: DataFrame) -> DataFrame:
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    train = docs.where(~held)
-    warm = train.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(WARM).repartition(1)
-    got = _trained(warm.select("text"), p, path, WARM_STEPS).collect()  # one set of weights
-    if not got:
-        return p
-    p |= pickle.loads(got[0]["body"])
-    parts = max(1, -(-int(counts.sum()) // IDS_A_PART))
-    each = scratch.table(rounds(train, p, path, parts))
-    while parts > 8:
-        parts = -(-parts // 8)
-        each = scratch.table(_average(each.repartition(parts)))
-    got = _average(each.coalesce(1)).collect()
-    return p | pickle.loads(got[0]["body"]) if got else p
+    return docs.where(~held)
+
+
+def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, path: str) -> attention.Model:
+    model, total = attention.init(VOCABULARY, DIM, counts), int(counts.sum())
+    passes = max(1, min(PASSES, -(-LEAST_IDS // max(total, 1))))
+    for k, end in enumerate(ROUNDS):
+        share = total * (end - (ROUNDS[k - 1] if k else 0)) // ROUNDS[-1]
+        parts = max(1, min(MOST_PARTS, -(-share // IDS_A_PART)))
+        dealt = in_round(docs, k).select("text").repartition(parts, F.rand(k))
+        each = scratch.table(trained(dealt, model, path, share // parts, passes, RATE / (1 + k)))
+        while parts > 8:
+            parts = -(-parts // 8)
+            each = scratch.table(_average(each.repartition(parts)))
+        got = _average(each.coalesce(1)).collect()  # one set of weights
+        if got:
+            flat, emb, _ = pickle.loads(got[0]["body"])
+            model = {**model, "flat": flat, "emb": emb}
+    return model
 
 
 def scores(docs: DataFrame, path: str) -> DataFrame:
@@ -203,7 +240,7 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
             low = 1 << (level + 1)
             break
         held += n
-    hot = {r[0]: r[1] for r in words.where(F.col("c") >= low).collect()}  # HOT_WORDS at most
+    hot = {None if r[0] is None else bytes(r[0]): r[1] for r in words.where(F.col("c") >= low).collect()}  # HOT_WORDS at most
     ends = words.where("word is null").first()
     hot[None] = ends["c"] if ends else 0
     model = fit(scratch, docs, id_counts(words, path), path)
@@ -223,13 +260,13 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
                 seen = [x for x in got if x is not None]
                 base.append(sum(seen) + logs[None])
                 known.append(len(seen) + end_known)
-                rare.append(list(Counter(x for x, y in zip(w, got) if y is None).items()) if len(seen) < len(w) else [])
+                rare.append(Counter(x for x, y in zip(w, got) if y is None) if len(seen) < len(w) else {})
             cols = [pa.array(map(is_held_out, b.column("doc_id").to_pylist()), pa.bool_()), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-            kind = pa.list_(pa.struct([("w", pa.string()), ("k", pa.int64())]))
-            cols.append(pa.array([[{"w": x, "k": k} for x, k in r] for r in rare], kind))
+            pairs = pa.StructArray.from_arrays([pa.array([x for r in rare for x in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["w", "k"])
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]), pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<w:string,k:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<w:binary,k:long>>"
     rows = scratch.table(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.k")
     tail = tail.join(words.where(F.col("c") < low), F.col("w") == F.col("word"))

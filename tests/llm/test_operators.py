@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from pagewright.llm import attention, bpe, html, lines, lm, packing, quality, rules, simhash, sketch, token_store
+from pagewright.llm import bpe, html, lines, lm, packing, quality, rules, simhash, sketch, token_store
 from pagewright.llm.common import Scratch
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
@@ -276,7 +276,7 @@ def test_style_tree_removes_boxes_that_do_not_change(spark):
 
 
 def test_lm(docs, none, monkeypatch):
-    monkeypatch.setattr(lm, "WARM_STEPS", 20)
+    monkeypatch.setattr(lm, "LEAST_IDS", 1)
     monkeypatch.setattr(lm, "HOT_WORDS", 8)
     path = P.path("byte_bpe_50k.json")
     assert lm.scores(none, path).collect() == []
@@ -287,31 +287,3 @@ def test_lm(docs, none, monkeypatch):
     want = sorted((str(d), len(x), sum(count[w] > 0 for w in x), round(sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in x), 6)) for d, x in words)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and r.train_tokens == total for r in got)
-
-
-def test_attention_is_a_distribution_and_windows_do_not_matter_to_batches():
-    rng = np.random.default_rng(0)
-    p = attention.init(50, 7, 8, 12, rng.integers(1, 100, 50))
-    p = {k: v.astype(np.float64) if k != "slot" else v for k, v in p.items()}
-    texts = [rng.integers(0, 49, n) for n in (5, 40, 17, 0)]
-    one = np.concatenate([attention.score(p, [t], 49) for t in texts])
-    assert np.allclose(one, attention.score(p, texts, 49), atol=1e-5)
-    total = sum(math.exp(attention.score(p, [np.array([k])], 49)[0] - attention.log_probabilities(p, *_after(p, k))[0]) for k in range(49))
-    assert 0 < total < 1  # the rest is the end
-    given, goal, first = attention.layout(texts, 49)
-    loss, g = attention.gradients(p, given, goal, first)
-    for name in g:
-        at = tuple(rng.integers(0, s) for s in p[name].shape)
-        old, e = p[name][at], 1e-5
-        p[name][at] = old + e
-        up = attention.gradients(p, given, goal, first)[0]
-        p[name][at] = old - e
-        down = attention.gradients(p, given, goal, first)[0]
-        p[name][at] = old
-        assert (up - down) / 2 / e == pytest.approx(g[name][at], rel=1e-3, abs=1e-6)
-
-
-def _after(p, k):
-    given, goal, first = attention.layout([np.array([k])], 49)
-    z, _ = attention.forward(p, given, first)
-    return z.reshape(-1, z.shape[-1])[1:2], np.array([49])
