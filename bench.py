@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from pagewright.plans.catalogue import QUERIES
 
-NAMES = ["pdf_rect_boxes", "pdf_text_boxes", "page_verdict", "text_lines", "ocr_regions", "vector_clusters", "vector_features", "letter_runs", "rules_placed", "image_kinds", "strip_stacks", "diff_outputs"]
+NAMES = ["pdf_rect_boxes", "pdf_text_boxes", "page_verdict", "text_lines", "ocr_regions", "page_map", "vector_clusters", "vector_features", "vector_kinds", "letter_runs", "rules_placed", "image_kinds", "strip_stacks", "diff_outputs"]
 
 
 def main() -> None:

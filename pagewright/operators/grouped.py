@@ -6,6 +6,8 @@ Neighbour searches go through a grid or a sorted array: no operator compares all
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,14 +33,14 @@ def touching_roots(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarra
     cells: dict[tuple[int, int], list[int]] = {}
     for k in np.flatnonzero(~alone).tolist():
         seen: set[int] = set()
-        span = [(cx, cy) for cx in range((x0[k] - TOUCH) // CELL, x1[k] // CELL + 1) for cy in range((y0[k] - TOUCH) // CELL, y1[k] // CELL + 1)]
+        span = [(cx, cy) for cx in range(int((x0[k] - TOUCH) // CELL), int(x1[k] // CELL) + 1) for cy in range(int((y0[k] - TOUCH) // CELL), int(y1[k] // CELL) + 1)]
         for c in span:
             for j in cells.get(c, ()):
                 if j not in seen and x0[j] <= x1[k] + TOUCH and x0[k] <= x1[j] + TOUCH and y0[j] <= y1[k] + TOUCH and y0[k] <= y1[j] + TOUCH:
                     a, b = find(j), find(k)
                     root[max(a, b)] = min(a, b)
                 seen.add(j)
-        wide = [(cx, cy) for cx in range((x0[k] - TOUCH) // CELL, (x1[k] + TOUCH) // CELL + 1) for cy in range((y0[k] - TOUCH) // CELL, (y1[k] + TOUCH) // CELL + 1)]
+        wide = [(cx, cy) for cx in range(int((x0[k] - TOUCH) // CELL), int((x1[k] + TOUCH) // CELL) + 1) for cy in range(int((y0[k] - TOUCH) // CELL), int((y1[k] + TOUCH) // CELL) + 1)]
         for c in wide:
             cells.setdefault(c, []).append(k)
     return np.array([find(k) for k in range(len(x0))], np.int64)
@@ -95,29 +97,58 @@ def letter_runs(letters: DataFrame) -> DataFrame:
 
 
 def merged_strips(rows: list[dict]) -> list[dict]:
-    """The first pair in list order whose edges agree and touch is merged into the first, until none is left."""
+    """The first pair in list order whose edges agree and touch is merged into the first, until none is left.
+
+    Partners are looked up by their rounded left and top edges. Only the merged image changes, so only it and the
+    images before it that could now reach it are looked at again.
+    """
     rows = [dict(r) for r in rows]
-    again = True
-    while again:
-        again = False
-        for a in range(len(rows)):
-            p = rows[a]
-            for b in range(len(rows)):
-                q = rows[b]
-                if a == b or p["mask"] != q["mask"]:
-                    continue
-                down = abs(p["x0"] - q["x0"]) <= STRIP_EDGE and abs(p["x1"] - q["x1"]) <= STRIP_EDGE and q["y0"] >= p["y0"] and abs(q["y0"] - p["y1"]) <= STRIP_GAP
-                side = abs(p["y0"] - q["y0"]) <= STRIP_EDGE and abs(p["y1"] - q["y1"]) <= STRIP_EDGE and q["x0"] >= p["x0"] and abs(q["x0"] - p["x1"]) <= STRIP_GAP
-                if down or side:
-                    p["px_w"], p["px_h"] = (max(p["px_w"], q["px_w"]), p["px_h"] + q["px_h"]) if down else (p["px_w"] + q["px_w"], max(p["px_h"], q["px_h"]))
-                    p["x0"], p["y0"], p["x1"], p["y1"] = min(p["x0"], q["x0"]), min(p["y0"], q["y0"]), max(p["x1"], q["x1"]), max(p["y1"], q["y1"])
-                    p["parts"], p["image_idx"] = p["parts"] + q["parts"], min(p["image_idx"], q["image_idx"])
-                    del rows[b]
-                    again = True
-                    break
-            if again:
-                break
-    return rows
+    live, cells = [True] * len(rows), {}
+    step = STRIP_EDGE + STRIP_GAP
+
+    def cell(v: float) -> int:
+        return int(v // step)
+
+    for k, r in enumerate(rows):
+        cells.setdefault((cell(r["x0"]), cell(r["y0"])), set()).add(k)
+
+    def around(x: float, y: float) -> set[int]:
+        return set().union(*(cells.get((cell(x) + a, cell(y) + b), ()) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+
+    def partner(a: int) -> tuple[int, bool] | None:
+        p = rows[a]
+        for b in sorted(around(p["x0"], p["y1"]) | around(p["x1"], p["y0"])):
+            q = rows[b]
+            if a == b or p["mask"] != q["mask"]:
+                continue
+            down = abs(p["x0"] - q["x0"]) <= STRIP_EDGE and abs(p["x1"] - q["x1"]) <= STRIP_EDGE and q["y0"] >= p["y0"] and abs(q["y0"] - p["y1"]) <= STRIP_GAP
+            side = abs(p["y0"] - q["y0"]) <= STRIP_EDGE and abs(p["y1"] - q["y1"]) <= STRIP_EDGE and q["x0"] >= p["x0"] and abs(q["x0"] - p["x1"]) <= STRIP_GAP
+            if down or side:
+                return b, down
+        return None
+
+    todo = list(range(len(rows)))
+    heapq.heapify(todo)
+    waiting = set(todo)
+    while todo:
+        a = heapq.heappop(todo)
+        waiting.discard(a)
+        if not live[a] or not (hit := partner(a)):
+            continue
+        b, down = hit
+        p, q = rows[a], rows[b]
+        for k in (a, b):
+            cells[cell(rows[k]["x0"]), cell(rows[k]["y0"])].discard(k)
+        p["px_w"], p["px_h"] = (max(p["px_w"], q["px_w"]), p["px_h"] + q["px_h"]) if down else (p["px_w"] + q["px_w"], max(p["px_h"], q["px_h"]))
+        p["x0"], p["y0"], p["x1"], p["y1"] = min(p["x0"], q["x0"]), min(p["y0"], q["y0"]), max(p["x1"], q["x1"]), max(p["y1"], q["y1"])
+        p["parts"], p["image_idx"] = p["parts"] + q["parts"], min(p["image_idx"], q["image_idx"])
+        live[b] = False
+        cells.setdefault((cell(p["x0"]), cell(p["y0"])), set()).add(a)
+        for k in [a, *(k for k in range(len(rows)) if live[k] and k != a and (abs(rows[k]["y1"] - p["y0"]) <= step or abs(rows[k]["x1"] - p["x0"]) <= step))]:
+            if k not in waiting:
+                heapq.heappush(todo, k)
+                waiting.add(k)
+    return [r for r, x in zip(rows, live) if x]
 
 
 _STRIP = ["page_n", "image_idx", "x0", "y0", "x1", "y1", "px_w", "px_h", "mask"]
@@ -135,20 +166,45 @@ def strip_merge(images: DataFrame) -> DataFrame:
 
 
 def ink_boxes(ink: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Boxes (x0, y0, x1, y1, pixels) of 8-connected parts, in order of their first pixel by row."""
-    h, w = ink.shape
-    label, out = np.where(ink, np.arange(1, h * w + 1).reshape(h, w), h * w + 1), []
-    while True:  # smallest label of the neighbourhood until nothing changes
-        wide = np.pad(label, 1, constant_values=h * w + 1)
-        low = np.min([wide[a : a + h, b : b + w] for a in range(3) for b in range(3)], axis=0)
-        low = np.where(ink, low, h * w + 1)
-        if (low == label).all():
-            break
-        label = low
-    for k in np.unique(label[ink]).tolist():
-        y, x = np.nonzero(label == k)
-        out.append((int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1, len(x)))
-    return out
+    """Boxes (x0, y0, x1, y1, pixels) of 8-connected parts, in order of their first pixel by row.
+
+    Runs of each row are joined with the runs of the row above that touch them: one pass, whatever the parts' shapes.
+    """
+    edge = np.diff(np.pad(ink, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    ys, starts = np.nonzero(edge == 1)
+    ends = np.nonzero(edge == -1)[1]
+    root = list(range(len(ys)))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    row = np.searchsorted(ys, np.arange(ink.shape[0] + 1)).tolist()
+    s, e = starts.tolist(), ends.tolist()
+    for y in range(1, ink.shape[0]):
+        k, last = row[y - 1], row[y]
+        for j in range(row[y], row[y + 1]):
+            while k < last and e[k] < s[j]:
+                k += 1
+            i = k
+            while i < last and s[i] <= e[j]:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+                i += 1
+    if not root:
+        return []
+    of = np.array([find(k) for k in range(len(root))])
+    parts, at = np.unique(of, return_inverse=True)
+    low, high = np.iinfo(np.int64).max, -1
+    x0, y0, x1, y1, n = (np.full(len(parts), v, np.int64) for v in (low, low, high, high, 0))
+    np.minimum.at(x0, at, starts)
+    np.minimum.at(y0, at, ys)
+    np.maximum.at(x1, at, ends)
+    np.maximum.at(y1, at, ys + 1)
+    np.add.at(n, at, ends - starts)
+    return list(zip(*(v.tolist() for v in (x0, y0, x1, y1, n))))
 
 
 def ink_components(bitmaps: DataFrame, below: int = 128) -> DataFrame:

@@ -1,39 +1,13 @@
-"""Named queries over the test tables, each with its SQL twin."""
+"""Named queries over the test tables, each with SQL that was written apart from it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.operators import relational
-from pagewright.plans import grouped
-from pagewright.sources import fixtures
+from pagewright.plans import grouped, pages
 
-HIDDEN_STEPS = {"features": "ocr_features", "hist": "image_hist_features"}
-
-
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A relational operator over the fixture views, its own inputs first."""
-    done: dict[str, DataFrame] = {}
-
-    def get(x: str) -> DataFrame:
-        if x not in done:
-            done[x] = relational.run(spark, x, **{y: get(y) for y in relational.inputs(x)}) if x in relational.TEXTS else fixtures.frame(spark, sf_dir, x)
-        return done[x]
-
-    return get(name)
-
-
-def _relational(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, name)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-for _name in relational.TEXTS:
-    QUERIES[HIDDEN_STEPS.get(_name, _name)] = partial(_relational, _name)
-    ORACLE_SQL[HIDDEN_STEPS.get(_name, _name)] = relational.second_engine(_name, fixtures.duck)
-for _name, (_query, _sql) in grouped.ALL.items():
-    QUERIES[_name], ORACLE_SQL[_name] = _query, _sql
+ALL = pages.ALL | grouped.ALL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in ALL.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in ALL.items() if sql}

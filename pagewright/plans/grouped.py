@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators import grouped
+from pagewright.operators import grouped, vectors
 from pagewright.sources import fixtures, pdf
 
 _PATHS, _LETTERS, _STRIPS, _BITMAPS = (fixtures.duck(x) for x in ("paths", "letters", "strips", "bitmaps"))
@@ -65,6 +65,60 @@ SELECT page_n, cluster, min(x0) AS cx0, min(y0) AS cy0, max(x1) AS cx1, max(y1)
 FROM (SELECT p.*, cluster, NOT is_empty AS s, x1-x0 AS w, y1-y0 AS h, y1-y0<=40 AND x1-x0>=4*greatest(y1-y0,2.5) AS th, x1-x0<=40 AND y1-y0>=4*greatest(x1-x0,2.5) AS tv FROM {_PATHS} p JOIN ({CLUSTERS_SQL}) c ON p.page_n=c.page_n AND p.ord=c.ord) q GROUP BY page_n, cluster"""
 
 
+def _counted(xs: str) -> str:
+    """Positions of a list, each over a point after the last one counted."""
+    return f"coalesce(list_reduce(list_transform(list_sort({xs}), lambda x: {{'x': x, 'n': 1, 'last': x}}), lambda a, b: CASE WHEN b.x-a.last>10 THEN {{'x': b.x, 'n': a.n+1, 'last': b.x}} ELSE {{'x': b.x, 'n': a.n, 'last': a.last}} END).n, 0)"
+
+
+def _sessions(at: str, keep: str) -> str:
+    """Rows of q that hold, numbered by groups of positions that follow each other within a point."""
+    return f"""(SELECT *, sum(new) OVER (PARTITION BY page_n, cluster ORDER BY {at}, ord ROWS UNBOUNDED PRECEDING) AS s FROM (
+  SELECT *, CASE WHEN {at}-lag({at}) OVER (PARTITION BY page_n, cluster ORDER BY {at}, ord)<=10 THEN 0 ELSE 1 END AS new FROM q WHERE {keep}) a) b"""
+
+
+def _lines_in(at: str, length: str, span: str, keep: str) -> str:
+    return f"(SELECT page_n, cluster, count(*) AS n FROM (SELECT page_n, cluster, s, sum({length}) AS t, min({span}) AS span FROM {_sessions(at, keep)} GROUP BY page_n, cluster, s) c WHERE t>=0.5*span GROUP BY page_n, cluster)"
+
+
+_CELL = "is_rect AND NOT th AND NOT tv AND w*h<0.5*cw*ch"
+
+
+def _edges_shared(at: str) -> str:
+    return f"(SELECT page_n, cluster, count(*) AS n FROM (SELECT page_n, cluster, s FROM {_sessions(at, _CELL)} GROUP BY page_n, cluster, s HAVING count(*)>=2) c GROUP BY page_n, cluster)"
+
+
+_LETTER_SHAPES = f"(SELECT page_n, ord, x0, y0, x1, y1 FROM {_PATHS} v WHERE NOT is_empty AND fill AND NOT stroke AND NOT is_rect AND y1-y0 BETWEEN 20 AND 800 AND x1-x0<=3*(y1-y0) AND (n_curves>0 OR n_lines>=3))"
+VECTOR_KINDS_SQL = f"""
+WITH p AS MATERIALIZED (SELECT v.*, c.cluster, coalesce(r.run_length, 1) AS run, x1-x0 AS w, y1-y0 AS h FROM {_PATHS} v JOIN ({CLUSTERS_SQL}) c ON v.page_n=c.page_n AND v.ord=c.ord
+ LEFT JOIN ({LETTER_RUNS_SQL.replace(_LETTERS, _LETTER_SHAPES)}) r ON v.page_n=r.page_n AND v.ord=r.ord),
+k AS MATERIALIZED (SELECT page_n, cluster, min(x0) AS cx0, min(y0) AS cy0, max(x1) AS cx1, max(y1) AS cy1, max(x1)-min(x0) AS cw, max(y1)-min(y0) AS ch FROM p GROUP BY page_n, cluster),
+q AS MATERIALIZED (SELECT p.*, cx0, cy0, cx1, cy1, cw, ch, h<=40 AND w>=4*greatest(h,2.5) AS th, w<=40 AND h>=4*greatest(w,2.5) AS tv, (x0+x1)/2.0 AS mx, (y0+y1)/2.0 AS my, greatest(0.03*greatest(cw,ch),60) AS edge
+ FROM p JOIN k ON p.page_n=k.page_n AND p.cluster=k.cluster WHERE NOT is_empty),
+f AS (SELECT page_n, cluster, count(*) AS n, count(CASE WHEN th THEN 1 END) AS hl, count(CASE WHEN tv AND NOT th THEN 1 END) AS vl, count(CASE WHEN run>=3 THEN 1 END) AS glyphs, count(CASE WHEN is_rect AND stroke AND NOT fill THEN 1 END) AS open_rects,
+ {_counted("list(my) FILTER (WHERE th AND w>=0.5*cw)")} AS rows, {_counted("list(mx) FILTER (WHERE tv AND NOT th AND h>=0.5*ch)")} AS cols,
+ least(1.0, sum(CASE WHEN fill AND NOT th AND NOT tv THEN w*h ELSE 0 END)/CAST(min(cw*ch) AS DOUBLE)) AS filled, least(1.0, sum(CASE WHEN {_CELL} THEN w*h ELSE 0 END)/CAST(min(cw*ch) AS DOUBLE)) AS cell_cover,
+ bool_or(is_rect AND stroke AND cw>=100 AND ch>=100 AND w*h>=0.85*cw*ch) OR (bool_or(th AND w>=0.9*cw AND abs(y0-cy0)<=20) AND bool_or(th AND w>=0.9*cw AND abs(y1-cy1)<=20) AND bool_or(tv AND h>=0.9*ch AND abs(x0-cx0)<=20) AND bool_or(tv AND h>=0.9*ch AND abs(x1-cx1)<=20) AND min(cw)>=100 AND min(ch)>=100) AS framed
+ FROM q GROUP BY page_n, cluster),
+g AS (SELECT k.page_n, k.cluster, cw, ch, coalesce(f.n,0) AS n, hl, vl, glyphs, open_rects, rows, cols, filled, cell_cover, framed,
+ coalesce(ri.n,0) AS rows_in, coalesce(ci.n,0) AS cols_in, coalesce(cr.n,0) AS cell_rows, coalesce(cc.n,0) AS cell_cols FROM k LEFT JOIN f ON k.page_n=f.page_n AND k.cluster=f.cluster
+ LEFT JOIN {_lines_in("my", "w", "cw", "th AND my>cy0+edge AND my<cy1-edge")} ri ON k.page_n=ri.page_n AND k.cluster=ri.cluster LEFT JOIN {_lines_in("mx", "h", "ch", "tv AND mx>cx0+edge AND mx<cx1-edge")} ci ON k.page_n=ci.page_n AND k.cluster=ci.cluster
+ LEFT JOIN {_edges_shared("y0")} cr ON k.page_n=cr.page_n AND k.cluster=cr.cluster LEFT JOIN {_edges_shared("x0")} cc ON k.page_n=cc.page_n AND k.cluster=cc.cluster),
+m AS (SELECT *, CASE WHEN n=0 THEN 1 WHEN 2*glyphs>=n THEN 2 WHEN (rows_in>=2 AND cols_in>=1) OR (cell_rows>=2 AND cell_cols>=2 AND cell_cover>=0.6) THEN 3 WHEN hl+vl=n AND ((vl=0 AND rows<=1) OR (hl=0 AND cols<=1)) THEN 4
+ WHEN framed OR (cw>=100 AND ch>=100 AND open_rects>=1 AND n<=2 AND filled<0.2) THEN 5 WHEN filled>=0.6 AND n<=3 THEN 6 ELSE 7 END AS rule FROM g)
+SELECT page_n, cluster, CASE rule WHEN 2 THEN 'outlined_text' WHEN 3 THEN 'table_grid' WHEN 4 THEN 'rule' WHEN 5 THEN 'border' WHEN 7 THEN 'chart_or_diagram' ELSE 'fill' END AS kind, CASE rule WHEN 1 THEN 500 WHEN 6 THEN 850 WHEN 7 THEN CASE WHEN n>=5 THEN 700 ELSE 500 END ELSE 900 END AS confidence_e3,
+ CASE rule WHEN 2 THEN 900 WHEN 7 THEN CAST(floor(1000*(0.05e0+0.5e0*glyphs/n)+0.5) AS BIGINT) ELSE 20 END AS has_text_e3, n, CASE WHEN n>0 THEN rows END AS rows, CASE WHEN n>0 THEN cols END AS cols, CASE WHEN n>0 THEN rows_in END AS rows_in, CASE WHEN n>0 THEN cols_in END AS cols_in,
+ CASE WHEN n>0 THEN cell_rows END AS cell_rows, CASE WHEN n>0 THEN cell_cols END AS cell_cols, framed, CAST(floor(1000*filled+0.5) AS BIGINT) AS filled_e3 FROM m"""
+
+
+def vector_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of the clusters of touching boxes."""
+    paths, unit = fixtures.primitives(spark, sf_dir, "paths").drop("cluster"), fixtures.UNIT
+    of = vectors.clusters(paths, fixtures.WIDTH * fixtures.HEIGHT, unit)
+    f = vectors.kinds(vectors.features(paths, of, vectors.letter_runs(paths, unit), unit), unit)
+    e3 = lambda c: F.floor(1000 * F.col(c) + 0.5).cast("long").alias(f"{c}_e3")
+    return f.select("page_n", "cluster", "kind", e3("confidence"), e3("has_text"), "n", "rows", "cols", "rows_in", "cols_in", "cell_rows", "cell_cols", "framed", e3("filled"))
+
+
 def letter_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.letter_runs(fixtures.frame(spark, sf_dir, "letters"))
 
@@ -187,5 +241,5 @@ ALL = {
     "pdf_rect_boxes": (pdf_rect_boxes, PDF_RECT_SQL), "pdf_clip_flags": (pdf_clip_flags, PDF_CLIP_SQL), "pdf_stroke_boxes": (pdf_stroke_boxes, PDF_STROKE_SQL), "pdf_image_dpi": (pdf_image_dpi, PDF_IMAGE_SQL),
     "pdf_text_boxes": (pdf_text_boxes, PDF_TEXT_SQL), "pdf_annots": (pdf_annots, PDF_ANNOTS_SQL), "pdf_white_order": (pdf_white_order, PDF_WHITE_SQL), "pdf_status": (pdf_status, PDF_STATUS_SQL),
     "vector_clusters": (vector_clusters, CLUSTERS_SQL), "cluster_flags": (cluster_flags, CLUSTER_FLAGS_SQL), "vector_features": (vector_features, VECTOR_FEATURES_SQL), "letter_runs": (letter_runs, LETTER_RUNS_SQL),
-    "strip_stacks": (strip_stacks, STRIPS_SQL), "ink_components": (ink_components, INK_SQL),
+    "vector_kinds": (vector_kinds, VECTOR_KINDS_SQL), "strip_stacks": (strip_stacks, STRIPS_SQL), "ink_components": (ink_components, INK_SQL),
 }

@@ -1,6 +1,6 @@
 """Page primitives derived from the test tables, as SQL of either engine; lengths are tenths of a point.
 
-A page is 6,000 x 8,000 tenths. `of(name, engine)` is a subquery over the base tables; base tables appear as {table}
+A page is 6,000 x 8,000 tenths. `primitives` gives a view the columns that the page operators take. `of(name, engine)` is a subquery over the base tables; base tables appear as {table}
 for Spark (DataFrames by name) and by their names for DuckDB.
 """
 
@@ -22,7 +22,7 @@ _GLYPHS = """SELECT doc_id AS page_n, i-1 AS ord, c, c IN (' ',chr(10),chr(9),ch
  360+((i-1)%80)*62+CASE WHEN (doc_id*7+i*13)%17=0 THEN 18 ELSE 0 END AS ux,
  360+CAST(floor((i-1)/80.0) AS BIGINT)*140+CASE WHEN (doc_id+i)%29=0 THEN 60 ELSE 0 END AS uy, 60 AS adv, 100 AS size,
  doc_id%10=3 AS invisible, (i%50<3 AND doc_id%7=0) AS white, NOT(doc_id%13=5 AND i%3<>0) AS mapped, doc_id%3 AS font FROM """
-_GLYPHS_SPARK = _GLYPHS + "(SELECT doc_id, i, substr(text,i,1) AS c FROM <documents> LATERAL VIEW explode(sequence(1,length(text))) e AS i WHERE length(text) > 0) t"
+_GLYPHS_SPARK = _GLYPHS + "(SELECT doc_id, p+1 AS i, c FROM (SELECT /*+ REPARTITION(64, doc_id) */ doc_id, text FROM <documents> WHERE length(text) > 0) d LATERAL VIEW posexplode(split(text,'')) e AS p, c) t"
 _GLYPHS_DUCK = _GLYPHS + "(SELECT doc_id, i, substr(text,i,1) AS c FROM (SELECT doc_id,text,unnest(range(1,length(text)+1)) AS i FROM <documents>) d) t"
 
 _IMAGES = """SELECT p_partkey AS page_n, 0 AS image_idx, 300+(p_size*97)%2000 AS x0, 300+(p_partkey*61)%3000 AS y0, 300+(p_size*97)%2000+10+(p_partkey*89)%3500 AS x1, 300+(p_partkey*61)%3000+10+(p_size*131)%3000 AS y1,
@@ -67,3 +67,18 @@ def duck(name: str) -> str:
     for b in BASE:
         text = text.replace(f"<{b}>", b)
     return f"({text})"
+
+
+_SHAPES = {
+    "glyphs": "c AS text, ux AS x0, uy-80 AS y0, ux+adv AS x1, uy+20 AS y1, ux+adv AS ex, uy AS ey, 1.0D AS dx, 0.0D AS dy, false AS annot, false AS offpage, false AS hidden",
+    "images": "10000000+image_idx AS ord, false AS inline, false AS annot, false AS hidden, false AS clipped, true AS upright, 1 AS parts",
+    "paths": "20000000+ord AS map_ord, ord AS cluster, is_empty AS empty, is_rect AS rect, is_rect AS closed, 0 AS seg_rows, 0 AS seg_cols, false AS shading, false AS annot, false AS offpage, false AS hidden, false AS clipped",
+    "annots": "30000000+subtype_id AS ord, subtype_id AS annot_idx, x0+900 AS x1, y0+140 AS y1, false AS offpage",
+}
+WIDTH, HEIGHT, UNIT = 6000, 8000, 10
+
+
+def primitives(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view keyed by (doc_id, page_n) with the columns of the page operators; the document is always 0."""
+    more = f", {_SHAPES[name]}" if name in _SHAPES else ""
+    return frame(spark, sf_dir, name).selectExpr("CAST(0 AS BIGINT) AS doc_id", "*", *(x.strip() for x in more.split(",") if x.strip()))

@@ -13,8 +13,6 @@ from pagewright.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-LARGE = {"words", "word_lines", "text_lines", "page_map", "png_predictor_up", "decode_flip", "vector_features", "cluster_flags"}
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -23,25 +21,21 @@ def duck():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 
-
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     return sorted((tuple(x if x is None or isinstance(x, (str, bool)) else float(x) for x in (r[k] for k in order)) for r in rows), key=repr)
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - LARGE))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, DATA), duck.sql(catalogue.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns)
 
-
 def test_entry_names_every_query():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
-
 def page(content, extra="", objects="", media="[0 0 600 800]"):
     return (
         "%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[3 0 R]>>endobj 3 0 obj<</Type/Page/MediaBox" + media + "/Contents 6 0 R/Resources<</XObject<</A 4 0 R/Fm 9 0 R>>"
@@ -49,17 +43,14 @@ def page(content, extra="", objects="", media="[0 0 600 800]"):
         "7 0 obj<</N 3/Length 0>>stream\n\nendstream endobj " + objects + " 6 0 obj<<>>stream\n" + content + "\nendstream endobj"
     ).encode()
 
-
 def rows(content, **more):
     status, pages = pdf.extract(page(content, **more))
     assert status == "ok" and len(pages) == 1
     return pages[0]
 
-
 def box(r):
     return tuple(round(r[c], 6) for c in ("x0", "y0", "x1", "y1"))
 
-
 @pytest.mark.parametrize(
     "content, want",
     [
@@ -71,7 +62,6 @@ def box(r):
 def test_boxes(content, want):
     assert box(rows(content)[0]) == want
 
-
 def test_white_clip_order_and_inline():
     got = rows("1 g 0 0 9 9 re f 1 1 1 RG 0 0 9 9 re S 1 g 0 G 0 0 9 9 re B 0 0 0 0 k 0 0 9 9 re f /I cs 1 1 1 sc 0 0 9 9 re f")
     assert [r["white"] for r in got] == [True, True, False, True, True] and [r["ord"] for r in got] == list(range(5))
@@ -85,7 +75,6 @@ def test_white_clip_order_and_inline():
     shapes = rows("0 0 9 9 re f 0 0 m 9 0 l 9 9 l h f 0 0 m 1 9 8 9 9 0 c S")
     assert [(r["n_lines"], r["n_curves"], r["rect"], r["closed"]) for r in shapes] == [(4, 0, True, True), (3, 0, False, True), (0, 1, False, False)]
 
-
 def test_crop_and_damage():
     r = rows("q 50 0 0 50 110 110 cm /A Do Q", extra="/CropBox[100 100 500 700]")[0]
     assert (r["x0"], r["y1"]) == (10, 590)
@@ -93,7 +82,6 @@ def test_crop_and_damage():
     assert pdf.extract(b"%PDF-1.4 /Encrypt")[0] == "encrypted" and pdf.extract(b"%PDF-1.4 << ( [")[0] == "ok"
     assert rows("( [ << 1 2 re f Q Q /X Tf ET 5 5 5 5 re f")[0:1] is not None
 
-
 def test_filters_and_predictors():
     import base64
     import zlib
@@ -104,7 +92,6 @@ def test_filters_and_predictors():
     assert pdf.predicted(bytes([1, 10, 10, 2, 0, 0]), {"Predictor": 15, "Columns": 2}) == bytes([10, 20, 10, 20])
     assert pdf.cubic_range(0, 1, 1, 0) == (0, 0.75) and pdf.cubic_range(0, 1, 2, 3) == (0, 3)
 
-
 def test_clusters_and_runs_by_brute_force():
     rng = np.random.default_rng(1)
     x0, y0 = rng.integers(0, 3000, 150), rng.integers(0, 3000, 150)
@@ -117,19 +104,16 @@ def test_clusters_and_runs_by_brute_force():
     assert got.tolist() == root
     assert grouped.chains(np.array([0, 12, 24, 300]), np.array([0, 0, 0, 0]), np.array([10, 22, 34, 310]), np.array([10, 10, 10, 10])).tolist() == [3, 3, 3, 1]
 
-
 def test_strips():
     s = [{"image_idx": k, "x0": 0, "y0": 100 * k, "x1": 500, "y1": 100 * (k + 1), "px_w": 8, "px_h": 4, "mask": False, "parts": 1} for k in range(3)]
     (m,) = grouped.merged_strips(s)
     assert m["parts"] == 3 and m["px_h"] == 12 and m["y1"] == 300
     assert len(grouped.merged_strips([s[0], s[1] | {"mask": True}])) == 2 and len(grouped.merged_strips([s[0], s[1] | {"y0": 150, "y1": 250}])) == 2
 
-
 def test_geometry(spark):
     r = spark.sql("SELECT 90 AS rot, 10.0D AS a, 20.0D AS b, 30.0D AS c, 60.0D AS d").select(geometry.on_page(*map(F.col, "abcd"), F.col("rot"), 600, 800).alias("p"), geometry.r1(F.lit(-0.25)).alias("r"), geometry.ramp(F.lit(5.0), 10, 0).alias("s")).first()
     assert tuple(r.p) == (20, 10, 60, 30) and r.r == -0.3 and r.s == 0.5
 
-
 def test_stream_reads_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(page("50 700 100 50 re f 1 1 2 2 re f"))
