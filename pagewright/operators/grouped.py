@@ -142,6 +142,8 @@ def merged_strips(rows: list[dict]) -> list[dict]:
         p["px_w"], p["px_h"] = (max(p["px_w"], q["px_w"]), p["px_h"] + q["px_h"]) if down else (p["px_w"] + q["px_w"], max(p["px_h"], q["px_h"]))
         p["x0"], p["y0"], p["x1"], p["y1"] = min(p["x0"], q["x0"]), min(p["y0"], q["y0"]), max(p["x1"], q["x1"]), max(p["y1"], q["y1"])
         p["parts"], p["image_idx"] = p["parts"] + q["parts"], min(p["image_idx"], q["image_idx"])
+        if "members" in p:
+            p["members"] = p["members"] + q["members"]
         live[b] = False
         cells.setdefault((cell(p["x0"]), cell(p["y0"])), set()).add(a)
         for k in [a, *(k for k in range(len(rows)) if live[k] and k != a and (abs(rows[k]["y1"] - p["y0"]) <= step or abs(rows[k]["x1"] - p["x0"]) <= step))]:

@@ -223,7 +223,7 @@ PDF_ANNOTS_SQL = f"SELECT doc_id, 1 AS ord, 'Link' AS text, lw%2=0 AS hidden, 10
 def pdf_white_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """White paint by colour space, and the drawing order."""
     text = "concat('1 g 0 0 9 9 re f ', CASE WHEN lw%2=0 THEN '0 0 0 0 k' ELSE '1 1 0.9 rg' END, ' 0 0 9 9 re f q 9 0 0 9 0 0 cm /A Do Q 1 g 0 G 0 0 9 9 re B')"
-    return pdf.scan(documents_of(spark, sf_dir, text, rotated=False)).select("doc_id", "ord", "kind", F.coalesce("white", F.lit(False)).alias("white"))
+    return pdf.scan(documents_of(spark, sf_dir, text, rotated=False)).where("kind IN ('path', 'image')").select("doc_id", "ord", "kind", F.coalesce("white", F.lit(False)).alias("white"))
 
 
 PDF_WHITE_SQL = f"SELECT doc_id, k AS ord, CASE WHEN k=2 THEN 'image' ELSE 'path' END AS kind, k=0 OR (k=1 AND lw%2=0) AS white FROM ({_NUMBERS}part) n CROSS JOIN (SELECT unnest([0,1,2,3]) AS k) g"
@@ -232,7 +232,7 @@ PDF_WHITE_SQL = f"SELECT doc_id, k AS ord, CASE WHEN k=2 THEN 'image' ELSE 'path
 def pdf_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status gate: files that aren't PDFs or are encrypted give a row and no page."""
     docs = documents_of(spark, sf_dir, _RECT).withColumn("content", F.expr("CASE doc_id%3 WHEN 0 THEN content WHEN 1 THEN CAST('hello' AS BINARY) ELSE CAST(concat(decode(content, 'UTF-8'), '/Encrypt') AS BINARY) END"))
-    return pdf.scan(docs).groupBy("status").agg(F.count("*").alias("n"), F.count("page_n").alias("n_pages"))
+    return pdf.scan(docs).where("kind = 'page' OR kind IS NULL").groupBy("status").agg(F.count("*").alias("n"), F.count("page_n").alias("n_pages"))
 
 
 PDF_STATUS_SQL = "SELECT CASE p_partkey%3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_pdf' ELSE 'encrypted' END AS status, count(*) AS n, count(CASE WHEN p_partkey%3=0 THEN 1 END) AS n_pages FROM part GROUP BY 1"

@@ -1,16 +1,23 @@
 """Drawing primitives of PDF pages: a small reader after ISO 32000-1, and the scan that runs it on executors.
 
 Objects are found by scanning for "N G obj", so files without a cross-reference table are read too. One call reads one
-document; pages are independent after that. A file that can't be read gives one row with its status, never an error.
-Boxes are in points of the displayed page (top-left origin, after CropBox and Rotate). `ord` is the drawing order of
-the page: content first, then annotations. Kept simple: fonts have /Widths, Courier or a table for Helvetica; clips are
-the bounding boxes of their paths; ExtGState, optional content and text clips have no effect.
+document; pages are independent after that. Boxes are in points of the displayed page (top-left origin, after CropBox
+and Rotate). `ord` is the drawing order of the page: content first, then annotations. Kept simple: clips are the
+bounding boxes of their paths; ExtGState, optional content and text clips have no effect.
+
+Rows by kind: page (its size in x1, y1), glyph, path, image, annot, rule (a level or upright line, rounded to tenths) and
+font (page_n null). A glyph carries its pen: the baseline's start (ux, uy), end (ex, ey), direction (dx, dy) and size.
+
+Cases. A file that can't be read gives one row with its status, never an error: not_pdf, encrypted, or damaged with the
+error's name. Each page object is visited once, so page trees with cycles end. A form that draws itself is drawn once. A
+page stops after OPERATORS operators (status over_budget), a stream after STREAM bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import json
 import math
 import re
 import zlib
@@ -20,19 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from pagewright.sources.fonts import Font
+
+_INTS = ("px_w", "px_h", "n_lines", "n_curves", "seg_rows", "seg_cols", "font", "obj", "parts")
+_BOOLS = ("offpage", "hidden", "clipped", "white", "fill", "stroke", "shading", "invisible", "mask", "inline", "upright", "annot", "empty", "dot", "rect", "closed", "mapped", "is_space", "appearance")
+_PEN = ("ux", "uy", "ex", "ey", "dx", "dy", "size")
 SCHEMA = StructType(
     [StructField("doc_id", LongType()), StructField("status", StringType()), StructField("page_n", IntegerType()), StructField("ord", IntegerType()), StructField("kind", StringType())]
-    + [StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1")]
-    + [StructField(c, BooleanType()) for c in ("offpage", "hidden", "clipped", "white", "fill", "stroke", "invisible", "mask", "inline", "upright")]
-    + [StructField("text", StringType()), StructField("px_w", IntegerType()), StructField("px_h", IntegerType()), StructField("dpi_x", DoubleType()), StructField("dpi_y", DoubleType())]
-    + [StructField("n_lines", IntegerType()), StructField("n_curves", IntegerType()), StructField("rect", BooleanType()), StructField("closed", BooleanType())]
+    + [StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1", "dpi_x", "dpi_y", *_PEN)]
+    + [StructField(c, BooleanType()) for c in _BOOLS]
+    + [StructField(c, StringType()) for c in ("text", "detail")]
+    + [StructField(c, IntegerType()) for c in _INTS]
 )
-MAX_DEPTH = 8
+MAX_DEPTH, OPERATORS, STREAM = 8, 5_000_000, 1 << 28
+RULE_MIN, RULE_SKEW, RULE_BAR = 4.0, 0.5, 2.5
 _WS, _DELIM = b"\0\t\n\f\r ", b"()<>[]{}/%"
-_HELVETICA = dict(zip(map(chr, range(32, 127)), map(int, (
-    "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 "
-    "833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
-).split())))
+_NUMBER, _WORD, _NAME = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)"), re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+"), re.compile(rb"/[^\0\t\n\f\r ()<>\[\]{}/%]*")
+
+
+class OverBudget(Exception):
+    pass
 
 
 class Name(str):
@@ -76,7 +90,7 @@ class Lexer:
             return None
         c = d[a : a + 1]
         if c == b"/":
-            m = re.compile(rb"/[^\0\t\n\f\r ()<>\[\]{}/%]*").match(d, a)
+            m = _NAME.match(d, a)
             self.at = m.end()
             return Name(re.sub(rb"#([0-9a-fA-F]{2})", lambda x: bytes([int(x[1], 16)]), m.group()[1:]).decode("latin-1"))
         if c == b"(":
@@ -110,10 +124,10 @@ class Lexer:
         if c in b"]{})>":
             self.at += 1
             return Op(c)
-        m = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+").match(d, a)
+        m = _WORD.match(d, a)
         self.at = m.end()
         w = m.group()
-        if re.fullmatch(rb"[+-]?(\d+\.?\d*|\.\d+)", w):
+        if _NUMBER.fullmatch(w):
             if self.refs and w.isdigit() and (r := re.compile(rb"\s+\d+\s+R(?![^\0\t\n\f\r ()<>\[\]{}/%])").match(d, self.at)):
                 self.at = r.end()
                 return Ref(w)
@@ -190,9 +204,16 @@ def _ascii85(raw: bytes) -> bytes:
 def _inflate(raw: bytes) -> bytes:
     z = zlib.decompressobj()
     try:
-        return z.decompress(raw) + z.flush()
+        return z.decompress(raw, STREAM)
     except zlib.error:
-        return b""
+        pass
+    out, z = bytearray(), zlib.decompressobj()
+    for k in range(0, len(raw), 64):  # what comes before the damage
+        try:
+            out += z.decompress(raw[k : k + 64])
+        except zlib.error:
+            break
+    return bytes(out)
 
 
 FILTERS = {
@@ -202,21 +223,31 @@ FILTERS = {
 
 
 def predicted(raw: bytes, parms: dict) -> bytes:
-    """Undo PNG and TIFF predictors of 8-bit samples."""
+    """Undo PNG and TIFF predictors (the latter of 8-bit samples)."""
     kind = parms.get("Predictor", 1)
-    if kind == 1:
+    colors, bits, columns = (max(1, int(parms.get(k, v))) for k, v in (("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1)))
+    if kind == 1 or (kind == 2 and bits != 8):
         return raw
-    each = max(1, parms.get("Colors", 1) * parms.get("BitsPerComponent", 8) // 8)
-    width = -(-parms.get("Columns", 1) * parms.get("Colors", 1) * parms.get("BitsPerComponent", 8) // 8)
+    each, width = max(1, colors * bits // 8), -(-columns * colors * bits // 8)
+    tag = int(kind >= 10)
     out, above = bytearray(), bytearray(width)
-    for a in range(0, len(raw), width + (kind >= 10)):
-        row = bytearray(raw[a + (kind >= 10) : a + width + (kind >= 10)])
-        how = raw[a] if kind >= 10 else 1
-        for k in range(len(row)):
-            left, up, corner = row[k - each] if k >= each else 0, above[k], above[k - each] if k >= each else 0
-            p = left + up - corner
-            near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-            row[k] = row[k] + (0, left, up, (left + up) // 2, near)[how if how < 5 else 0] & 255
+    for a in range(0, len(raw), width + tag):
+        row = bytearray(raw[a + tag : a + width + tag])
+        how = raw[a] if tag else 1
+        if how == 2:
+            row = bytearray((x + y) & 255 for x, y in zip(row, above))
+        elif how in (1, 3, 4):
+            for k in range(len(row)):
+                left, up = row[k - each] if k >= each else 0, above[k]
+                if how == 1:
+                    near = left
+                elif how == 3:
+                    near = (left + up) // 2
+                else:
+                    corner = above[k - each] if k >= each else 0
+                    p = left + up - corner
+                    near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                row[k] = row[k] + near & 255
         out += row
         above = row + bytearray(width - len(row))
     return bytes(out)
@@ -228,6 +259,8 @@ class Document:
         for m in re.finditer(rb"(?<![0-9])(\d+)\s+\d+\s+obj\b", data):
             self.objects[int(m[1])] = m.end()
         self.kept: dict[int, object] = {}
+        self.fonts: list[Font] = []
+        self.font_of: dict[int, int] = {}
         for n in list(self.objects):
             s = self.get(Ref(n))
             if isinstance(s, Stream) and s.info.get("Type") == "ObjStm":
@@ -257,6 +290,10 @@ class Document:
             x = self.kept[n]
         return None
 
+    @staticmethod
+    def ref(n: int) -> Ref:
+        return Ref(n)
+
     def decode(self, s: Stream) -> bytes:
         raw, names, parms = s.raw, self.get(s.info.get("Filter", s.info.get("F", []))), self.get(s.info.get("DecodeParms", s.info.get("DP", [])))
         names, parms = names if isinstance(names, list) else [names], parms if isinstance(parms, list) else [parms]
@@ -277,8 +314,13 @@ class Document:
         if not isinstance(root, dict):
             root = next((o for o in every if isinstance(o, dict) and o.get("Type") == "Catalog"), {})
         out: list[dict] = []
+        seen: set[int] = set()
 
         def walk(node, above: dict, depth: int) -> None:
+            if isinstance(node, Ref):
+                if node in seen:
+                    return
+                seen.add(node)
             node = self.get(node)
             if not isinstance(node, dict) or depth > 64:
                 return
@@ -351,12 +393,29 @@ def cut(b: tuple, c: tuple) -> tuple | None:
     return r
 
 
+def r1(v: float) -> float:
+    """Rounded to a tenth, half away from zero."""
+    return math.copysign(math.floor(abs(v) * 10 + 0.5) / 10, v) if v else 0.0
+
+
+def distinct(xs: list[float]) -> int:
+    """Positions more than a point after the last one counted."""
+    n, last = 0, -math.inf
+    for x in sorted(xs):
+        if x - last > 1:
+            n, last = n + 1, x
+    return n
+
+
 class Interpreter:
     def __init__(self, doc: Document, page: dict):
-        self.doc, self.page, self.frame, self.rows, self.seq = doc, page, PageBox(doc, page), [], 0
+        self.doc, self.page, self.frame, self.rows, self.seq, self.left = doc, page, PageBox(doc, page), [], 0, OPERATORS
+        self.rules: list[dict] = []
+        self.drawn: list[Stream] = []
 
     def emit(self, kind: str, box: tuple | None, clip: tuple | None, **more) -> None:
-        """Places a box of default user space: cut by the page, then by the clip."""
+        """Places a box of default user space: cut by the page, then by the clip. A glyph's clip decides alone whether it is
+        clipped, and it may be off the page and hidden; other kinds are one of these."""
         whole = (0.0, 0.0, *self.frame.size)
         b = self.frame.place(box) if box else whole
         c = self.frame.place(clip) if clip else None
@@ -364,7 +423,14 @@ class Interpreter:
             b = c
         on = cut(b, whole)
         row = {"kind": kind, "ord": self.seq, "offpage": on is None, "hidden": False, "clipped": on is None or on != b}
-        if on is not None:
+        if kind == "glyph":
+            base = on or b
+            if c:
+                shown = cut(base, c)
+                row["hidden"], row["clipped"] = shown is None, shown is not None and shown != base
+                base = shown or base
+            b = base
+        elif on is not None:
             shown = cut(on, c) if c else on
             row["hidden"] = shown is None
             row["clipped"] |= shown is not None and shown != on or (box is None and c is not None)
@@ -372,17 +438,37 @@ class Interpreter:
         self.rows.append(row | {"x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3]} | more)
         self.seq += 1
 
+    def rule(self, a: tuple, b: tuple, clip: tuple | None) -> None:
+        (ax, ay), (bx, by) = self.frame.map(*a), self.frame.map(*b)
+        v = [min(ax, bx), min(ay, by), max(ax, bx), max(ay, by)]
+        for c in ((0.0, 0.0, *self.frame.size), self.frame.place(clip) if clip else None):
+            if c:
+                v = [max(v[0], c[0]), max(v[1], c[1]), min(v[2], c[2]), min(v[3], c[3])]
+        if v[2] >= v[0] and v[3] >= v[1] and max(v[2] - v[0], v[3] - v[1]) >= RULE_MIN:
+            self.rules.append({"kind": "rule", "ord": self.seq} | dict(zip(("x0", "y0", "x1", "y1"), map(r1, v))))
+
     def content(self) -> bytes:
         c = self.doc.get(self.page.get("Contents"))
         return b"".join(self.doc.decode(s) + b"\n" for s in ([self.doc.get(x) for x in c] if isinstance(c, list) else [c]) if isinstance(s, Stream))
 
     def run(self) -> list[dict]:
-        self.stream(self.content(), self.doc.get(self.page.get("Resources")) or {}, (1, 0, 0, 1, 0, 0), None, 0, False)
+        """The page's rows; raises OverBudget where the page goes on too long, with the rows so far in self.rows."""
+        r = self.doc.get(self.page.get("Resources"))
+        self.stream(self.content(), r if isinstance(r, dict) else {}, (1, 0, 0, 1, 0, 0), None, 0, False)
         self.annotations()
-        return self.rows
+        return self.done()
+
+    def done(self) -> list[dict]:
+        """All rows, rules that repeat once."""
+        once: dict[tuple, dict] = {}
+        for r in self.rules:
+            once.setdefault((r["x0"], r["y0"], r["x1"], r["y1"]), r)
+        page = {"kind": "page", "x0": 0.0, "y0": 0.0, "x1": float(self.frame.size[0]), "y1": float(self.frame.size[1]), "detail": str(self.frame.rotate)}
+        return [page, *self.rows, *once.values()]
 
     def resource(self, res: dict, group: str, name) -> object:
-        return self.doc.get((self.doc.get(res.get(group)) or {}).get(name))
+        d = self.doc.get(res.get(group))
+        return self.doc.get(d.get(name)) if isinstance(d, dict) else None
 
     def white(self, space: int, v: list) -> bool:
         v = v[-space:] if space else []
@@ -397,25 +483,24 @@ class Interpreter:
             return s.info.get("N", 0) if isinstance(s, Stream) else 0
         return {"DeviceGray": 1, "CalGray": 1, "DeviceRGB": 3, "CalRGB": 3, "DeviceCMYK": 4, "G": 1, "RGB": 3, "CMYK": 4}.get(key, 0)
 
-    def font(self, res: dict, name) -> dict:
-        f = self.resource(res, "Font", name)
-        f = f if isinstance(f, dict) else {}
-        widths, first = self.doc.get(f.get("Widths")), self.doc.get(f.get("FirstChar")) or 0
-        base = str(self.doc.get(f.get("BaseFont")) or "")
-        d = self.doc.get(f.get("FontDescriptor")) or {}
-        asc, desc = self.doc.get(d.get("Ascent")) or (629 if "Courier" in base else 718), self.doc.get(d.get("Descent")) or (-157 if "Courier" in base else -207)
-        return {"base": base, "widths": {first + k: self.doc.get(w) for k, w in enumerate(widths)} if isinstance(widths, list) else None, "asc": asc / 1000, "desc": -abs(desc) / 1000, "there": bool(f)}
-
-    def advance(self, f: dict, code: int) -> float:
-        if f["widths"] is not None:
-            return (f["widths"].get(code) or 0) / 1000
-        return 0.6 if "Courier" in f["base"] else _HELVETICA.get(chr(code), 556) / 1000
+    def font(self, res: dict, name) -> int | None:
+        """The font's place in the document's list; one that stands alone in a file is read once."""
+        d = self.doc.get(res.get("Font"))
+        ref = d.get(name) if isinstance(d, dict) else None
+        f = self.doc.get(ref)
+        if not isinstance(f, dict):
+            return None
+        key = int(ref) if isinstance(ref, Ref) else -id(f)
+        if key not in self.doc.font_of:
+            self.doc.fonts.append(Font(f, self.doc, Lexer))
+            self.doc.font_of[key] = len(self.doc.fonts) - 1
+        return self.doc.font_of[key]
 
     def stream(self, data: bytes, res: dict, ctm: tuple, clip: tuple | None, depth: int, annot: bool) -> None:
         g = {"ctm": ctm, "clip": clip, "font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0, "Tr": 0, "w": 1.0, "cap": 0, "fs": 1, "ss": 1, "fw": False, "sw": False}
         kept: list[dict] = []
         tm = tlm = (1, 0, 0, 1, 0, 0)
-        subs: list[list] = []  # subpaths: [points, closed]
+        subs: list[list] = []  # subpaths: [points, closed, straight segments]
         box: list[float] = []
         n_lines = n_curves = 0
         rect, pending, cur = False, False, (0.0, 0.0)
@@ -430,22 +515,34 @@ class Interpreter:
 
         def show(s: bytes) -> None:
             nonlocal tm
-            f = g["font"]
-            for code in s:
+            f = self.doc.fonts[g["font"]] if g["font"] is not None else None
+            white = {0: g["fw"], 4: g["fw"], 1: g["sw"], 5: g["sw"], 2: g["fw"] and g["sw"], 6: g["fw"] and g["sw"]}.get(g["Tr"], False)
+            for code, n in f.codes(s) if f else [(c, 1) for c in s]:
                 t = mul(mul((g["size"] * g["Tz"], 0, 0, g["size"], 0, g["Ts"]), tm), g["ctm"])
-                w = self.advance(f, code) if f and f["there"] else 0.0
-                lo, hi = (f["desc"], f["asc"]) if f and f["there"] else (0, 0)
-                p = [at(t, x, y) for x in (0, w) for y in (lo, hi)]
-                white = {0: g["fw"], 4: g["fw"], 1: g["sw"], 5: g["sw"], 2: g["fw"] and g["sw"], 6: g["fw"] and g["sw"]}.get(g["Tr"], False)
+                w = f.advance(code) if f else 0.0
+                lo, hi = f.vertical if f else (0.0, 0.0)
+                left, right = 0.0, w
+                if f and (d1 := f.glyph_box(code)):
+                    left, lo, right, hi = min(left, d1[0]), min(lo, d1[1]), max(right, d1[2]), max(hi, d1[3])
+                p = [at(t, x, y) for x in (left, right) for y in (lo, hi)]
+                text = f.unicode(code) if f else None
+                (ux, uy), (ex, ey), (ox, oy), (rx, ry) = (self.frame.map(*at(t, x, 0)) for x in (0, w, 0, 1))
+                long = math.hypot(rx - ox, ry - oy) or 1.0
                 b = (min(q[0] for q in p), min(q[1] for q in p), max(q[0] for q in p), max(q[1] for q in p))
-                self.emit("glyph", b, g["clip"], text=chr(code), invisible=g["Tr"] in (3, 7), white=white)
-                tm = mul((1, 0, 0, 1, (w * g["size"] + g["Tc"] + (g["Tw"] if code == 32 else 0)) * g["Tz"], 0), tm)
+                self.emit(
+                    "glyph", b, g["clip"], text=text or "", mapped=text is not None, is_space=bool(text) and text.isspace(), font=g["font"], invisible=g["Tr"] in (3, 7), white=white, annot=annot,
+                    ux=ux, uy=uy, ex=ex, ey=ey, dx=(rx - ox) / long, dy=(ry - oy) / long, size=math.hypot(t[2], t[3]),
+                )
+                tm = mul((1, 0, 0, 1, (w * g["size"] + g["Tc"] + (g["Tw"] if code == 32 and n == 1 else 0)) * g["Tz"], 0), tm)
 
         while (x := lex.next()) is not None:
             if not isinstance(x, Op):
                 st.append(x)
                 continue
             op = bytes(x)
+            self.left -= 1
+            if self.left < 0:
+                raise OverBudget
             try:
                 if op == b"q":
                     kept.append(dict(g))
@@ -458,8 +555,9 @@ class Interpreter:
                 elif op in (b"m", b"l"):
                     cur = at(g["ctm"], *st[-2:])
                     if op == b"m" or not subs:
-                        subs.append([[cur], False])
+                        subs.append([[cur], False, []])
                     else:
+                        subs[-1][2].append((subs[-1][0][-1], cur))
                         subs[-1][0].append(cur)
                     if op == b"l":
                         n_lines += 1
@@ -477,13 +575,14 @@ class Interpreter:
                     first = subs[-1][0][0]
                     if math.dist(first, cur) > 1e-9:
                         n_lines += 1
+                        subs[-1][2].append((cur, first))
                         subs[-1][0].append(first)
                     subs[-1][1], cur = True, first
                 elif op == b"re":
                     a, b, w, h = st[-4:]
                     pts = [at(g["ctm"], *p) for p in ((a, b), (a + w, b), (a + w, b + h), (a, b + h), (a, b))]
                     reach(*pts)
-                    subs.append([pts, True])
+                    subs.append([pts, True, list(zip(pts, pts[1:]))])
                     n_lines, rect, cur = n_lines + 4, True, pts[0]
                 elif op in (b"W", b"W*"):
                     pending = True
@@ -493,9 +592,17 @@ class Interpreter:
                         b = tuple(box)
                         if stroke:
                             b = self.stroked(subs, b, g, closing=op in (b"s", b"b", b"b*"))
-                        closed = all(s[1] for s in subs) or op in (b"s", b"b", b"b*")
+                        closed = all(x[1] for x in subs) or op in (b"s", b"b", b"b*")
                         white = (g["fw"] or not fill) and (g["sw"] or not stroke)
-                        self.emit("path", b, g["clip"], fill=fill, stroke=stroke, white=white, n_lines=n_lines, n_curves=n_curves, rect=rect, closed=closed)
+                        point = all(math.dist(p, x[0][0]) <= 1e-9 for x in subs for p in x[0]) and box[2] - box[0] <= 1e-9 and box[3] - box[1] <= 1e-9
+                        dot = stroke and point and g["cap"] == 1 and any(x[1] or len(x[0]) > 1 for x in subs)
+                        levels, uprights = self.grid(subs, b)
+                        if not white:
+                            self.rules_of(subs, tuple(box), stroke, fill, rect, g["clip"])
+                        self.emit(
+                            "path", b, g["clip"], fill=fill, stroke=stroke, shading=False, white=white, annot=annot, n_lines=n_lines, n_curves=n_curves, rect=rect, closed=closed, dot=dot,
+                            empty=point and not dot and not fill, seg_rows=levels, seg_cols=uprights,
+                        )
                     if pending and box:
                         c = g["clip"]
                         b = tuple(box)
@@ -504,7 +611,7 @@ class Interpreter:
                         g["clip"] = b
                     subs, box, n_lines, n_curves, rect, pending = [], [], 0, 0, False, False
                 elif op == b"sh":
-                    self.emit("path", None, g["clip"], fill=True, stroke=False, white=False, n_lines=0, n_curves=0, rect=False, closed=False)
+                    self.emit("path", None, g["clip"], fill=True, stroke=False, shading=True, white=False, annot=annot, n_lines=0, n_curves=0, rect=False, closed=False, dot=False, empty=False, seg_rows=0, seg_cols=0)
                 elif op in (b"w", b"J"):
                     g["w" if op == b"w" else "cap"] = st[-1]
                 elif op in (b"g", b"rg", b"k"):
@@ -550,13 +657,19 @@ class Interpreter:
                         elif isinstance(v, (int, float)):
                             tm = mul((1, 0, 0, 1, -v / 1000 * g["size"] * g["Tz"], 0), tm)
                 elif op == b"Do":
-                    o = self.resource(res, "XObject", st[-1])
-                    if isinstance(o, Stream) and o.info.get("Subtype") == "Image":
-                        self.image(o.info, g, False)
-                    elif isinstance(o, Stream) and depth < MAX_DEPTH:
-                        m = self.doc.get(o.info.get("Matrix"))
+                    d = self.doc.get(res.get("XObject"))
+                    ref = d.get(st[-1]) if isinstance(d, dict) else None
+                    o = self.doc.get(ref)
+                    if isinstance(o, Stream) and self.doc.get(o.info.get("Subtype")) == "Image":
+                        self.image(o.info, g, False, annot, int(ref) if isinstance(ref, Ref) else 0)
+                    elif isinstance(o, Stream) and depth < MAX_DEPTH and not any(o is x for x in self.drawn):
+                        m, own = self.doc.get(o.info.get("Matrix")), self.doc.get(o.info.get("Resources"))
                         inner = mul(tuple(m), g["ctm"]) if isinstance(m, list) and len(m) == 6 else g["ctm"]
-                        self.stream(self.doc.decode(o), self.doc.get(o.info.get("Resources")) or res, inner, g["clip"], depth + 1, annot)
+                        self.drawn.append(o)
+                        try:
+                            self.stream(self.doc.decode(o), own if isinstance(own, dict) else res, inner, g["clip"], depth + 1, annot)
+                        finally:
+                            self.drawn.pop()
                 elif op == b"BI":
                     info, key = {}, None
                     while (y := lex.next()) is not None and not (isinstance(y, Op) and y == b"ID"):
@@ -571,16 +684,42 @@ class Interpreter:
                     after = data.find(mark, start) if mark else start
                     m = re.compile(rb"(?<=[\0\t\n\f\r >])EI(?=[\0\t\n\f\r ]|$)").search(data, max(after, start))
                     lex.at = m.end() if m else len(data)
-                    self.image({"Width": info.get("W", info.get("Width")), "Height": info.get("H", info.get("Height")), "ImageMask": info.get("IM", info.get("ImageMask"))}, g, True)
+                    self.image({"Width": info.get("W", info.get("Width")), "Height": info.get("H", info.get("Height")), "ImageMask": info.get("IM", info.get("ImageMask"))}, g, True, annot, 0)
+                    self.rows[-1]["source"] = info, data[start : m.start() if m else len(data)]
             except (IndexError, TypeError, ValueError, KeyError, AttributeError, OverflowError):
                 pass  # an operator with unfit operands paints nothing
             st = []
 
+    def grid(self, subs: list, b: tuple) -> tuple[int, int]:
+        """Rows and columns of level and upright segments that span half of the box, as displayed."""
+        w, h, ys, xs = b[2] - b[0], b[3] - b[1], [], []
+        for _, _, lines in subs:
+            for (ax, ay), (bx, by) in lines:
+                if abs(ay - by) < 0.5 and abs(ax - bx) >= max(0.5 * w, 1.0 + 1e-9):
+                    ys.append((ay + by) / 2)
+                if abs(ax - bx) < 0.5 and abs(ay - by) >= max(0.5 * h, 1.0 + 1e-9):
+                    xs.append((ax + bx) / 2)
+        n = distinct(ys), distinct(xs)
+        return n[::-1] if self.frame.rotate in (90, 270) else n
+
+    def rules_of(self, subs: list, b: tuple, stroke: bool, fill: bool, rect: bool, clip: tuple | None) -> None:
+        """The centre line of a thin filled bar; else, if stroked or drawn as a rectangle, its level and upright segments."""
+        w, h = b[2] - b[0], b[3] - b[1]
+        if fill and not stroke and (w <= RULE_BAR and h >= RULE_MIN or h <= RULE_BAR and w >= RULE_MIN):
+            x, y = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+            self.rule(*(((x, b[1]), (x, b[3])) if w <= RULE_BAR else ((b[0], y), (b[2], y))), clip)
+        elif stroke or rect:
+            for _, _, lines in subs:
+                for p, q in lines:
+                    dx, dy = abs(p[0] - q[0]), abs(p[1] - q[1])
+                    if dy <= RULE_SKEW and dx >= RULE_MIN or dx <= RULE_SKEW and dy >= RULE_MIN:
+                        self.rule(p, q, clip)
+
     def stroked(self, subs: list, b: tuple, g: dict, closing: bool) -> tuple:
         m = g["ctm"]
         hw = max(g["w"] * math.sqrt(abs(m[0] * m[3] - m[1] * m[2])), 0.5) / 2
         out = None
-        for pts, closed in subs:
+        for pts, closed, _ in subs:
             segs = [(p, q) for p, q in zip(pts, pts[1:]) if math.dist(p, q) > 1e-9]
             for k, (p, q) in enumerate(segs):
                 n = math.dist(p, q)
@@ -597,56 +736,94 @@ class Interpreter:
                     out = r if out is None else (min(out[0], r[0]), min(out[1], r[1]), max(out[2], r[2]), max(out[3], r[3]))
         if out is None:
             return (b[0] - hw, b[1] - hw, b[2] + hw, b[3] + hw) if g["cap"] == 1 else b
-        return out if not any(len(p) < 2 for p, _ in subs) else (min(b[0], out[0]), min(b[1], out[1]), max(b[2], out[2]), max(b[3], out[3]))
+        return out if not any(len(p) < 2 for p, _, _ in subs) else (min(b[0], out[0]), min(b[1], out[1]), max(b[2], out[2]), max(b[3], out[3]))
 
-    def image(self, info: dict, g: dict, inline: bool) -> None:
-        m, w, h = g["ctm"], self.doc.get(info.get("Width")) or 0, self.doc.get(info.get("Height")) or 0
+    def image(self, info: dict, g: dict, inline: bool, annot: bool, obj: int) -> None:
+        size = [self.doc.get(info.get(k)) for k in ("Width", "Height")]
+        m, (w, h) = g["ctm"], (int(x) if isinstance(x, (int, float)) else 0 for x in size)
         p = [at(m, x, y) for x in (0, 1) for y in (0, 1)]
         b = (min(q[0] for q in p), min(q[1] for q in p), max(q[0] for q in p), max(q[1] for q in p))
         sx, sy = math.hypot(m[0], m[1]), math.hypot(m[2], m[3])
         upright = max(abs(m[1]), abs(m[2])) < 1e-6 or max(abs(m[0]), abs(m[3])) < 1e-6
-        self.emit("image", b, g["clip"], px_w=int(w), px_h=int(h), dpi_x=w / (sx / 72) if sx else 0.0, dpi_y=h / (sy / 72) if sy else 0.0, mask=self.doc.get(info.get("ImageMask")) is True, inline=inline, upright=upright)
+        dpi = {"dpi_x": w / (sx / 72) if sx else 0.0, "dpi_y": h / (sy / 72) if sy else 0.0}
+        self.emit("image", b, g["clip"], px_w=w, px_h=h, **dpi, mask=self.doc.get(info.get("ImageMask")) is True, inline=inline, upright=upright, annot=annot, obj=obj, parts=1)
+        self.rows[-1]["corners"] = [self.frame.map(*at(m, x, y)) for x, y in ((0, 1), (1, 1), (0, 0))]
 
     def annotations(self) -> None:
-        for a in self.doc.get(self.page.get("Annots")) or []:
+        every = self.doc.get(self.page.get("Annots"))
+        for a in every if isinstance(every, list) else []:
             a = self.doc.get(a)
-            rect = self.doc.get(a.get("Rect")) if isinstance(a, dict) else None
-            if not (isinstance(rect, list) and len(rect) == 4):
-                continue
-            v = [self.doc.get(x) for x in rect]
-            r = (min(v[0], v[2]), min(v[1], v[3]), max(v[0], v[2]), max(v[1], v[3]))
-            hidden = bool((self.doc.get(a.get("F")) or 0) & 34)
-            self.emit("annot", r, None, text=str(self.doc.get(a.get("Subtype")) or ""))
-            self.rows[-1]["hidden"] = hidden
-            look = self.doc.get((self.doc.get(a.get("AP")) or {}).get("N"))
-            look = self.doc.get(look.get(self.doc.get(a.get("AS")))) if isinstance(look, dict) else look
-            box = self.doc.get(look.info.get("BBox")) if isinstance(look, Stream) else None
-            if hidden or a.get("Subtype") == "Popup" or not isinstance(box, list):
-                continue
-            m = self.doc.get(look.info.get("Matrix"))
-            m = tuple(m) if isinstance(m, list) and len(m) == 6 else (1, 0, 0, 1, 0, 0)
-            p = [at(m, x, y) for x in (box[0], box[2]) for y in (box[1], box[3])]
-            x0, x1, y0, y1 = min(q[0] for q in p), max(q[0] for q in p), min(q[1] for q in p), max(q[1] for q in p)
-            sx, sy = (r[2] - r[0]) / (x1 - x0) if x1 > x0 else 1, (r[3] - r[1]) / (y1 - y0) if y1 > y0 else 1
-            fit = (sx, 0, 0, sy, r[0] - x0 * sx, r[1] - y0 * sy)
-            self.stream(self.doc.decode(look), self.doc.get(look.info.get("Resources")) or {}, mul(m, fit), None, 1, True)
-
+            if isinstance(a, dict):
+                try:
+                    self.annotation(a)
+                except (IndexError, TypeError, ValueError, KeyError, AttributeError, OverflowError):
+                    pass  # one that can't be read draws nothing
+
+    def inherited(self, a: dict, key: str):
+        for _ in range(9):
+            if (v := self.doc.get(a.get(key))) is not None:
+                return v
+            a = self.doc.get(a.get("Parent"))
+            if not isinstance(a, dict):
+                return None
+        return None
 
-def extract(content: bytes | None) -> tuple[str, list[list[dict]]]:
-    """(status, the rows of each page)."""
+    def annotation(self, a: dict) -> None:
+        rect = self.doc.get(a.get("Rect"))
+        v = [self.doc.get(x) for x in rect] if isinstance(rect, list) else []
+        if len(v) != 4 or not all(isinstance(x, (int, float)) for x in v):
+            return
+        r = (min(v[0], v[2]), min(v[1], v[3]), max(v[0], v[2]), max(v[1], v[3]))
+        flags = self.doc.get(a.get("F"))
+        hidden = bool(flags & 34) if isinstance(flags, int) else False
+        look = self.doc.get(a.get("AP"))
+        look = self.doc.get(look.get("N")) if isinstance(look, dict) else None
+        look = self.doc.get(look.get(self.doc.get(a.get("AS")))) if isinstance(look, dict) else look
+        box = [self.doc.get(x) for x in b] if isinstance(look, Stream) and isinstance(b := self.doc.get(look.info.get("BBox")), list) else []
+        draws = len(box) == 4 and all(isinstance(x, (int, float)) for x in box)
+        kind, field = self.doc.get(a.get("Subtype")), self.inherited(a, "FT")
+        self.emit("annot", r, None, text=str(kind or ""), detail=str(field) if field else None, appearance=draws)
+        self.rows[-1]["hidden"] = hidden
+        if hidden or kind == "Popup" or not draws:
+            return
+        m = self.doc.get(look.info.get("Matrix"))
+        m = tuple(m) if isinstance(m, list) and len(m) == 6 else (1, 0, 0, 1, 0, 0)
+        p = [at(m, x, y) for x in (box[0], box[2]) for y in (box[1], box[3])]
+        x0, x1, y0, y1 = min(q[0] for q in p), max(q[0] for q in p), min(q[1] for q in p), max(q[1] for q in p)
+        sx, sy = (r[2] - r[0]) / (x1 - x0) if x1 > x0 else 1, (r[3] - r[1]) / (y1 - y0) if y1 > y0 else 1
+        fit, own = (sx, 0, 0, sy, r[0] - x0 * sx, r[1] - y0 * sy), self.doc.get(look.info.get("Resources"))
+        self.stream(self.doc.decode(look), own if isinstance(own, dict) else {}, mul(m, fit), None, 1, True)
+
+
+def read(content: bytes | None) -> tuple[str, list[list[dict]], list[dict]]:
+    """(status, the rows of each page, the fonts)."""
     if not content or b"%PDF" not in content[:1024]:
-        return "not_pdf", []
+        return "not_pdf", [], []
     if b"/Encrypt" in content:
-        return "encrypted", []
+        return "encrypted", [], []
+    status, pages = "ok", []
     try:
         doc = Document(content)
-        return "ok", [Interpreter(doc, p).run() for p in doc.pages()]
-    except (RecursionError, ValueError, TypeError, KeyError, IndexError) as e:
-        return f"damaged: {type(e).__name__}", []
+        for p in doc.pages():
+            page = Interpreter(doc, p)
+            try:
+                pages.append(page.run())
+            except OverBudget:
+                status = "over_budget"
+                pages.append(page.done())
+        return status, pages, [f.info() for f in doc.fonts]
+    except Exception as e:  # whatever is in a file, it is one row's matter
+        return f"damaged: {type(e).__name__}", [], []
+
+
+def extract(content: bytes | None) -> tuple[str, list[list[dict]]]:
+    """(status, the drawn rows of each page)."""
+    status, pages, _ = read(content)
+    return status, [[r for r in p if r["kind"] not in ("page", "rule")] for p in pages]
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """files (doc_id, content binary) -> primitives; a file without any gives one row with its status."""
+    """files (doc_id, content binary) -> primitives; a file without pages gives one row with its status."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = SCHEMA.names
@@ -654,8 +831,9 @@ def scan(files: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 64):
                 part, out = b.slice(k, 64), []
                 for doc_id, content in zip(part.column("doc_id").to_pylist(), part.column("content").to_pylist()):
-                    status, pages = extract(content)
+                    status, pages, fonts = read(content)
                     rows = [{"doc_id": doc_id, "status": status, "page_n": n + 1} | r for n, p in enumerate(pages) for r in p]
+                    rows += [{"doc_id": doc_id, "status": status, "kind": "font", "font": k, "text": f["base"], "detail": json.dumps(f)} for k, f in enumerate(fonts)]
                     out += rows or [{"doc_id": doc_id, "status": status}]
                 kinds = {DoubleType: pa.float64(), BooleanType: pa.bool_(), IntegerType: pa.int32(), LongType: pa.int64(), StringType: pa.string()}
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], kinds[type(f.dataType)]) for f in SCHEMA.fields], names)
