@@ -335,3 +335,17 @@ def test_small_columns(spark):
     lo, hi = geometry.cubic_range(*(F.lit(float(v)) for v in (0, 1, 1, 0)))
     assert get(lo, hi, geometry.dist(*map(F.lit, (0, 0, 3, 4)))) == (0, 0.75, 5)
     assert pdf.predicted(zlib.decompress(zlib.compress(bytes([1, 10, 10, 2, 0, 0]))), {"Predictor": 15, "Columns": 2}) == bytes([10, 20, 10, 20])
+
+
+def test_lists_of_files_and_thumbnail_files(spark, tmp_path):
+    from pagewright.sinks import thumbnails
+    from pagewright.streaming import ingest
+
+    (tmp_path / "a.pdf").write_bytes(page("q 80 0 0 40 10 700 cm /A Do Q"))
+    (tmp_path / "list.txt").write_text(f"  {tmp_path}/a.pdf \n\n{tmp_path}/none.pdf\n")
+    got = ingest.listed(spark, str(tmp_path / "list.txt"))
+    assert sorted((r.path.rsplit("/", 1)[1], r.error, r.content is None) for r in got.collect()) == [("a.pdf", None, False), ("none.pdf", "missing", True)]
+    assert sorted(r.status for r in pdf.scan(got).where("kind = 'page' OR kind IS NULL").collect()) == ["not_pdf", "ok"]
+    assert thumbnails.write_pgm(pixels.thumbs(got), str(tmp_path / "out")) == 1
+    (name,) = (tmp_path / "out").iterdir()
+    assert name.name.endswith("_4.pgm") and name.read_bytes() == b"P5\n8 4\n255\n" + b"\x00\xff" * 16
