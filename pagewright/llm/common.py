@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all runs in one process (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -35,7 +40,7 @@ class Scratch:
         except Exception:  # a Spark without this setting removes them later
             was = None
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             if was is not None:
                 self.spark.conf.set(clean, was)
@@ -63,5 +68,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [x or "" for x in batch.column(column).to_numpy(zero_copy_only=False).tolist()]
+def texts_of(batch: pa.RecordBatch, *path: str) -> list[str]:
+    """A text column, or a field of a struct column; nulls as empty texts."""
+    first, *rest = path or ("text",)
+    column = batch.column(first)
+    for name in rest:
+        column = pc.struct_field(column, name)
+    return [x or "" for x in column.to_numpy(zero_copy_only=False).tolist()]
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns in one struct column `row`, so that own columns can't clash with theirs, whatever their names."""
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"))

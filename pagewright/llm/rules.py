@@ -9,7 +9,8 @@ documents rejected, the most lenient of equals. So with confidence 1 - delta, in
 the good documents rejected. A stratum with too few labels for any valid cutoff, or without bad documents, gets none:
 its documents are kept.
 
-Figures are binned in thousandths, up to `BINS`; labelled counts by stratum, rule and bin are grouped aggregates, so
+Figures are binned in thousandths, above FINE in steps of a thousandth of a doubling, so any two figures that differ by
+0.07 % can be told apart, and there are at most FINE + 64,000 bins; labelled counts by stratum, rule and bin are grouped aggregates, so
 labels may be any number. Good is quality = 1.
 
 Cases. A null or blank text has no words and fails the base rule; a null stratum is a stratum of its own; repeated
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from pagewright.llm.common import Scratch, read, slices, texts_of
+from pagewright.llm.common import Scratch, packed, read, slices, texts_of
 
 RULES = ("symbols", "dup_lines", "repeats", "long_words", "short_words", "capitals", "marks")
-BINS = 20_000
+FINE = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -51,8 +52,14 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def figure_bin(x: float) -> int:
+    """Rises with the figure."""
+    n = math.ceil(1000 * x)
+    return n if n <= FINE else FINE + 1 + int(1000 * math.log2(n / FINE))
+
+
 def measure(text: str) -> tuple[tuple[int, int, int, int, int], list[int]]:
-    """(the counts, the figure of each rule in thousandths)."""
+    """(the counts, the bin of each rule's figure)."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n, chars = len(words), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
@@ -68,20 +75,20 @@ def measure(text: str) -> tuple[tuple[int, int, int, int, int], list[int]]:
     each = max(n, 1)
     mean = chars / each
     figures = (symbols / each, dup / max(lines, 1), repeats / each, mean, max(0.0, 20 - mean), capitals / max(chars, 1), (raw.count(b"!") + raw.count(b"?")) / each)
-    return (n, chars, symbols, dup, repeats), [min(BINS, math.ceil(1000 * x)) for x in figures]
+    return (n, chars, symbols, dup, repeats), [figure_bin(x) for x in figures]
 
 
 def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, *text: str) -> DataFrame:
     """docs with columns _m_n_words .. (long), _m_base_failed (boolean) and _m_figures (array of int) added."""
     extra = [StructField(f"_m_{c}", LongType()) for c in COUNTS] + [StructField("_m_base_failed", BooleanType()), StructField("_m_figures", ArrayType(IntegerType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [measure(t) for t in texts_of(b, text)]
+            rows = [measure(t) for t in texts_of(b, *text)]
             cols = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
             cols += [pa.array([base_failed(r[0][0], r[0][4]) for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *(x.name for x in extra)])
@@ -138,7 +145,7 @@ def cutoffs(measures: DataFrame, labels: DataFrame, stratum: str, risk: float =
     strata = counts.select("stratum").distinct().count()
     tests = max(1, strata * len(RULES))
 
-    def run(g: pa.Table) -> pa.Table:  # at most BINS + 1 rows
+    def run(g: pa.Table) -> pa.Table:  # at most FINE + 64,000 rows
         g = g.sort_by("bin")
         cut = choose(*(g.column(k).to_numpy() for k in ("bin", "good", "bad")), risk / len(RULES), delta / tests)
         return g.slice(0, int(cut is not None)).select(["stratum", "rule"]).append_column("cut", pa.array([cut] if cut is not None else [], pa.int32()))
@@ -164,12 +171,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that the rules keep, with all of their columns.
-
-    Texts are measured twice, for the cutoffs and for the verdicts, and not moved.
-    """
-    m = measured(docs.select("doc_id", "text", stratum)).drop("text")
-    return judged(measured(docs), cutoffs(m, labels, stratum, risk, delta), stratum).where("_m_kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with all of their columns. Texts are measured once and written with their figures."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(measured(packed(docs), "row", "text")).withColumn("_m_of", F.col(f"row.{stratum}"))
+    m = rows.select(F.col("row.doc_id").alias("doc_id"), "_m_of", "_m_figures")
+    return judged(rows, cutoffs(m, labels, "_m_of", risk, delta), "_m_of").where("_m_kept").select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
