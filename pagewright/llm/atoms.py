@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CACHE, LONGEST = 500_000, 48
+CACHE, LONGEST = 300_000, 48
 
 
 def is_plain(part: str) -> bool:
@@ -27,9 +27,14 @@ def is_plain(part: str) -> bool:
 
 
 class AtomEncoder:
-    """pattern: splits a text into matches; encode_piece: one match -> id bytes (little-endian unsigned 32-bit)."""
+    """pattern: splits a text into matches; encode_piece: one match -> id bytes (little-endian unsigned 32-bit).
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes]):
+    added: strings that are tokens of their own wherever they stand, with their ids; what lies between is split by itself.
+    """
+
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], added: dict[str, int] | None = None):
+        self.added = {k: struct.pack("<I", v) for k, v in (added or {}).items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.findall, self.encode_piece = regex.compile(pattern).findall, encode_piece
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -74,6 +79,15 @@ class AtomEncoder:
 
     def encode_batch(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, the places where each text's ids start and the last one's end)."""
+        cut = [k for k, t in enumerate(texts) if any(x in t for x in self.added)] if self.added else []
+        if not cut:
+            return self._encode_batch(texts)
+        own = {k: b"".join(self.added.get(x) or self.stretches(x) for x in self.cut.split(texts[k]) if x) for k in cut}
+        ids, at = self._encode_batch([t if k not in own else "" for k, t in enumerate(texts)])
+        parts = [np.frombuffer(own[k], "<u4") if k in own else ids[at[k] : at[k + 1]] for k in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _encode_batch(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -130,13 +144,14 @@ _ENCODERS: dict[str, AtomEncoder] = {}
 def tokenizers_encoder(path: str) -> AtomEncoder:
     """Over a byte-level tokenizer file of the tokenizers library; one for each worker process and path.
 
-    Strings of special tokens in a text are ordinary text. The library's model merges each match.
+    Added tokens of the file that a text spells out are these tokens, as the library has it. Its model merges each match.
     """
     if path not in _ENCODERS:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        model, added = whole.model, {t.content: k for k, t in whole.get_added_tokens_decoder().items()}
         table = str.maketrans({chr(b): c for b, c in byte_names().items()})
         space, pack = byte_names()[32], [struct.Struct(f"<{n}I").pack for n in range(9)]
 
@@ -145,5 +160,5 @@ def tokenizers_encoder(path: str) -> AtomEncoder:
             ids = [t.id for t in model.tokenize(name)]
             return pack[len(ids)](*ids) if len(ids) < 9 else np.array(ids, "<u4").tobytes()
 
-        _ENCODERS[path] = AtomEncoder(PATTERN, encode_piece)
+        _ENCODERS[path] = AtomEncoder(PATTERN, encode_piece, added)
     return _ENCODERS[path]
