@@ -12,7 +12,7 @@ the ids of parts seen before; the tree runs for matches not seen before. Short w
 
 Decoding halves the ids down to runs of 4096, whose bytes are looked up, and concatenates up the tree.
 
-Cases. A null text is empty; an empty text has no ids. Any code points, lone surrogates excepted, round-trip.
+Cases. A null text is empty; an empty text has no ids. Any code points round-trip.
 Repeated rows are each returned; a null doc_id stays null. Extra columns are ignored. An empty table stays empty.
 """
 
@@ -40,7 +40,7 @@ class MonoidBPE:
         for name, k in ranks.items():
             self.names[k] = name
         self.settled: dict[tuple[int, int], bool] = {}
-        self.coder = AtomEncoder(pattern, lambda piece: np.array(self.encode(piece.encode()), "<u4").tobytes())
+        self.coder = AtomEncoder(pattern, lambda piece: np.array(self.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
 
     def merge(self, raw: bytes) -> list[int]:
         """Rank order merging of a short string: always the lowest rank, the leftmost of equals."""

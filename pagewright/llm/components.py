@@ -18,14 +18,15 @@ SMALL = 100_000
 
 
 def _digest(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(h)).first())
+    """Count and two hashes of a set of edges: equal for equal sets, and for others with a chance of 2^-128."""
+    one, two = F.xxhash64("u", "v"), F.xxhash64(F.lit(7), "v", "u")
+    return tuple(edges.agg(F.count("*"), F.sum(one.cast("decimal(38,0)")), F.bit_xor(two)).first())
 
 
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """edges (a long, b long) -> (node long, component long), component being the smallest node reachable.
 
-    Only nodes with an edge to another node are returned. Null ends and loops are ignored, repeats allowed.
+    A row for each node but the smallest of its component. Null ends and loops are ignored, repeats allowed.
     An empty input gives an empty result.
     """
     e = scratch.table(

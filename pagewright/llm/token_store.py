@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.atoms import tokenizers_encoder
 from pagewright.llm.common import Scratch, read, slices, texts_of
 
+MOST_PARTS = 16384
 MAGIC, HEAD = b"PWIDS1\0\0", struct.Struct("<8sIQI")
 #: by control byte: the lengths of its four values
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -123,7 +124,7 @@ def frequency_order(held: DataFrame) -> np.ndarray:
 
 
 def write_dataset(scratch: Scratch, docs: DataFrame, tokenizer: str, end_id: int, ids_a_file: int = 1 << 22) -> DataFrame:
-    """The dataset's table of files: (file int, body binary)."""
+    """The dataset's table of files: (part int, piece int, body binary). Over MOST_PARTS parts, parts get more files."""
     held = scratch.table(tokenized(docs, tokenizer, end_id))
     order = frequency_order(held)
     total, rows = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
@@ -149,7 +150,7 @@ def write_dataset(scratch: Scratch, docs: DataFrame, tokenizer: str, end_id: int
                     yield from flush()
         yield from flush()
 
-    ranged = held.repartitionByRange(max(1, min(rows, -(-total // ids_a_file))), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ranged = held.repartitionByRange(max(1, min(rows, MOST_PARTS, -(-total // ids_a_file))), "doc_id").sortWithinPartitions("doc_id", "ids")
     files = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, piece int, body binary")
     out = scratch.table(files)
     scratch.drop(held)
@@ -180,8 +181,12 @@ def read_dataset(files: DataFrame) -> DataFrame:
 def document_places(scratch: Scratch, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; start counts over the whole dataset."""
     rows = scratch.table(read_dataset(files))
-    sizes = rows.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))  # a row for each file
-    before = sizes.select(F.col("part").alias("p"), F.col("piece").alias("q"), (F.sum("n").over(Window.orderBy("part", "piece")) - F.col("n")).alias("before"))
+    sizes = scratch.table(rows.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n")))  # a row for each file
+    parts = sizes.groupBy(F.col("part").alias("k")).agg(F.sum("n").alias("all"))  # MOST_PARTS at most: one task adds them up
+    parts = parts.select("k", (F.sum("all").over(Window.orderBy("k")) - F.col("all")).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("piece")) - F.col("n")
+    before = sizes.withColumn("within", within).join(F.broadcast(parts), F.col("part") == F.col("k"))
+    before = before.select(F.col("part").alias("p"), F.col("piece").alias("q"), (F.col("base") + F.col("within")).alias("before"))
     out = rows.join(before, (F.col("part") == F.col("p")) & (F.col("piece") == F.col("q")))
     return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
