@@ -1,7 +1,7 @@
 """Images of PDF files as small grey pictures: filters, codecs, colour spaces, block averages, turns, strips.
 
-An image that can't be decoded is a row with an error: no_size, jpeg, jpx, jbig2, undecoded, bits, short, colour_space,
-no_colour_space, lookup, ccitt_columns, no_object. JPEG data isn't decoded (error jpeg). Sums are of integers, so results
+An image that can't be decoded is a row with an error: no_size, jpeg (other than baseline), jpx, jbig2, undecoded, bits,
+short, colour_space, no_colour_space, lookup, ccitt_columns, no_object. Sums are of integers, so results
 are the same everywhere. 0 is black.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewright.sources import fax
+from pagewright.sources import fax, jpeg
 from pagewright.sources.pdf import FILTERS, Document, Interpreter, OverBudget, Stream, predicted
 
 THUMB, KIND_THUMB, ASPECT, LONG = 256, 1024, 2.0, 8.0
@@ -21,7 +21,7 @@ FULL = {
     "BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "DP": "DecodeParms", "F": "Filter", "H": "Height", "IM": "ImageMask", "I": "Interpolate", "W": "Width",
     "G": "DeviceGray", "RGB": "DeviceRGB", "CMYK": "DeviceCMYK",
 }
-CODECS = {"DCTDecode": "jpeg", "DCT": "jpeg", "JPXDecode": "jpx", "JBIG2Decode": "jbig2"}
+CODECS = {"JPXDecode": "jpx", "JBIG2Decode": "jbig2"}
 
 
 class Failed(Exception):
@@ -126,6 +126,11 @@ def samples(doc: Document, info: dict, raw: bytes, res: dict | None = None) -> n
         p = {a: get(b) for a, b in p.items()} if isinstance(p, dict) else {}
         if name in CODECS:
             raise Failed(CODECS[name])
+        if name in ("DCTDecode", "DCT"):
+            try:
+                return jpeg_grey(jpeg.decode(raw), [get(x) for x in get(info.get("Decode")) or []])
+            except Exception as e:
+                raise Failed("jpeg") from e
         if name in ("CCITTFaxDecode", "CCF"):
             columns = p.get("Columns", 1728)
             if not isinstance(columns, int) or columns < 1:
@@ -158,6 +163,14 @@ def samples(doc: Document, info: dict, raw: bytes, res: dict | None = None) -> n
     return space.grey(s.astype(np.int64) * 255 // top)
 
 
+def jpeg_grey(s: np.ndarray, order: list) -> np.ndarray:
+    """Decoded samples by their number of components, turned round by /Decode, as grey."""
+    for k in range(min(s.shape[2], len(order) // 2)):
+        if order[2 * k] > order[2 * k + 1]:
+            s[..., k] = 255 - s[..., k]
+    return Space(Document(b""), {1: "DeviceGray", 3: "DeviceRGB", 4: "DeviceCMYK"}[s.shape[2]]).grey(s)
+
+
 def turn_of(corners: list[tuple[float, float]]) -> tuple[bool, bool, bool]:
     """(transpose, flip_x, flip_y) from an image's page corners: upper left, upper right, lower left."""
     (ax, ay), (bx, by), (cx, cy) = corners

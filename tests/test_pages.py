@@ -9,7 +9,7 @@ import pytest
 from pagewright.functions import geometry
 from pagewright.operators import document, images, layout, scoring, vectors
 from pagewright.sinks import json_lines
-from pagewright.sources import fax, fonts, pdf, pixels
+from pagewright.sources import fax, fonts, jpeg, pdf, pixels
 from pyspark.sql import functions as F
 
 
@@ -239,7 +239,7 @@ def test_pixels():
     assert grey({"ColorSpace": ["Indexed", "DeviceGray", 1, b"\x00\xff"], "BitsPerComponent": 1}, b"\x40") == [0, 255]
     assert grey({"ColorSpace": "DeviceCMYK"}, bytes([0, 0, 0, 0, 0, 0, 0, 255])) == [255, 0] and grey({"ColorSpace": ["Separation", "X", "DeviceCMYK", 1]}, b"\x00\xff") == [255, 0]
     assert grey({"ColorSpace": "DeviceGray", "BitsPerComponent": 16}, b"\x10\x99\x20\x99") == [16, 32]
-    for info, raw, error in (({"Filter": "DCTDecode"}, b"", "jpeg"), ({"ColorSpace": "DeviceGray"}, b"a", "short"), ({}, b"ab", "no_colour_space"), ({"ColorSpace": "Lab"}, b"ab", "colour_space"), ({"BitsPerComponent": 3}, b"", "bits"), ({"Width": 0}, b"", "no_size")):
+    for info, raw, error in (({"Filter": "DCTDecode"}, b"", "jpeg"), ({"Filter": "JPXDecode"}, b"", "jpx"), ({"ColorSpace": "DeviceGray"}, b"a", "short"), ({}, b"ab", "no_colour_space"), ({"ColorSpace": "Lab"}, b"ab", "colour_space"), ({"BitsPerComponent": 3}, b"", "bits"), ({"Width": 0}, b"", "no_size")):
         with pytest.raises(pixels.Failed, match=error):
             grey(info, raw)
     rng = np.random.default_rng(1)
@@ -349,3 +349,81 @@ def test_lists_of_files_and_thumbnail_files(spark, tmp_path):
     assert thumbnails.write_pgm(pixels.thumbs(got), str(tmp_path / "out")) == 1
     (name,) = (tmp_path / "out").iterdir()
     assert name.name.endswith("_4.pgm") and name.read_bytes() == b"P5\n8 4\n255\n" + b"\x00\xff" * 16
+
+
+def _jpeg(planes, factors, restart=0, adobe=None):
+    """A plain coder: quantisers of 1, codes of nine bits; planes are of the size of whole units."""
+    zig, out = jpeg.zigzag(), bytearray(b"\xff\xd8")
+    part = lambda mark, body: out.extend(bytes([0xFF, mark]) + (len(body) + 2).to_bytes(2, "big") + body)
+    part(0xDB, b"\0" + b"\1" * 64)
+    for k in (0, 16):
+        part(0xC4, bytes([k, 0, 0, 0, 0, 0, 0, 0, 0, 255, 0, 0, 0, 0, 0, 0, 0]) + bytes(range(255)))
+    top_h, top_v = max(f[0] for f in factors), max(f[1] for f in factors)
+    h, w = planes[0].shape[0] * top_v // factors[0][1], planes[0].shape[1] * top_h // factors[0][0]
+    part(0xC0, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([k + 1, f[0] << 4 | f[1], 0]) for k, f in enumerate(factors)))
+    if restart:
+        part(0xDD, restart.to_bytes(2, "big"))
+    if adobe is not None:
+        part(0xEE, b"Adobe" + bytes(6) + bytes([adobe]))
+    part(0xDA, bytes([len(planes)]) + b"".join(bytes([k + 1, 0]) for k in range(len(planes))) + b"\0\x3f\0")
+    cos = jpeg._COS
+    bits, last, n = "", [0] * len(planes), 0
+
+    def value(v):
+        size = abs(v).bit_length()
+        return size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    units = [(y, x) for y in range(h // (8 * top_v)) for x in range(w // (8 * top_h))]
+    for y, x in units:
+        if restart and n and n % restart == 0:
+            bits += "1" * (-len(bits) % 8)
+            out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
+            bits, last = "", [0] * len(planes)
+        n += 1
+        for k, (p, (fh, fv)) in enumerate(zip(planes, factors)):
+            for v in range(fv):
+                for u in range(fh):
+                    b = p[8 * (y * fv + v) :][:8, 8 * (x * fh + u) :][:, :8].astype(float) - 128
+                    c = np.rint(cos.T @ b @ cos).astype(int).ravel()[zig].tolist()
+                    size, code = value(c[0] - last[k])
+                    last[k] = c[0]
+                    bits += f"{size:09b}{code}"
+                    run = 0
+                    for a in c[1:]:
+                        if not a:
+                            run += 1
+                            continue
+                        while run > 15:
+                            bits, run = bits + f"{0xF0:09b}", run - 16
+                        size, code = value(a)
+                        bits += f"{run << 4 | size:09b}{code}"
+                        run = 0
+                    if run:
+                        bits += f"{0:09b}"
+    bits += "1" * (-len(bits) % 8)
+    return bytes(out) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+
+def test_jpeg():
+    assert jpeg.zigzag().tolist()[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.zigzag().tolist()) == list(range(64))
+    rng = np.random.default_rng(4)
+    smooth = lambda h, w: np.clip(128 + 90 * np.sin(np.add.outer(np.arange(h) / 5, np.arange(w) / 7)) + rng.normal(0, 3, (h, w)), 0, 255).astype(np.uint8)
+    g = smooth(32, 48)
+    for restart in (0, 5):
+        got = jpeg.decode(_jpeg([g], [(1, 1)], restart))
+        assert got.shape == (32, 48, 1) and np.abs(got[..., 0].astype(int) - g).max() <= 2
+    y, b, r = smooth(32, 32), smooth(16, 16), smooth(16, 16)
+    got = jpeg.decode(_jpeg([y, b, r], [(2, 2), (1, 1), (1, 1)]))
+    up = lambda p: p.repeat(2, 0).repeat(2, 1)
+    assert np.abs(got.astype(int) - jpeg.rgb_of(np.stack([y, up(b), up(r)], 2))).max() <= 6
+    assert jpeg.rgb_of(np.array([[[76, 85, 255], [255, 128, 128]]], np.uint8)).tolist() == [[[254, 0, 0], [255, 255, 255]]]
+    four = jpeg.decode(_jpeg([y] * 4, [(1, 1)] * 4, adobe=0))
+    assert four.shape == (32, 32, 4) and np.abs(four.astype(int) - y[..., None]).max() <= 2
+    data = _jpeg([g], [(1, 1)])
+    assert jpeg.decode(data[:-200]).shape == (32, 48, 1)  # cut short: the rest is grey
+    for bad in (b"", data[:40], data.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(Exception):
+            jpeg.decode(bad)
+    doc = pdf.Document(b"")
+    grey = pixels.samples(doc, {"Width": 48, "Height": 32, "Filter": "DCTDecode", "Decode": [1, 0]}, data)
+    assert np.abs(255 - grey.astype(int) - g).max() <= 2
