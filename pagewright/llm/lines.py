@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash (operator 9).
 
-Every line that isn't blank is stripped and named by 128 bits of hash. Distinct lines get 50 minima over their
-9-character shingles in 10 bands of 5: lines of Jaccard likeness 0.8 share a band with a chance of 0.98. Candidate
+Every line that isn't blank is stripped and named by 128 bits of hash. Distinct lines get 32 minima over their
+9-character shingles in 8 bands of 4: lines of Jaccard likeness 0.8 share a band with a chance of 0.985. Candidate
 pairs are verified on the exact shingle sets; verified links are closed by distributed union-find; the first line of
 each component, by document and place, stays.
 
@@ -32,10 +32,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pagewright.llm.common import Scratch, read, slices, texts_of
 from pagewright.llm.components import components
 
-SHINGLE, BANDS, ROWS, LIKENESS = 9, 10, 5, 0.8
+SHINGLE, BANDS, ROWS, LIKENESS = 9, 8, 4, 0.8
 STEP, BLOCK, BINS = 1 << 16, 128, 20
 #: bits of the fixed-size filter by which a task leaves out lines whose text nobody asks for; a full one lets all through
-FILTER = 1 << 24
+FILTER = 1 << 22
 _RNG = np.random.default_rng(20)
 #: h -> a h + b modulo 2^32, a odd: one permutation of the upper half of shingle values for each minimum
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -133,37 +133,38 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in slices(batches):
-            doc, key, place, name, new, at = [], [], [], [], [], []
-            for d, k, t in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), texts_of(b)):
+            place, name, new, at, count = [], [], [], [], []
+            for t in texts_of(b):
+                before = len(name)
                 for p, line in enumerate(t.split("\n")):
                     line = line.strip()
                     if line:
                         h = _name(line)
-                        doc.append(d)
-                        key.append(k)
                         place.append(p)
                         if h not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(h)
                             at.append(len(name))
                             new.append(line)
                         name.append(h)
-            bands: list = [None] * len(name)
-            if new:
-                for p, keys in zip(at, band_keys(new).tolist()):
-                    bands[p] = keys
+                count.append(len(name) - before)
+            has = np.zeros(len(name), bool)
+            has[at] = True
+            ends = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
+            keys = pa.array(band_keys(new).ravel() if new else np.zeros(0, np.int64))
+            bands = pa.ListArray.from_arrays(pa.array(ends), keys, mask=pa.array(~has))
+            own = pa.array(np.repeat(np.arange(b.num_rows), count))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int32()), pa.array(name, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "key", "place", "line", "bands"],
+                [b.column("doc_id").take(own), b.column("key").take(own), pa.array(place, pa.int32()), pa.array(name, pa.binary()), bands], ["doc_id", "key", "place", "line", "bands"]
             )
 
     return _identity(docs).mapInArrow(run, "doc_id long, key long, place int, line binary, bands array<long>")
 
 
 def name_filter(wanted: DataFrame) -> np.ndarray:
-    """FILTER bits, those set that start the name of a wanted line; FILTER / 64 rows at most reach the driver."""
-    place = F.conv(F.hex(F.substring("line", 1, 3)), 16, 10).cast("long")
+    """FILTER bits, those set whose number starts the name of a wanted line; FILTER / 64 rows at most reach the driver."""
+    place = F.shiftright(F.conv(F.hex(F.substring("line", 1, 3)), 16, 10).cast("long"), 2)
     words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     out = np.zeros(FILTER // 64, np.int64)
     for r in words.collect():
@@ -185,9 +186,9 @@ def texts_of_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     line = line.strip()
                     if line:
                         h = _name(line)
-                        at = h[0] << 16 | h[1] << 8 | h[2]
+                        at = (h[0] << 16 | h[1] << 8 | h[2]) >> 2
                         if bits[at >> 3] >> (7 - (at & 7)) & 1 and h not in seen:
-                            if len(seen) > 200_000:
+                            if len(seen) > 100_000:
                                 seen.clear()
                             seen.add(h)
                             name.append(h)
@@ -225,26 +226,40 @@ def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(rows: list[tuple[bytes, bytes, bool, str]]) -> list[tuple[bytes, bytes]]:
-    """rows (line, component, outside, body) of one block pair -> links of lines outside, one for each line and component."""
-    values = [_distinct([r[3]]) for r in rows]
+def block_links(rows: list[tuple[bytes, bytes, bool]], values: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside, one for each line and component."""
     size, outside = np.array([len(v) for v in values], np.float32), np.array([r[2] for r in rows])
     common = _common(values, outside)
     alike = common >= (LIKENESS - 1e-7) * (size[outside][:, None] + size[None] - common)
     mine, out = np.flatnonzero(outside), {}
-    for x, y in zip(*np.nonzero(alike)):
+    for x, y in zip(*(k.tolist() for k in np.nonzero(alike))):
         a, b = rows[mine[x]], rows[y]
         if a[1] != b[1]:
             out.setdefault((a[0], b[1]), b[0])
     return [(a, b) for (a, _), b in out.items()]
 
 
+def _block_pairs(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """held (t, line, component, outside, body), rows of a block pair t one after another -> its links."""
+    out, values = [], []
+    for lo in range(0, len(held), 4096):
+        keys = _distinct([r[4] for r in held[lo : lo + 4096]])
+        cut = np.searchsorted(keys, np.arange(1, len(held[lo : lo + 4096]), dtype=np.uint64) << np.uint64(52))
+        values += np.split(keys & np.uint64((1 << 52) - 1), cut)
+    lo = 0
+    for hi in range(1, len(held) + 1):
+        if hi == len(held) or held[hi][0] != held[lo][0]:
+            out += block_links([r[1:4] for r in held[lo:hi]], values[lo:hi])
+            lo = hi
+    return out
+
+
 def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
-    """groups (l, line, j, c, top) -> links (a, b) between lines of one leader that are in different components.
+    """groups (l, line, j, component c, outside: of the largest component, n: lines of l) -> links (a, b) of lines outside.
 
-    The lines of a leader are dealt into bins by their likeness to it, and these into blocks.
+    The lines of a leader that has more than a block of them are dealt into bins by their likeness to it, and these into blocks.
     """
-    g = groups.withColumn("bin", F.floor(F.col("j") * BINS).cast("int")).withColumn("h", F.xxhash64("line")).withColumn("outside", F.col("c") != F.col("top"))
+    g = groups.withColumn("bin", F.when(F.col("n") > BLOCK, F.floor(F.col("j") * BINS).cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
     size = g.groupBy("l", "bin").agg(F.ceil(F.count_if("outside") / BLOCK).alias("kx"), F.ceil(F.count("*") / BLOCK).alias("ky"))
     at = g.join(size.withColumnsRenamed({"l": "l2", "bin": "bin2"}), (F.col("l") == F.col("l2")) & (F.col("bin") == F.col("bin2")))
     at = at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by"))
@@ -258,19 +273,17 @@ def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
     both = both.groupBy("t", "line", "c").agg(F.bool_or("outside").alias("outside"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bool, str]] = []
-        now, out = None, []
-        for b in slices(batches, 4096):
-            for t, *row in zip(*(b.column(k).to_pylist() for k in ("t", "line", "c", "outside", "body"))):
-                if t != now and held:
-                    out += block_links(held)
+        held: list[tuple] = []
+        chars = 0
+        for b in slices(batches, 1024):
+            for row in zip(*(b.column(k).to_pylist() for k in ("t", "line", "c", "outside", "body"))):
+                if (len(held) >= 2048 or chars >= 16 * STEP) and row[0] != held[-1][0]:
+                    yield _pairs(_block_pairs(held))
                     held.clear()
-                now = t
-                held.append(tuple(row))
-            yield _pairs(out)
-            out.clear()
-        if held:
-            yield _pairs(block_links(held))
+                    chars = 0
+                held.append(row)
+                chars += len(row[4])
+        yield _pairs(_block_pairs(held))
 
     rows = both.join(bodies, "line").repartition("t").sortWithinPartitions("t").select("t", "line", "c", "outside", "body")
     return rows.mapInArrow(run, "a binary, b binary")
@@ -282,22 +295,28 @@ def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """distinct (line, bands) -> (node, component) over the lines that are linked to another line."""
-    keyed = distinct.select("line", F.explode("bands").alias("bucket"))
-    lead = F.min(F.struct(F.xxhash64("line").alias("h"), "line"))
-    leaders = keyed.groupBy("bucket").agg(lead.alias("o"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("k"), F.col("o.line").alias("l"))
-    star = scratch.table(keyed.join(leaders, F.col("bucket") == F.col("k")).where("line <> l").select("l", "line").distinct())
-    wanted = scratch.table(star.select("line").union(star.select(F.col("l").alias("line"))).distinct())
-    bodies = scratch.table(texts_of_lines(docs, wanted))
+    # buckets hold 64-bit hashes of the lines' names; two names of one hash only give a pair more to compare
+    keyed = distinct.select(F.xxhash64("line").alias("h"), F.explode("bands").alias("bucket"))
+    leaders = keyed.groupBy("bucket").agg(F.min("h").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("k"), "lead")
+    star = scratch.table(keyed.join(leaders, F.col("bucket") == F.col("k")).where("h <> lead").select("lead", "h").distinct())
+    pairs = star
+    named = distinct.select("line", F.xxhash64("line").alias("h")).join(star.select("h").union(star.select("lead")).distinct(), "h", "left_semi")
+    named = scratch.table(named)
+    bodies = scratch.table(texts_of_lines(docs, named.select("line")))
+    star = star.join(named, "h").select("lead", "line").join(named.select(F.col("h").alias("lead"), F.col("line").alias("l")), "lead").select("l", "line")
     star = scratch.table(compared(star, bodies))
+    scratch.drop(pairs, named)
     alike = star.where(F.col("j") >= LIKENESS - 1e-12).select(F.col("l").alias("a"), F.col("line").alias("b"))
     comp = components(scratch, alike)
     all_of = star.union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j")).distinct())
     state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", F.coalesce("component", "line").alias("c")))
     sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"))
-    several = sizes.groupBy(F.col("l").alias("k")).agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("m")).where("m > 1").select("k", "top")
-    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "c", "top"))
+    several = sizes.groupBy(F.col("l").alias("k")).agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1").select("k", "top", "n")
+    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "c", "n", (F.col("c") != F.col("top")).alias("outside")))
     more = scratch.table(blocks(groups, bodies))
-    return components(scratch, alike.union(more))
+    out = components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    scratch.drop(star, bodies, state, groups, more)
+    return out
 
 
 def kept_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
@@ -308,7 +327,9 @@ def kept_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     comp = links(scratch, docs, distinct.select("line", "bands"))
     rows = distinct.join(comp, F.col("line") == F.col("node"), "left").select(F.coalesce("component", "line").alias("c"), "at")
     first = rows.groupBy("c").agg(F.min("at").alias("at")).select("at.doc_id", "at.key", "at.place")
-    return scratch.table(first.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("place")).alias("places")))
+    out = scratch.table(first.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("place")).alias("places")))
+    scratch.drop(distinct)
+    return out
 
 
 def deduplicated(docs: DataFrame, recount: str | None = None) -> DataFrame:
