@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from pagewright.llm.common import cache
+
 CACHE, LONGEST = 300_000, 48
 
 
@@ -32,7 +34,8 @@ class AtomEncoder:
     added: strings that are tokens of their own wherever they stand, with their ids; what lies between is split by itself.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], added: dict[str, int] | None = None):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], added: dict[str, int] | None = None, cache_size: int = CACHE):
+        self.size = cache_size
         self.added = {k: struct.pack("<I", v) for k, v in (added or {}).items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.findall, self.encode_piece = regex.compile(pattern).findall, encode_piece
@@ -47,7 +50,7 @@ class AtomEncoder:
         v = self.pieces.get(p)
         if v is None:
             v = self.encode_piece(p)
-            if len(p) <= LONGEST and len(self.pieces) < CACHE:
+            if len(p) <= LONGEST and len(self.pieces) < self.size:
                 self.pieces[p] = v
         return v
 
@@ -61,7 +64,7 @@ class AtomEncoder:
             v = (self.parts.get(p[:-1]) or self._part(p[:-1])) + self._piece(p[-1])
         else:
             v = self.encode(" " + p)
-        if len(p) <= LONGEST and len(self.parts) < CACHE:
+        if len(p) <= LONGEST and len(self.parts) < self.size:
             self.parts[p] = v
         return v
 
@@ -97,7 +100,7 @@ class AtomEncoder:
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = list(map(self.parts.get, names))
         if None in values:
-            if len(self.parts) >= CACHE and 2 * values.count(None) > len(values):  # other texts than those the caches were filled with
+            if len(self.parts) >= self.size and 2 * values.count(None) > len(values):  # other texts than those the caches were filled with
                 self.parts.clear()
                 self.pieces.clear()
             for k, v in enumerate(values):
@@ -138,7 +141,7 @@ def byte_names() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_ENCODERS: dict[str, AtomEncoder] = {}
+_ENCODERS: dict[str, AtomEncoder] = cache()
 
 
 def tokenizers_encoder(path: str) -> AtomEncoder:

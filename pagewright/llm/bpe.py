@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.atoms import AtomEncoder
-from pagewright.llm.common import read, slices, texts_of
+from pagewright.llm.common import cache, read, slices, texts_of
 
-LEAF, RUN = 24, 4096
+LEAF, RUN, PARTS = 24, 4096, 500_000
 
 
 class MonoidBPE:
@@ -40,7 +40,7 @@ class MonoidBPE:
         for name, k in ranks.items():
             self.names[k] = name
         self.settled: dict[tuple[int, int], bool] = {}
-        self.coder = AtomEncoder(pattern, lambda piece: np.array(self.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
+        self.coder = AtomEncoder(pattern, lambda piece: np.array(self.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), cache_size=PARTS)
 
     def merge(self, raw: bytes) -> list[int]:
         """Rank order merging of a short string: always the lowest rank, the leftmost of equals."""
@@ -121,7 +121,7 @@ class MonoidBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-_CODERS: dict[str, MonoidBPE] = {}
+_CODERS: dict[str, MonoidBPE] = cache()
 
 
 def coder_of(path: str) -> MonoidBPE:

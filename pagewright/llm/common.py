@@ -25,6 +25,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: while a table is written: its shuffle files go when it is there, and Arrow batches hold whole texts, so they are short
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_CACHES: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary of a worker process that lasts from task to task, until an operator that doesn't use it starts there."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def drop_caches() -> None:
+    """What other operators' tasks have left in this worker process."""
+    for c in _CACHES:
+        c.clear()
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and survive a lost executor."""
 
@@ -32,18 +49,18 @@ class Scratch:
         self.spark, self.root, self.paths = spark, f"{shared_root(spark)}/{uuid.uuid4().hex}", {}
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        clean, was = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
-        try:  # the table holds the result, so the shuffle files behind it go when it is written
-            was = self.spark.conf.get(clean)
-            self.spark.conf.set(clean, "true")
-        except Exception:  # a Spark without this setting removes them later
-            was = None
+        path, was = f"{self.root}/{len(self.paths)}", {}
+        for key, value in _WRITING.items():
+            try:
+                was[key] = self.spark.conf.get(key)
+                self.spark.conf.set(key, value)
+            except Exception:  # a Spark without this setting
+                was.pop(key, None)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            if was is not None:
-                self.spark.conf.set(clean, was)
+            for key, value in was.items():
+                self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = getattr(self, "_keep", []) + [out]  # ids stay unique while the frames live

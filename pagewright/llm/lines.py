@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from pagewright.llm.common import Scratch, read, slices, texts_of
+from pagewright.llm.common import Scratch, drop_caches, read, slices, texts_of
 from pagewright.llm.components import components
 
 SHINGLE, BANDS, ROWS, LIKENESS = 9, 8, 4, 0.8
@@ -131,6 +131,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, key, place, line binary, bands): bands where the task meets the line for the first time, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         seen: set[bytes] = set()
         for b in slices(batches):
             place, name, new, at, count = [], [], [], [], []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pagewright.llm.common import Scratch, packed, read, slices, texts_of
+from pagewright.llm.common import Scratch, drop_caches, packed, read, slices, texts_of
 from pagewright.llm.rules import measure
 
 TARGETS = ("quality", "toxic")
@@ -120,6 +120,7 @@ def scored(docs: DataFrame, model: bytes, *text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         (weights, bias), none = pickle.loads(shared.value), (0.0, 0.0)
         for b in slices(batches):
             out = []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from pagewright.llm.common import Scratch, packed, read, slices, texts_of
+from pagewright.llm.common import Scratch, drop_caches, packed, read, slices, texts_of
 
 RULES = ("symbols", "dup_lines", "repeats", "long_words", "short_words", "capitals", "marks")
 FINE = 20_000
@@ -87,6 +87,7 @@ def measured(docs: DataFrame, *text: str) -> DataFrame:
     extra = [StructField(f"_m_{c}", LongType()) for c in COUNTS] + [StructField("_m_base_failed", BooleanType()), StructField("_m_figures", ArrayType(IntegerType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for b in slices(batches):
             rows = [measure(t) for t in texts_of(b, *text)]
             cols = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
