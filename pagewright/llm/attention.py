@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 
-BLOCK, KEYS, VALUES, HIDDEN = 16, 8, 16, 32
+BLOCK, KEYS, VALUES, HIDDEN = 16, 8, 16, 16
 Model = dict  # of arrays: slots (ids x 3), emb, flat, last (the last choice's biases); view() names the parts of flat
 
 
@@ -96,7 +96,7 @@ def _weights(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def states(m: Model, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(states by position, what backward needs)."""
     p, n = view(m["flat"], *_shape(m)), len(given)
-    x = m["emb"][given.ravel()]
+    x = np.take(m["emb"], given.ravel(), 0)
     y = (x @ p["qkv"]).reshape(n, BLOCK, -1)
     y[:, :, -1] = 1  # so that the sum of weights comes with the values
     q, k, v = y[:, :, :KEYS], y[:, :, KEYS : 2 * KEYS], y[:, :, 2 * KEYS :]
@@ -137,7 +137,7 @@ def _choice(logits: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.n
 def _levels(m: Model, z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(natural log probabilities of goal given states, what backward needs); features run down, positions across."""
     p, branch, at = view(m["flat"], *_shape(m)), m["last"].shape[0], np.arange(len(goal))
-    c = m["slots"][goal]
+    c = np.take(m["slots"], goal, 0)
     c1, c2, c3 = c[:, 0], c[:, 1], c[:, 2]
     zt = z.T
     l1 = p["n1"].T @ zt
@@ -161,7 +161,7 @@ def _levels(m: Model, z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, tupl
     return lp, (c1, c2, c3, at, l1, s1, h2, l2, s2, h3, l3, s3)
 
 
-def score(m: Model, texts: list[np.ndarray], end: int, step: int = 256) -> np.ndarray:
+def score(m: Model, texts: list[np.ndarray], end: int, step: int = 128) -> np.ndarray:
     """The natural log probability of each text and its end."""
     given, goal, first = layout(texts, end)
     place = np.repeat(np.arange(len(texts)), [-(-(len(t) + 1) // BLOCK) for t in texts])
@@ -192,7 +192,7 @@ def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     share = there.astype(z.dtype) / there.sum()
     loss = -float((lp * share).sum(dtype=np.float64))
     one = np.eye(branch, dtype=z.dtype)
-    o1, o2 = one[c1], one[c2]
+    o1, o2 = np.take(one, c1, 0), np.take(one, c2, 0)
     for e, s, c in ((l1, s1, c1), (l2, s2, c2), (l3, s3, c3)):
         e *= share / s
         e[c, at] -= share
@@ -242,7 +242,7 @@ def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     order = np.argsort(ids.astype(np.uint16) if len(m["emb"]) <= 1 << 16 else ids, kind="stable")
     ids = ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return loss, flat, ids[starts], np.add.reduceat(dz[order], starts, axis=0)
+    return loss, flat, ids[starts], np.add.reduceat(np.take(dz, order, 0), starts, axis=0)
 
 
 class Trainer:
@@ -251,7 +251,7 @@ class Trainer:
 
     RUN = 8
 
-    def __init__(self, model: Model, end: int, expected: int, rate: float, blocks: int = 128, seed: int = 1):
+    def __init__(self, model: Model, end: int, expected: int, rate: float, blocks: int = 64, seed: int = 1):
         self.model, self.end, self.expected, self.rate, self.blocks = {**model, "emb": model["emb"].copy(), "flat": model["flat"].copy()}, end, max(1, expected), rate, blocks
         self.m, self.s, self.t, self.seen = np.zeros_like(model["flat"]), np.zeros_like(model["flat"]), 0, 0
         self.sums, self.random = np.full(len(model["emb"]), 1e-8, model["emb"].dtype), np.random.default_rng(seed)

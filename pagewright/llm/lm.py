@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import attention
 from pagewright.llm.atoms import AtomEncoder, byte_names
-from pagewright.llm.common import Scratch, read, slices, texts_of
+from pagewright.llm.common import Scratch, cache, read, slices, texts_of
 
 VOCABULARY, DIM = 16384, 32
 #: ends of the rounds in 64ths of the training documents
 ROUNDS, IDS_A_PART, MOST_PARTS = (1, 8, 64), 2_000_000, 16384
 LEAST_IDS, PASSES, RATE, CHUNK = 8_000_000, 20, 3e-3, 300_000
-HOT_WORDS, CACHE = 1 << 18, 300_000
-_CODERS: dict[tuple[str, int], AtomEncoder] = {}
+HOT_WORDS, CACHE = 1 << 17, 150_000
+_CODERS: dict[tuple[str, int], AtomEncoder] = cache()
 
 
 def coder(path: str, size: int) -> AtomEncoder:
@@ -90,7 +90,7 @@ class WordIds(dict):
         return ids
 
 
-_IDS: dict[str, WordIds] = {}
+_IDS: dict[str, WordIds] = cache()
 
 
 def encode(texts: list[list[bytes]], path: str) -> list[np.ndarray]:
@@ -120,7 +120,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if not is_held_out(d):
                     count.update(words_of(t))
                     ends += 1
-            if len(count) > 400_000:
+            if len(count) > 250_000:
                 yield flush()
         yield flush()
 
@@ -244,13 +244,13 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     ends = words.where("word is null").first()
     hot[None] = ends["c"] if ends else 0
     model = fit(scratch, docs, id_counts(words, path), path)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, model))
+    shared = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in hot.items()}, model))
+    end_known = int(hot[None] > 0)
+    del hot
     divisor = math.log10(total + distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, model = shared.value
-        logs = {w: math.log10(c + 1) for w, c in hot.items()}
-        end_known = int(hot[None] > 0)
+        logs, model = shared.value
         for b in slices(batches, 128):
             words = [words_of(t) for t in texts_of(b)]
             score = attention.score(model, encode(words, path), VOCABULARY - 1) / math.log(10)
