@@ -21,7 +21,7 @@ import regex
 
 from pagewright.llm.common import cache
 
-CACHE, LONGEST = 300_000, 48
+CACHE, LONGEST = 600_000, 48
 
 
 def is_plain(part: str) -> bool:

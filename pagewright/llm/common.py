@@ -48,7 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_root(spark)}/{uuid.uuid4().hex}", {}
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path, was = f"{self.root}/{len(self.paths)}", {}
         for key, value in _WRITING.items():
             try:
@@ -57,7 +57,7 @@ class Scratch:
             except Exception:  # a Spark without this setting
                 was.pop(key, None)
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", compression).parquet(path)
         finally:
             for key, value in was.items():
                 self.spark.conf.set(key, value)

@@ -125,7 +125,7 @@ def frequency_order(held: DataFrame) -> np.ndarray:
 
 def write_dataset(scratch: Scratch, docs: DataFrame, tokenizer: str, end_id: int, ids_a_file: int = 1 << 22) -> DataFrame:
     """The dataset's table of files: (part int, piece int, body binary). Over MOST_PARTS parts, parts get more files."""
-    held = scratch.table(tokenized(docs, tokenizer, end_id))
+    held = scratch.table(tokenized(docs, tokenizer, end_id), "snappy")  # ids and coded bytes hardly get smaller
     order = frequency_order(held)
     total, rows = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
 
@@ -152,7 +152,7 @@ def write_dataset(scratch: Scratch, docs: DataFrame, tokenizer: str, end_id: int
 
     ranged = held.repartitionByRange(max(1, min(rows, MOST_PARTS, -(-total // ids_a_file))), "doc_id").sortWithinPartitions("doc_id", "ids")
     files = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(run, "part int, piece int, body binary")
-    out = scratch.table(files)
+    out = scratch.table(files, "snappy")
     scratch.drop(held)
     return out
 
