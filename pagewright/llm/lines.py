@@ -8,9 +8,11 @@ each component, by document and place, stays.
 Full bands. The lines of a bucket are not paired out. Its leader, the line of smallest hash, is verified against its
 other lines (lines of one passage mostly have one leader in all of their buckets), and links are closed. Where lines
 of a leader are still in several components, those outside the largest are compared with the lines of other
-components in blocks of BLOCK by BLOCK lines, one matrix product each: a task holds two blocks, no pair is a row, and
-every candidate pair that could still join two components is compared exactly. Jaccard distance is a metric, so blocks
-of lines whose distances to the leader differ by more than 1 - LIKENESS hold no link and are left out.
+components by matrix products over the shingles that two of the lines or more have: no pair is a row, and every
+candidate pair that could still join two components is compared exactly. The lines of a leader are one row each, up to
+BLOCK lines and CHARS characters. More than these are dealt into blocks of that size, by their likeness to the leader
+first; Jaccard distance is a metric, so blocks of lines whose distances to the leader differ by more than 1 - LIKENESS
+hold no link and are left out. A line goes once to each block that it meets, with all others of its block.
 
 Cases. A null text is empty. Blank lines stay. A line shorter than a shingle is one shingle, so it matches itself
 alone. Rows of the same id and text are one document: they keep the same lines. Null ids come first. Other columns
@@ -33,7 +35,7 @@ from pagewright.llm.common import Scratch, drop_caches, read, slices, texts_of
 from pagewright.llm.components import components
 
 SHINGLE, BANDS, ROWS, LIKENESS = 9, 8, 4, 0.8
-STEP, BLOCK, BINS = 1 << 16, 128, 20
+STEP, BLOCK, CHARS, BINS = 1 << 16, 1024, 1 << 20, 20
 #: bits of the fixed-size filter by which a task leaves out lines whose text nobody asks for; a full one lets all through
 FILTER = 1 << 22
 _RNG = np.random.default_rng(20)
@@ -201,25 +203,32 @@ def texts_of_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """pairs (l, line) of lines -> (l, line, j): their likeness."""
+    """pairs (l, line) of lines -> (l, line, j, lm, m): their likeness and their lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            j = likenesses(batch.column("x").to_pylist(), batch.column("y").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("line"), pa.array(j, pa.float64())], ["l", "line", "j"])
+            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            cols = [pa.array(likenesses(xs, ys), pa.float64()), pa.array(map(len, xs), pa.int64()), pa.array(map(len, ys), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("line"), *cols], ["l", "line", "j", "lm", "m"])
 
     x, y = (bodies.select(F.col("line").alias(p), F.col("body").alias(q)) for p, q in (("l", "x"), ("line", "y")))
-    return pairs.join(x, "l").join(y, "line").select("l", "line", "x", "y").mapInArrow(run, "l binary, line binary, j double")
+    return pairs.join(x, "l").join(y, "line").select("l", "line", "x", "y").mapInArrow(run, "l binary, line binary, j double, lm long, m long")
 
 
 def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
     """Shingles that each line outside shares with each line; values: the distinct shingles of each line."""
-    ids = np.unique(np.concatenate(values), return_inverse=True)[1].reshape(-1)
-    owner = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    size = np.array([len(v) for v in values])
+    _, ids, times = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    ids, owner = ids.reshape(-1), np.repeat(np.arange(len(values)), size)
     out = np.zeros((int(outside.sum()), len(values)), np.float32)
-    order, step = np.argsort(ids, kind="stable"), 1 << 13
+    both = times[ids] > 1  # what a line has alone, it shares with itself only
+    if not both.all():
+        alone = np.bincount(owner[~both], minlength=len(values))
+        out[np.arange(len(out)), np.flatnonzero(outside)] = alone[outside]
+        ids, owner = (np.cumsum(times > 1) - 1)[ids[both]], owner[both]
+    order, step = np.argsort(ids, kind="stable"), 1 << 11
     ids, owner = ids[order], owner[order]
-    for lo in range(0, int(ids[-1]) + 1, step):  # a matrix of a block's lines x step shingles at a time
+    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, step):  # a matrix of a block's lines x step shingles at a time
         a, b = np.searchsorted(ids, (lo, lo + step))
         m = np.zeros((len(values), step), np.float32)
         m[owner[a:b], ids[a:b] - lo] = 1
@@ -231,7 +240,8 @@ def block_links(rows: list[tuple[bytes, bytes, bool]], values: list[np.ndarray])
     """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside, one for each line and component."""
     size, outside = np.array([len(v) for v in values], np.float32), np.array([r[2] for r in rows])
     common = _common(values, outside)
-    alike = common >= (LIKENESS - 1e-7) * (size[outside][:, None] + size[None] - common)
+    least = (LIKENESS - 1e-7) / (1 + LIKENESS - 1e-7)  # of the sum of both sizes
+    alike = common >= np.float32(least) * (size[outside][:, None] + size[None])
     mine, out = np.flatnonzero(outside), {}
     for x, y in zip(*(k.tolist() for k in np.nonzero(alike))):
         a, b = rows[mine[x]], rows[y]
@@ -256,12 +266,14 @@ def _block_pairs(held: list[tuple]) -> list[tuple[bytes, bytes]]:
 
 
 def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
-    """groups (l, line, j, component c, outside: of the largest component, n: lines of l) -> links (a, b) of lines outside.
+    """groups (l, line, j, m: length, component c, outside: of the largest component, n, w: lines of l and their characters) -> links (a, b) of lines outside.
 
     The lines of a leader that has more than a block of them are dealt into bins by their likeness to it, and these into blocks.
     """
-    g = groups.withColumn("bin", F.when(F.col("n") > BLOCK, F.floor(F.col("j") * BINS).cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
-    size = g.groupBy("l", "bin").agg(F.ceil(F.count_if("outside") / BLOCK).alias("kx"), F.ceil(F.count("*") / BLOCK).alias("ky"))
+    full = (F.col("n") > BLOCK) | (F.col("w") > CHARS)
+    g = groups.withColumn("bin", F.when(full, F.floor(F.col("j") * BINS).cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
+    k = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / CHARS))
+    size = g.groupBy("l", "bin").agg(k(F.count_if("outside"), F.sum(F.expr("if(outside, m, 0)"))).alias("kx"), k(F.count("*"), F.sum("m")).alias("ky"))
     at = g.join(size.withColumnsRenamed({"l": "l2", "bin": "bin2"}), (F.col("l") == F.col("l2")) & (F.col("bin") == F.col("bin2")))
     at = at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by"))
     x, y = size.where("kx > 0").select("l", F.col("bin").alias("xb"), "kx"), size.select(F.col("l").alias("l2"), F.col("bin").alias("yb"), "ky")
@@ -309,11 +321,12 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     scratch.drop(pairs, named)
     alike = star.where(F.col("j") >= LIKENESS - 1e-12).select(F.col("l").alias("a"), F.col("line").alias("b"))
     comp = components(scratch, alike)
-    all_of = star.union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j")).distinct())
-    state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", F.coalesce("component", "line").alias("c")))
-    sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"))
-    several = sizes.groupBy(F.col("l").alias("k")).agg(F.max_by("c", F.struct("n", "c")).alias("top"), F.count("*").alias("m"), F.sum("n").alias("n")).where("m > 1").select("k", "top", "n")
-    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "c", "n", (F.col("c") != F.col("top")).alias("outside")))
+    all_of = star.select("l", "line", "j", "m").union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j"), F.col("lm").alias("m")).distinct())
+    state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", "m", F.coalesce("component", "line").alias("c")))
+    sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"), F.sum("m").alias("w"))
+    top = F.max_by("c", F.struct("n", "c")).alias("top")
+    several = sizes.groupBy(F.col("l").alias("k")).agg(top, F.count("*").alias("cs"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("cs > 1").select("k", "top", "n", "w")
+    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "m", "c", "n", "w", (F.col("c") != F.col("top")).alias("outside")))
     more = scratch.table(blocks(groups, bodies))
     out = components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     scratch.drop(star, bodies, state, groups, more)

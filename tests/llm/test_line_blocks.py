@@ -1,5 +1,7 @@
 """Linking of fuzzy lines: recall of the bands, and full buckets in blocks, against brute force."""
 
+import re
+
 import numpy as np
 from pagewright.llm import lines
 from pagewright.llm.common import Scratch
@@ -66,3 +68,45 @@ def test_common_counts_by_brute_force():
     outside = np.array([True, False, True, True, False])
     want = [[len(np.intersect1d(values[x], v)) for v in values] for x in np.flatnonzero(outside)]
     assert (lines._common(values, outside) == np.array(want)).all()
+
+
+def test_common_leaves_out_what_a_line_has_alone():
+    values = [np.arange(k * 10_000, k * 10_000 + 300, dtype=np.uint64) for k in range(6)] + [np.arange(200, 10_100, dtype=np.uint64)]
+    outside = np.array([True, True, False, True, False, False, True])
+    want = [[len(np.intersect1d(values[x], v)) for v in values] for x in np.flatnonzero(outside)]
+    assert (lines._common(values, outside) == np.array(want)).all()
+    assert (lines._common(values[:1], np.array([True])) == [[300]]).all()
+
+
+def test_a_large_group_is_a_row_for_each_line(spark):
+    rng = np.random.default_rng(6)
+    texts = sorted(set(cloud(rng, 600, 200, 12)))
+    keys = [bytes([k >> 8, k & 255]) for k in range(len(texts))]
+    rows = [(b"l", n, 0.5, len(t), n, len(texts), sum(map(len, texts)), k > 0) for k, (n, t) in enumerate(zip(keys, texts))]
+    groups = spark.createDataFrame(rows, "l binary, line binary, j double, m long, c binary, n long, w long, outside boolean")
+    bodies = spark.createDataFrame(list(zip(keys, texts)), "line binary, body string")
+    got = lines.blocks(groups, bodies)
+    plan = got._jdf.queryExecution()
+    linked = closure(keys, [(bytes(r.a), bytes(r.b)) for r in got.collect()])
+    values = [set(lines.shingle_values([t])[0].tolist()) for t in texts]
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert linked == closure(keys, [(keys[a], keys[b]) for a in range(len(keys)) for b in range(a) if like(values[a], values[b])])
+    made = [int(x) for x in re.findall(r"Join .*?rows (\d+)", joined_rows(plan))]
+    assert made and max(made) <= len(texts)
+
+
+def joined_rows(plan):
+    """A line for each join with a condition on line, with the rows it made."""
+    todo, out = [plan.executedPlan()], []
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            p = p.executedPlan()
+        name = p.nodeName()
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+        kids = p.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+        if name.endswith("Join") and "line" in p.simpleString(200).split("], [")[0]:
+            out.append(f"Join rows {p.metrics().apply('numOutputRows').value()}")
+    return "\n".join(out)
