@@ -22,12 +22,12 @@ loses all lines stays, with an empty text. An empty table stays empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -236,12 +236,12 @@ def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(rows: list[tuple[bytes, bytes, bool]], values: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+def block_links(rows: list[tuple], values: list[np.ndarray]) -> list[tuple]:
     """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside, one for each line and component."""
-    size, outside = np.array([len(v) for v in values], np.float32), np.array([r[2] for r in rows])
+    size, outside = np.array([len(v) for v in values], np.float64), np.array([r[2] for r in rows])
     common = _common(values, outside)
     least = (LIKENESS - 1e-7) / (1 + LIKENESS - 1e-7)  # of the sum of both sizes
-    alike = common >= np.float32(least) * (size[outside][:, None] + size[None])
+    alike = common >= least * (size[outside][:, None] + size[None])
     mine, out = np.flatnonzero(outside), {}
     for x, y in zip(*(k.tolist() for k in np.nonzero(alike))):
         a, b = rows[mine[x]], rows[y]
@@ -250,13 +250,17 @@ def block_links(rows: list[tuple[bytes, bytes, bool]], values: list[np.ndarray])
     return [(a, b) for (a, _), b in out.items()]
 
 
-def _block_pairs(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+def values_of(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each of up to 4096 lines."""
+    keys = _distinct(lines)
+    return np.split(keys & np.uint64((1 << 52) - 1), np.searchsorted(keys, np.arange(1, len(lines), dtype=np.uint64) << np.uint64(52)))
+
+
+def _block_pairs(held: list[tuple], shingles: Callable[[list], list[np.ndarray]]) -> list[tuple]:
     """held (t, line, component, outside, body), rows of a block pair t one after another -> its links."""
     out, values = [], []
     for lo in range(0, len(held), 4096):
-        keys = _distinct([r[4] for r in held[lo : lo + 4096]])
-        cut = np.searchsorted(keys, np.arange(1, len(held[lo : lo + 4096]), dtype=np.uint64) << np.uint64(52))
-        values += np.split(keys & np.uint64((1 << 52) - 1), cut)
+        values += shingles([r[4] for r in held[lo : lo + 4096]])
     lo = 0
     for hi in range(1, len(held) + 1):
         if hi == len(held) or held[hi][0] != held[lo][0]:
@@ -265,19 +269,30 @@ def _block_pairs(held: list[tuple]) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
-    """groups (l, line, j, m: length, component c, outside: of the largest component, n, w: lines of l and their characters) -> links (a, b) of lines outside.
+def unsettled(state: DataFrame) -> DataFrame:
+    """state (l, line, m: length, component c, ..) -> the rows of leaders with several components, and n, w (lines of l and
+    their length) and outside (of the largest component)."""
+    sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"), F.sum("m").alias("w"))
+    top = F.max_by("c", F.struct("n", "c")).alias("top")
+    several = sizes.groupBy(F.col("l").alias("k")).agg(top, F.count("*").alias("cs"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("cs > 1").select("k", "top", "n", "w")
+    return state.join(several, F.col("l") == F.col("k")).select(*state.columns, "n", "w", (F.col("c") != F.col("top")).alias("outside"))
+
 
-    The lines of a leader that has more than a block of them are dealt into bins by their likeness to it, and these into blocks.
+def blocks(groups: DataFrame, bodies: DataFrame, bins: Column | None = None, reach: int = round((1 - LIKENESS) * BINS) + 1, shingles: Callable = values_of) -> DataFrame:
+    """groups, as from `unsettled`, bodies (line, body) -> links (a, b) of lines outside, one for each line and component.
+
+    The lines of a leader that has more than a block of them are dealt into bins, by their likeness j to it if nothing else
+    is given, and these into blocks; lines of bins further apart than reach can't be alike.
     """
     full = (F.col("n") > BLOCK) | (F.col("w") > CHARS)
-    g = groups.withColumn("bin", F.when(full, F.floor(F.col("j") * BINS).cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
+    bins = F.floor(F.col("j") * BINS) if bins is None else bins
+    g = groups.withColumn("bin", F.when(full, bins.cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
     k = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / CHARS))
     size = g.groupBy("l", "bin").agg(k(F.count_if("outside"), F.sum(F.expr("if(outside, m, 0)"))).alias("kx"), k(F.count("*"), F.sum("m")).alias("ky"))
     at = g.join(size.withColumnsRenamed({"l": "l2", "bin": "bin2"}), (F.col("l") == F.col("l2")) & (F.col("bin") == F.col("bin2")))
     at = at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by"))
     x, y = size.where("kx > 0").select("l", F.col("bin").alias("xb"), "kx"), size.select(F.col("l").alias("l2"), F.col("bin").alias("yb"), "ky")
-    near = F.abs(F.col("xb") - F.col("yb")) <= round((1 - LIKENESS) * BINS) + 1
+    near = F.abs(F.col("xb") - F.col("yb")) <= reach
     grid = x.join(y, (F.col("l") == F.col("l2")) & near).withColumn("xk", F.explode(F.sequence(F.lit(0), F.col("kx") - 1))).withColumn("yk", F.explode(F.sequence(F.lit(0), F.col("ky") - 1)))
     grid = grid.select(F.col("l").alias("gl"), "xb", "yb", "xk", "yk", F.xxhash64("l", "xb", "yb", "xk", "yk").alias("t"))
     left = at.where("outside").join(grid, (F.col("l") == F.col("gl")) & (F.col("bin") == F.col("xb")) & (F.col("bx") == F.col("xk")))
@@ -285,25 +300,28 @@ def blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
     both = left.select("t", "line", "c", F.lit(True).alias("outside")).union(right.select("t", "line", "c", F.lit(False).alias("outside")))
     both = both.groupBy("t", "line", "c").agg(F.bool_or("outside").alias("outside"))
 
+    name = groups.schema["line"].dataType.simpleString()
+    kind = pa.int64() if name == "bigint" else pa.binary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         chars = 0
         for b in slices(batches, 1024):
             for row in zip(*(b.column(k).to_pylist() for k in ("t", "line", "c", "outside", "body"))):
                 if (len(held) >= 2048 or chars >= 16 * STEP) and row[0] != held[-1][0]:
-                    yield _pairs(_block_pairs(held))
+                    yield _pairs(_block_pairs(held, shingles), kind)
                     held.clear()
                     chars = 0
                 held.append(row)
                 chars += len(row[4])
-        yield _pairs(_block_pairs(held))
+        yield _pairs(_block_pairs(held, shingles), kind)
 
     rows = both.join(bodies, "line").repartition("t").sortWithinPartitions("t").select("t", "line", "c", "outside", "body")
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, f"a {name}, b {name}")
 
 
-def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+def _pairs(pairs: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["a", "b"])
 
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -323,10 +341,7 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     comp = components(scratch, alike)
     all_of = star.select("l", "line", "j", "m").union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j"), F.col("lm").alias("m")).distinct())
     state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", "m", F.coalesce("component", "line").alias("c")))
-    sizes = state.groupBy("l", "c").agg(F.count("*").alias("n"), F.sum("m").alias("w"))
-    top = F.max_by("c", F.struct("n", "c")).alias("top")
-    several = sizes.groupBy(F.col("l").alias("k")).agg(top, F.count("*").alias("cs"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("cs > 1").select("k", "top", "n", "w")
-    groups = scratch.table(state.join(several, F.col("l") == F.col("k")).select("l", "line", "j", "m", "c", "n", "w", (F.col("c") != F.col("top")).alias("outside")))
+    groups = scratch.table(unsettled(state))
     more = scratch.table(blocks(groups, bodies))
     out = components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     scratch.drop(star, bodies, state, groups, more)

@@ -8,9 +8,10 @@ distance; links are verified on the shingle sets (64-bit hashes), so texts that
 
 Full buckets. As with lines, a bucket is not paired out at first. In LEADERS turns its leader, the node of smallest
 hash in that turn, is verified against the nodes of other components, and links are closed by union-find; a group
-mostly has the same leaders in all of its buckets. Then each node outside a bucket's largest component is verified
-against all nodes of other components there, so every candidate pair that could still join two components has been
-compared. Pairs whose sizes alone rule out the likeness are not compared.
+mostly has the same leaders in all of its buckets. Where a bucket still has several components, the nodes of all buckets
+of one leader are compared in the blocks of `lines`: those outside the largest component with all others, by matrix
+products, so every candidate pair that could still join two components has been compared, and no pair is a row. Pairs
+whose sizes alone rule out the likeness are not compared by leaders, nor by blocks of more than one.
 
 Cases. Words are lower-cased runs of non-white-space. A null or blank text has no shingle; all of these are one
 group. Fewer than five words are one shingle. Of each group the first row by doc_id (null ids last) and text hash
@@ -19,6 +20,7 @@ stays, with all its columns. An empty table stays empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm import lines
 from pagewright.llm.common import Scratch, drop_caches, slices, texts_of
 from pagewright.llm.components import components
 
@@ -126,6 +129,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def shingles_of(bodies: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in bodies]
+
+
+def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """groups (l, node, n, c) -> links (a, b) between the components of each leader's nodes; bins are of equal size but for 0.8."""
+    groups = lines.unsettled(groups.select("l", F.col("node").alias("line"), F.col("n").alias("m"), "c"))
+    by_size = F.floor(F.log("m") / -math.log(LIKENESS))
+    return lines.blocks(groups, sets.withColumnRenamed("node", "line"), by_size, 1, shingles_of)
+
+
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """distinct (node, n, bands, o: its first row) -> (node, component) over the nodes that are linked to another one."""
     keyed = distinct.select("node", "n", F.explode("bands").alias("bucket"))
@@ -139,20 +153,21 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
         state = members.join(comp.withColumnRenamed("node", "d"), F.col("node") == F.col("d"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
         state = table = scratch.table(state)
         # one row a bucket and component, then those of buckets with several
-        sizes = state.groupBy("bucket", "c").agg(F.count("*").alias("m"))
-        several = sizes.groupBy(F.col("bucket").alias("k")).agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("m")).where("m > 1")
-        several = scratch.table(several.select("k", "top"))
+        several = state.select("bucket", "c").distinct().groupBy(F.col("bucket").alias("k")).agg(F.count("*").alias("m")).where("m > 1")
+        several = scratch.table(several.select("k"))
         if several.limit(1).count() == 0:
             break
-        state = state.join(several, F.col("bucket") == F.col("k")).select("bucket", "node", "n", "c", "top")
+        state = state.join(several, F.col("bucket") == F.col("k")).select("bucket", "node", "n", "c")
+        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "c")
+        one = state.groupBy("bucket").agg(F.min(order).alias("o")).select(F.col("bucket").alias("k"), F.col("o.node").alias("l"), F.col("o.n").alias("ln"), F.col("o.c").alias("lc"))
         if turn < LEADERS:
-            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "c")
-            one = state.groupBy("bucket").agg(F.min(order).alias("o")).select(F.col("bucket").alias("k"), F.col("o.node").alias("l"), F.col("o.n").alias("ln"), F.col("o.c").alias("lc"))
+            fits = F.least("n", "ln") >= (LIKENESS - 1e-9) * F.greatest("n", "ln")
+            pairs = state.join(one, (F.col("bucket") == F.col("k")) & (F.col("c") != F.col("lc")) & fits)
+            new = verified(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct(), sets)
         else:
-            one = scratch.table(state.where("c <> top").select(F.col("bucket").alias("k"), F.col("node").alias("l"), F.col("n").alias("ln"), F.col("c").alias("lc")))
-        fits = F.least("n", "ln") >= (LIKENESS - 1e-9) * F.greatest("n", "ln")
-        pairs = state.join(one, (F.col("bucket") == F.col("k")) & (F.col("c") != F.col("lc")) & fits)
-        new = scratch.table(verified(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct(), sets))
+            groups = state.join(one.select("k", "l"), F.col("bucket") == F.col("k")).select("l", "node", "n", "c").distinct()
+            new = block_links(scratch.table(groups), sets)
+        new = scratch.table(new)
         found = new if found is None else scratch.table(found.union(new))
         comp = components(scratch, found)
         scratch.drop(table, several)

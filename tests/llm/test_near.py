@@ -45,3 +45,35 @@ def test_bands_meet_at_the_likeness():
         x = np.unique(rng.integers(0, 1 << 63, 180, dtype=np.uint64))
         met += bool(set(near.band_keys(np.sort(x[:162])).tolist()) & set(near.band_keys(np.sort(x[18:])).tolist()))
     assert met >= 1999  # likeness 0.8
+
+
+def test_a_cloud_below_the_likeness_is_no_row_a_pair(spark):
+    rng, texts = np.random.default_rng(12), []
+    base = [f"w{k}" for k in rng.integers(0, 3000, 120)]
+    for _ in range(250):  # likeness to each other about 0.5 to 0.9
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(2, 5)), replace=False):
+            w[at] = f"x{rng.integers(0, 1 << 30)}"
+        texts.append(" ".join(w))
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if like(sets[a], sets[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert 20 < len(set(root)) < 240
+    made, verified = [], near.verified
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return verified(pairs, *args)
+
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    near.verified = counted
+    try:
+        got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    finally:
+        near.verified = verified
+    assert got == sorted(set(root))
+    assert max(made) <= near.BANDS * len(texts)
