@@ -27,7 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, likeness 0.8); documents that lost all lines are one group."""
+    """One document of each group of near copies (five words, likeness 0.8), by SimHash and, beyond its two bits, by bands of
+    minima; documents that lost all lines are one group."""
     return near.one_of_each(docs)
 
 

@@ -1,10 +1,15 @@
 """Near copies of documents at a likeness of LIKENESS or more (near-dedup stage of the pipeline).
 
-Likeness is the Jaccard likeness of the sets of five-word shingles. Documents of equal sets are one node. A node has
-125 minima over its shingles in 25 bands of 5: sets of likeness 0.8 share no band with a chance of (1 - 0.8^5)^25,
-5 in 100,000, and closer ones with less. Every pair that shares a band is a candidate, whatever its fingerprints'
-distance; links are verified on the shingle sets (64-bit hashes), so texts that are less alike are not linked by one.
-64-bit SimHash can't do this: pairs of likeness 0.8 lie up to 11 bits and more apart, where keys are too short to select.
+Likeness is the Jaccard likeness of the sets of five-word shingles. Documents of equal sets are one node.
+
+SimHash. A node's fingerprint holds the majority bits of its shingles. Fingerprints that differ at two bits or fewer are
+found by the covering tables and meeting points of `simhash`; their nodes are verified and linked by union-find.
+
+Beyond two bits. Pairs of likeness 0.8 differ at 10 of 64 bits on average, up to 20, where no table's key is long enough
+to select. So the components that SimHash leaves go on: a node has 125 minima over its shingles in 25 bands of 5; sets of
+likeness 0.8 share no band with a chance of (1 - 0.8^5)^25, 5 in 100,000, and closer ones with less. Every pair of two
+components that shares a band is a candidate, whatever its fingerprints' distance. All links are verified on the shingle
+sets (64-bit hashes), so texts that are less alike are not linked by one.
 
 Full buckets. As with lines, a bucket is not paired out at first. In LEADERS turns its leader, the node of smallest
 hash in that turn, is verified against the nodes of other components, and links are closed by union-find; a group
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm import lines
+from pagewright.llm import lines, simhash
 from pagewright.llm.common import Scratch, drop_caches, slices, texts_of
 from pagewright.llm.components import components
 
@@ -64,6 +69,14 @@ def node(s: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The bits that are set in over half of a set of shingles; signed."""
+    total = np.zeros(simhash.BITS, np.int64)
+    for k in range(0, len(s), 8192):
+        total += np.unpackbits(s[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return simhash.signed(int.from_bytes(np.packbits(2 * total > len(s), bitorder="little").tobytes(), "little"))
+
+
 def band_keys(s: np.ndarray) -> np.ndarray:
     """BANDS keys (signed 64-bit) of a set of shingles; none of an empty one."""
     if not len(s):
@@ -91,17 +104,17 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, key, node, n, bands), a row for each row; key: a hash of the text."""
+    """docs (doc_id, text) -> (doc_id, key, node, n, fp, bands), a row for each row; key: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches()
         for b in slices(batches):
             sets = [shingles(t) for t in texts_of(b)]
-            cols = [pa.array([node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *cols], ["doc_id", "key", "node", "n", "bands"])
+            cols = [pa.array([f(s) for s in sets], pa.int64()) for f in (node, len, fingerprint)] + [pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), *cols], ["doc_id", "key", "node", "n", "fp", "bands"])
 
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
-    return docs.mapInArrow(run, "doc_id long, key long, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, n long, fp long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, carriers: DataFrame) -> DataFrame:
@@ -129,6 +142,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def simhash_pairs(scratch: Scratch, distinct: DataFrame) -> DataFrame:
+    """distinct (node, fp) -> (a, b): nodes of near fingerprints; their closure is that of all that differ at two bits or fewer."""
+    first = scratch.table(distinct.groupBy("fp").agg(F.min("node").alias("node")))
+    same = distinct.join(first.select(F.col("fp").alias("f"), F.col("node").alias("b")), F.col("fp") == F.col("f")).where("node <> b")
+    return scratch.table(same.select(F.col("node").alias("a"), "b").union(simhash.links(scratch, first).select("a", "b")))
+
+
 def shingles_of(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in bodies]
 
@@ -141,14 +161,16 @@ def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """distinct (node, n, bands, o: its first row) -> (node, component) over the nodes that are linked to another one."""
+    """distinct (node, n, fp, bands, o: its first row) -> (node, component) over the nodes that are linked to another one."""
+    close = simhash_pairs(scratch, distinct.select("node", "fp"))
     keyed = distinct.select("node", "n", F.explode("bands").alias("bucket"))
     shared = scratch.table(keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("k")))
     members = scratch.table(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "n"))
-    wanted = members.select(F.col("node").alias("w")).distinct()
+    wanted = members.select(F.col("node").alias("w")).union(close.select("a")).union(close.select("b")).distinct()
     carriers = distinct.join(wanted, F.col("node") == F.col("w")).select(F.col("o.doc_id").alias("c_doc"), F.col("o.key").alias("c_key"), "node")
     sets = scratch.table(sets_of(docs, carriers))
-    found, comp = None, docs.sparkSession.createDataFrame([], "node long, component long")
+    found = scratch.table(verified(close, sets))
+    comp = components(scratch, found)
     for turn in range(LEADERS + 1):
         state = members.join(comp.withColumnRenamed("node", "d"), F.col("node") == F.col("d"), "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
         state = table = scratch.table(state)
@@ -168,10 +190,10 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
             groups = state.join(one.select("k", "l"), F.col("bucket") == F.col("k")).select("l", "node", "n", "c").distinct()
             new = block_links(scratch.table(groups), sets)
         new = scratch.table(new)
-        found = new if found is None else scratch.table(found.union(new))
+        found = scratch.table(found.union(new))
         comp = components(scratch, found)
         scratch.drop(table, several)
-    scratch.drop(shared, members, sets)
+    scratch.drop(close, shared, members, sets)
     return comp
 
 
@@ -179,7 +201,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with all columns: of each group the first row by doc_id (null ids last) and text hash."""
     scratch = Scratch(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    distinct = scratch.table(rows_of(docs).groupBy("node").agg(F.max("n").alias("n"), F.max("bands").alias("bands"), F.min(order).alias("o")))
+    distinct = scratch.table(rows_of(docs).groupBy("node").agg(F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("bands").alias("bands"), F.min(order).alias("o")))
     comp = links(scratch, docs, distinct).withColumnRenamed("node", "d")
     first = distinct.join(comp, F.col("node") == F.col("d"), "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("o").alias("o"))
     first = scratch.table(first.select(F.col("o.doc_id").alias("_f_doc"), F.col("o.key").alias("_f_key")))

@@ -47,6 +47,37 @@ def test_bands_meet_at_the_likeness():
     assert met >= 1999  # likeness 0.8
 
 
+def test_simhash_links_near_fingerprints_by_itself(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(8):
+        base = [f"w{k}" for k in rng.integers(0, 3000, 4000)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            w[int(rng.integers(0, 4000))] = f"x{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(w))
+    sets, prints = [grams(t) for t in texts], []
+    for t in texts:
+        ones = np.zeros(64, int)
+        s = near.shingles(t).tolist()
+        for x in s:
+            ones += [x >> k & 1 for k in range(64)]
+        prints.append(sum(1 << k for k in range(64) if 2 * ones[k] > len(s)))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 2:
+                assert like(sets[a], sets[b]) >= 0.8
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert len(set(root)) < 20  # of 32
+    rows_of = near.rows_of  # no bands, so that only fingerprints can link
+    monkeypatch.setattr(near, "rows_of", lambda docs: rows_of(docs).withColumn("bands", near.F.array().cast("array<long>")))
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(set(root))
+
+
 def test_a_cloud_below_the_likeness_is_no_row_a_pair(spark):
     rng, texts = np.random.default_rng(12), []
     base = [f"w{k}" for k in rng.integers(0, 3000, 120)]
