@@ -9,7 +9,8 @@ Full bands. The lines of a bucket are not paired out. Its leader, the line of sm
 other lines (lines of one passage mostly have one leader in all of their buckets), and links are closed. Where lines
 of a leader are still in several components, those outside the largest are compared with the lines of other
 components by matrix products over the shingles that two of the lines or more have: no pair is a row, and every
-candidate pair that could still join two components is compared exactly. The lines of a leader are one row each, up to
+candidate pair that could still join two components is compared exactly. A task returns a spanning forest of the links
+that it finds, by its own union-find, so fewer than the components it meets. The lines of a leader are one row each, up to
 BLOCK lines and CHARS characters. More than these are dealt into blocks of that size, by their likeness to the leader
 first; Jaccard distance is a metric, so blocks of lines whose distances to the leader differ by more than 1 - LIKENESS
 hold no link and are left out. A line goes once to each block that it meets, with all others of its block.
@@ -236,18 +237,33 @@ def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(rows: list[tuple], values: list[np.ndarray]) -> list[tuple]:
-    """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside, one for each line and component."""
+def find(root: dict, x: object) -> object:
+    """The representative of x, by the forest root (node -> a node nearer to it)."""
+    while (up := root.setdefault(x, x)) != x:
+        root[x] = x = root.setdefault(up, up)
+    return x
+
+
+def block_links(rows: list[tuple], values: list[np.ndarray], root: dict | None = None) -> list[tuple]:
+    """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside that join their components.
+
+    root: the union-find of the components that links found before have joined; a link that joins nothing new isn't made.
+    """
+    root = {} if root is None else root
     size, outside = np.array([len(v) for v in values], np.float64), np.array([r[2] for r in rows])
     common = _common(values, outside)
     least = (LIKENESS - 1e-7) / (1 + LIKENESS - 1e-7)  # of the sum of both sizes
     alike = common >= least * (size[outside][:, None] + size[None])
-    mine, out = np.flatnonzero(outside), {}
-    for x, y in zip(*(k.tolist() for k in np.nonzero(alike))):
-        a, b = rows[mine[x]], rows[y]
-        if a[1] != b[1]:
-            out.setdefault((a[0], b[1]), b[0])
-    return [(a, b) for (a, _), b in out.items()]
+    number: dict = {}
+    own, out = np.array([number.setdefault(r[1], len(number)) for r in rows]), []
+    for x, near in zip(np.flatnonzero(outside).tolist(), alike):
+        there = np.flatnonzero(near & (own != own[x]))
+        for y in there[np.unique(own[there], return_index=True)[1]].tolist():  # one of each component
+            p, q = find(root, rows[x][1]), find(root, rows[y][1])
+            if p != q:
+                root[p] = q
+                out.append((rows[x][0], rows[y][0]))
+    return out
 
 
 def values_of(lines: list[str]) -> list[np.ndarray]:
@@ -256,15 +272,16 @@ def values_of(lines: list[str]) -> list[np.ndarray]:
     return np.split(keys & np.uint64((1 << 52) - 1), np.searchsorted(keys, np.arange(1, len(lines), dtype=np.uint64) << np.uint64(52)))
 
 
-def _block_pairs(held: list[tuple], shingles: Callable[[list], list[np.ndarray]]) -> list[tuple]:
-    """held (t, line, component, outside, body), rows of a block pair t one after another -> its links."""
+def _block_pairs(held: list[tuple], shingles: Callable[[list], list[np.ndarray]], root: dict | None = None) -> list[tuple]:
+    """held (t, line, component, outside, body), rows of a block pair t one after another -> its links, as of `block_links`."""
+    root = {} if root is None else root
     out, values = [], []
     for lo in range(0, len(held), 4096):
         values += shingles([r[4] for r in held[lo : lo + 4096]])
     lo = 0
     for hi in range(1, len(held) + 1):
         if hi == len(held) or held[hi][0] != held[lo][0]:
-            out += block_links([r[1:4] for r in held[lo:hi]], values[lo:hi])
+            out += block_links([r[1:4] for r in held[lo:hi]], values[lo:hi], root)
             lo = hi
     return out
 
@@ -279,7 +296,7 @@ def unsettled(state: DataFrame) -> DataFrame:
 
 
 def blocks(groups: DataFrame, bodies: DataFrame, bins: Column | None = None, reach: int = round((1 - LIKENESS) * BINS) + 1, shingles: Callable = values_of) -> DataFrame:
-    """groups, as from `unsettled`, bodies (line, body) -> links (a, b) of lines outside, one for each line and component.
+    """groups, as from `unsettled`, bodies (line, body) -> links (a, b) of lines outside; those of a task make no cycle of components.
 
     The lines of a leader that has more than a block of them are dealt into bins, by their likeness j to it if nothing else
     is given, and these into blocks; lines of bins further apart than reach can't be alike.
@@ -305,16 +322,19 @@ def blocks(groups: DataFrame, bodies: DataFrame, bins: Column | None = None, rea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        root: dict = {}
         chars = 0
         for b in slices(batches, 1024):
             for row in zip(*(b.column(k).to_pylist() for k in ("t", "line", "c", "outside", "body"))):
                 if (len(held) >= 2048 or chars >= 16 * STEP) and row[0] != held[-1][0]:
-                    yield _pairs(_block_pairs(held, shingles), kind)
+                    yield _pairs(_block_pairs(held, shingles, root), kind)
                     held.clear()
                     chars = 0
+                    if len(root) > 100_000:
+                        root.clear()
                 held.append(row)
                 chars += len(row[4])
-        yield _pairs(_block_pairs(held, shingles), kind)
+        yield _pairs(_block_pairs(held, shingles, root), kind)
 
     rows = both.join(bodies, "line").repartition("t").sortWithinPartitions("t").select("t", "line", "c", "outside", "body")
     return rows.mapInArrow(run, f"a {name}, b {name}")

@@ -110,3 +110,30 @@ def joined_rows(plan):
         if name.endswith("Join") and "line" in p.simpleString(200).split("], [")[0]:
             out.append(f"Join rows {p.metrics().apply('numOutputRows').value()}")
     return "\n".join(out)
+
+
+def test_links_of_blocks_are_a_forest():
+    rng = np.random.default_rng(7)
+    texts = sorted(set(cloud(rng, 300, 200, 4)))
+    own = [k // 3 for k in range(len(texts))]  # lines in components of three
+    values, rows = lines.values_of(texts), [(k, c, c > 0) for k, c in enumerate(own)]
+    sets = [set(v.tolist()) for v in values]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    known = [(k, 3 * c) for k, c in enumerate(own)]
+    got = lines.block_links(rows, values)
+    assert closure(range(len(texts)), known + got) == closure(range(len(texts)), known + alike)
+    assert set(got) <= {*alike, *((b, a) for a, b in alike)}
+    assert len(alike) > 1000 and len(got) < len(set(own))
+
+
+def test_a_cloud_of_close_lines_gives_no_more_links_than_lines(spark):
+    rng = np.random.default_rng(8)
+    texts = sorted(set(cloud(rng, 500, 200, 4)))
+    keys = [bytes([k >> 8, k & 255]) for k in range(len(texts))]
+    rows = [(b"l", n, 0.5, len(t), n, len(texts), sum(map(len, texts)), k > 0) for k, (n, t) in enumerate(zip(keys, texts))]
+    groups = spark.createDataFrame(rows, "l binary, line binary, j double, m long, c binary, n long, w long, outside boolean")
+    got = lines.blocks(groups, spark.createDataFrame(list(zip(keys, texts)), "line binary, body string")).collect()
+    values = [set(v.tolist()) for v in lines.values_of(texts)]
+    alike = [(keys[a], keys[b]) for a in range(len(keys)) for b in range(a) if len(values[a] & values[b]) >= 0.8 * len(values[a] | values[b])]
+    assert len(alike) > 5 * len(texts) and len(got) < len(texts)
+    assert closure(keys, [(bytes(r.a), bytes(r.b)) for r in got]) == closure(keys, alike)
