@@ -1,10 +1,10 @@
 """Byte-level BPE by monoid tree reduction, and decoding (operator 10).
 
-Encoding a match of the split pattern. A byte string is halved down to single bytes, whose ids are known, and the
-halves' results are joined. A join re-encodes a window around the seam by rank order, one token to either side at
-first, and doubles it on a side whose border isn't settled. A border is settled when the token outside and the
-window's outermost token, put together and encoded, give these two tokens again. Rank-ordered merging has one result
-whose neighbours all pass this test, so when both borders are settled the tokens outside can't change and the
+Encoding a match of the split pattern. A byte string is halved down to leaves of LEAF bytes at most, which a plain loop
+merges in rank order, and the halves' results are joined. A join re-encodes a window around the seam by rank order, one
+token to either side at first, and doubles it on a side whose border isn't settled. A border is settled when the token
+outside and the window's outermost token, put together and encoded, give these two tokens again. Rank-ordered merging has
+one result whose neighbours all pass this test, so when both borders are settled the tokens outside can't change and the
 joined list is that of the whole string. A join is associative; empty is its unit.
 
 Whole texts. Matches are independent, so a text's ids are its matches' ids in order. `atoms` splits the text and keeps
@@ -106,8 +106,8 @@ class MonoidBPE:
 
     def encode(self, raw: bytes) -> list[int]:
         """The ids of one match."""
-        if len(raw) <= 1:
-            return [self.ranks[raw]] if raw else []
+        if len(raw) <= LEAF:
+            return self.merge(raw) if raw else []
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
