@@ -1,9 +1,11 @@
 """Language-model scores of documents (operator 7).
 
 Two scores in log10. The base is an add-one unigram over lower-cased words and an end. The model is the causal
-self-attention of `attention` over subword ids: the first VOCABULARY - 1 ids of a public byte-level vocabulary
-(itself a byte-level vocabulary, as merges build on earlier ones) and an end. A text is its words, each with one
-blank before it; its score is the probability of the ids of these and of the end.
+self-attention of `attention` over subword ids: VOCABULARY - 1 ids of a byte-level vocabulary and an end. Its merges are
+learnt from the words of the corpus that are met most (TAUGHT times in all, by their shares), so a word is 1.4 ids on
+average; where these words give fewer merges, the first ones of a public vocabulary follow. All 256 bytes are ids, so any
+text has its ids. A text is its words, each with one blank before it; its score is the probability of the ids of these
+and of the end.
 
 What is learnt from the corpus. Words and subword ids are counted over all training documents, by partial sums. The
 counts give the base, and the order and output biases of the model's choices. Its weights are learnt in ROUNDS. Each
@@ -13,6 +15,9 @@ weights are averaged, those of an embedding by how often each part met its id. S
 is a goal once (PASSES times at most in a corpus of less than LEAST_IDS ids, which would else have too few steps).
 Over MOST_PARTS parts, parts get longer, so the weights that are averaged stay few.
 
+Each text is encoded once: its ids, and what its words give to the base, are a row of a scratch table, from which
+parts are dealt and scores are taken.
+
 Scale. Words of a count of 2^j and more go to the workers as a dictionary, j being the least for which they are
 HOT_WORDS at most; the other words of a document stay with its row and are joined with their counts, so no worker
 holds the corpus's words. Only weights, counts by id, and sums reach the driver, all of fixed size.
@@ -28,44 +33,79 @@ import json
 import math
 import pickle
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import attention
-from pagewright.llm.atoms import AtomEncoder, byte_names
+from pagewright.llm.atoms import byte_names
 from pagewright.llm.common import Scratch, cache, read, slices, texts_of
 
 VOCABULARY, DIM = 16384, 32
 #: ends of the rounds in 64ths of the training documents
 ROUNDS, IDS_A_PART, MOST_PARTS = (1, 8, 64), 2_000_000, 16384
 LEAST_IDS, PASSES, RATE, CHUNK = 8_000_000, 20, 3e-3, 300_000
-HOT_WORDS, CACHE = 1 << 17, 150_000
-_CODERS: dict[tuple[str, int], AtomEncoder] = cache()
-
-
-def coder(path: str, size: int) -> AtomEncoder:
-    """Byte-level BPE by the first `size` ids of a tokenizer file."""
-    if (path, size) not in _CODERS:
-        from public_tokenizers import PATTERN
-        from tokenizers import models
-
-        with open(path, encoding="utf-8") as f:
+HOT_WORDS, CACHE = 1 << 17, 200_000
+#: bytes of words that are counted at once
+COUNTED_BYTES = 48_000_000
+#: words that merges are learnt from: how often they are shown in all, and their longest
+TAUGHT, TAUGHT_BYTES = 3_000_000, 64
+_NAMES = str.maketrans({chr(b): c for b, c in byte_names().items() if b != 10})  # no word has a line feed
+
+
+def named(word: bytes) -> str:
+    """A word with a blank before it, a character for each byte."""
+    return (b" " + word).decode("latin-1").translate(_NAMES)
+
+
+def learnt(words: dict[bytes, int], path: str) -> str:
+    """A vocabulary of VOCABULARY - 1 ids, as JSON: merges of the words by their counts, then the first of a tokenizer file."""
+    from tokenizers import Tokenizer, models, pre_tokenizers, trainers
+
+    short = {w: n for w, n in sorted(words.items()) if len(w) <= TAUGHT_BYTES}
+    share = max(1.0, sum(short.values()) / TAUGHT)
+    own = Tokenizer(models.BPE())
+    own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    trainer = trainers.BpeTrainer(vocab_size=VOCABULARY - 1, initial_alphabet=sorted(byte_names().values()), show_progress=False)
+    own.train_from_iterator((f"{named(w)} " * math.ceil(n / share) for w, n in short.items()), trainer)
+    spec = json.loads(own.to_str())["model"]
+    vocabulary, merges = spec["vocab"], [tuple(m) for m in spec["merges"]]
+    with open(path, encoding="utf-8") as f:
+        more = json.load(f)["model"]["merges"]
+    for m in more:
+        if len(vocabulary) >= VOCABULARY - 1:
+            break
+        a, b = m.split(" ") if isinstance(m, str) else m
+        if a in vocabulary and b in vocabulary and a + b not in vocabulary:
+            vocabulary[a + b] = len(vocabulary)
+            merges.append((a, b))
+    return json.dumps({"vocab": vocabulary, "merges": merges})
+
+
+def coder(source: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Byte-level BPE of words, by a vocabulary that was learnt or by the first ids of a tokenizer file: (all ids, each word's number of ids)."""
+    from tokenizers import models
+
+    if source.startswith("{"):
+        spec = json.loads(source)
+        vocabulary, merges = spec["vocab"], spec["merges"]
+    else:
+        with open(source, encoding="utf-8") as f:
             spec = json.load(f)["model"]
-        vocabulary = {k: v for k, v in spec["vocab"].items() if v < size}
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"][: size - 256]]
-        model = models.BPE(vocabulary, merges)
-        table = str.maketrans({chr(b): c for b, c in byte_names().items()})
+        vocabulary = {k: v for k, v in spec["vocab"].items() if v < VOCABULARY - 1}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["merges"][: VOCABULARY - 1 - 256]]
+    tokens = models.BPE(vocabulary, [tuple(m) for m in merges]).tokenize
 
-        def piece(x: str) -> bytes:
-            return np.array([t.id for t in model.tokenize(x.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))], "<u4").tobytes()
+    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        names = (b" " + b"\n ".join(words)).decode("latin-1").translate(_NAMES).split("\n") if words else []
+        got = [[t.id for t in tokens(x)] for x in names]
+        return np.array([x for ids in got for x in ids], "<u2"), np.array(list(map(len, got)), np.int64)
 
-        _CODERS[path, size] = AtomEncoder(PATTERN, piece)
-    return _CODERS[path, size]
+    return run
 
 
 def words_of(text: str) -> list[bytes]:
@@ -79,64 +119,90 @@ def is_held_out(doc_id: int | None) -> bool:
 class WordIds(dict):
     """word -> its ids' bytes, with a blank before it; keeps the first CACHE words that it met."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str):
         super().__init__()
-        self.coder = coder(path, VOCABULARY - 1)
+        self.coder = coder(source)
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.frombuffer(self.coder.encode(" " + word.decode("utf-8", "surrogatepass")), "<u4").astype("<u2").tobytes()
-        if len(self) < CACHE:
-            self[word] = ids
-        return ids
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Of words that differ."""
+        out = list(map(self.get, words))
+        new = [k for k, x in enumerate(out) if x is None]
+        ids, sizes = self.coder([words[k] for k in new])
+        body, ends = ids.tobytes(), (2 * np.cumsum(sizes)).tolist()
+        for k, at, to in zip(new, [0, *ends], ends):
+            out[k] = body[at:to]
+            if len(self) < CACHE:
+                self[words[k]] = out[k]
+        return out
 
 
 _IDS: dict[str, WordIds] = cache()
 
 
-def encode(texts: list[list[bytes]], path: str) -> list[np.ndarray]:
+def word_ids(source: str) -> WordIds:
+    if source not in _IDS:
+        _IDS.clear()
+        _IDS[source] = WordIds(source)
+    return _IDS[source]
+
+
+def encode(texts: list[list[bytes]], source: str) -> list[np.ndarray]:
     """The subword ids of texts that are given by their words."""
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    get = _IDS[path].__getitem__
+    words = list(dict.fromkeys(x for w in texts for x in w))
+    get = dict(zip(words, word_ids(source).of(words))).__getitem__
     return [np.frombuffer(b"".join(map(get, w)), "<u2") for w in texts]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, how many each text has); as words_of, in Arrow."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, ends = parts.flatten().cast(pa.large_binary()), parts.offsets.to_numpy()
+    there = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends leave empty ones
+    before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    return words.filter(there), np.diff(before[ends - ends[0]])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over training documents; the end is the null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        ends = 0
+        held: list[pa.Array] = []
+        size = ends = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ends
-            out = pa.RecordBatch.from_arrays([pa.array([*count, *[None] * bool(ends)], pa.binary()), pa.array([*count.values(), *[ends] * bool(ends)], pa.int64())], ["word", "c"])
-            count.clear()
-            ends = 0
+            nonlocal size, ends
+            count = pa.chunked_array(held, pa.large_binary()).value_counts()
+            words, counts = (count.field(k).to_pylist() for k in (0, 1))
+            out = pa.RecordBatch.from_arrays([pa.array([*words, *[None] * bool(ends)], pa.binary()), pa.array([*counts, *[ends] * bool(ends)], pa.int64())], ["word", "c"])
+            held.clear()
+            size = ends = 0
             return out
 
         for b in slices(batches):
-            for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b)):
-                if not is_held_out(d):
-                    count.update(words_of(t))
-                    ends += 1
-            if len(count) > 250_000:
+            own = b.column("text").filter(pa.array([not is_held_out(d) for d in b.column("doc_id").to_pylist()], pa.bool_()))
+            words, _ = split(own)
+            held.append(words)
+            size += words.nbytes
+            ends += len(own)
+            if size > COUNTED_BYTES:
                 yield flush()
         yield flush()
 
     return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def id_counts(words: DataFrame, path: str) -> np.ndarray:
+def id_counts(words: DataFrame, source: str) -> np.ndarray:
     """How often each subword id, and the end, occurs in the training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
+        code = coder(source)
         for b in slices(batches, 4096):
-            w, c = b.column("word").to_pylist(), b.column("c").to_pylist()
-            for x, n in zip(encode([[y] if y is not None else [] for y in w], path), c):
-                np.add.at(total, x, n)
-            total[VOCABULARY - 1] += sum(n for y, n in zip(w, c) if y is None)
+            w, c = b.column("word").to_pylist(), b.column("c").to_numpy()
+            there = np.array([y is not None for y in w], bool)
+            ids, sizes = code([y for y in w if y is not None])
+            np.add.at(total, ids, np.repeat(c[there], sizes))
+            total[VOCABULARY - 1] += c[~there].sum()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -146,8 +212,12 @@ def id_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-def trained(texts: DataFrame, start: attention.Model, path: str, expected: int, passes: int = 1, rate: float = RATE) -> DataFrame:
-    """texts (text) -> (weight: ids seen, body: the pickled weights and how often each id was met), a row for each partition with texts."""
+def ids_of(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
+
+
+def trained(texts: DataFrame, start: attention.Model, source: str, expected: int, passes: int = 1, rate: float = RATE) -> DataFrame:
+    """texts (ids, or text that is to be encoded) -> (weight: ids seen, body: the pickled weights and how often each id was met), a row for each partition with texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -164,7 +234,7 @@ def trained(texts: DataFrame, start: attention.Model, path: str, expected: int,
             n = 0
 
         for b in slices(batches):
-            new = encode([words_of(t) for t in texts_of(b)], path)
+            new = ids_of(b) if "ids" in b.schema.names else encode([words_of(t) for t in texts_of(b)], source)
             held += new
             n += sum(map(len, new)) + len(new)
             if n >= CHUNK:
@@ -209,14 +279,14 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.where(~held)
 
 
-def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, path: str) -> attention.Model:
+def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, source: str) -> attention.Model:
     model, total = attention.init(VOCABULARY, DIM, counts), int(counts.sum())
     passes = max(1, min(PASSES, -(-LEAST_IDS // max(total, 1))))
     for k, end in enumerate(ROUNDS):
         share = total * (end - (ROUNDS[k - 1] if k else 0)) // ROUNDS[-1]
         parts = max(1, min(MOST_PARTS, -(-share // IDS_A_PART)))
-        dealt = in_round(docs, k).select("text").repartition(parts, F.rand(k))
-        each = scratch.table(trained(dealt, model, path, share // parts, passes, RATE / (1 + k)))
+        dealt = in_round(docs, k).select("ids").repartition(parts, F.rand(k))
+        each = scratch.table(trained(dealt, model, source, share // parts, passes, RATE / (1 + k)))
         while parts > 8:
             parts = -(-parts // 8)
             each = scratch.table(_average(each.repartition(parts)))
@@ -243,35 +313,52 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     hot = {None if r[0] is None else bytes(r[0]): r[1] for r in words.where(F.col("c") >= low).collect()}  # HOT_WORDS at most
     ends = words.where("word is null").first()
     hot[None] = ends["c"] if ends else 0
-    model = fit(scratch, docs, id_counts(words, path), path)
-    shared = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in hot.items()}, model))
+    source = learnt({w: c for w, c in hot.items() if w is not None}, path)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in hot.items()}, source))
     end_known = int(hot[None] > 0)
     del hot
     divisor = math.log10(total + distinct + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, model = shared.value
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, source = shared.value
+        for b in slices(batches):
+            words, sizes = split(b.column("text"))
+            found = words.dictionary_encode()
+            which, doc = found.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            each = found.dictionary.to_pylist()  # words that differ
+            log = np.array([logs.get(w, -1.0) for w in each], np.float64)[which]
+            parts = word_ids(source).of(each)
+            body, long = np.frombuffer(b"".join(parts), "<u2"), np.array(list(map(len, parts)), np.int64) // 2
+            n, start = long[which], (np.cumsum(long) - long)[which]
+            ends = np.cumsum(n)
+            ids = body[np.repeat(start - ends + n, n) + np.arange(n.sum())].tobytes()
+            edges = (2 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]).tolist()
+            seen = log >= 0
+            key, k = np.unique(doc[~seen] * len(each) + which[~seen], return_counts=True)
+            texts, rare = np.divmod(key, max(1, len(each)))
+            pairs = pa.StructArray.from_arrays([found.dictionary.take(pa.array(rare)).cast(pa.binary()), pa.array(k, pa.int64())], ["w", "k"])
+            cols = [
+                pa.array(map(is_held_out, b.column("doc_id").to_pylist()), pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(doc[seen], minlength=len(sizes)) + end_known, pa.int64()),
+                pa.array(np.bincount(doc[seen], log[seen], len(sizes)) + logs[None], pa.float64()), pa.array([ids[at:to] for at, to in zip(edges, edges[1:])], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(len(sizes) + 1)), pa.int32()), pairs),
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "held_out", "n_tokens", "known", "base", "ids", "rare"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, ids binary, rare array<struct<w:binary,k:long>>"
+    rows = scratch.table(docs.mapInArrow(encoded, schema).withColumn("row", F.monotonically_increasing_id()))
+    model = docs.sparkSession.sparkContext.broadcast(fit(scratch, rows, id_counts(words, source), source))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
-            words = [words_of(t) for t in texts_of(b)]
-            score = attention.score(model, encode(words, path), VOCABULARY - 1) / math.log(10)
-            base, known, rare = [], [], []
-            for w in words:
-                got = list(map(logs.get, w))
-                seen = [x for x in got if x is not None]
-                base.append(sum(seen) + logs[None])
-                known.append(len(seen) + end_known)
-                rare.append(Counter(x for x, y in zip(w, got) if y is None) if len(seen) < len(w) else {})
-            cols = [pa.array(map(is_held_out, b.column("doc_id").to_pylist()), pa.bool_()), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-            pairs = pa.StructArray.from_arrays([pa.array([x for r in rare for x in r], pa.binary()), pa.array([k for r in rare for k in r.values()], pa.int64())], ["w", "k"])
-            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]), pa.int32()), pairs))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<w:binary,k:long>>"
-    rows = scratch.table(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+            score = attention.score(model.value, ids_of(b), VOCABULARY - 1) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(score, pa.float64())], [*kept, "score"])
+
+    kept = ["doc_id", "held_out", "n_tokens", "known", "base", "row"]
+    scores_of = rows.select(*kept, "ids").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, known long, base double, row long, score double")
     tail = rows.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.k")
     tail = tail.join(words.where(F.col("c") < low), F.col("w") == F.col("word"))
     tail = tail.groupBy(F.col("row").alias("r")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("b"))
-    out = rows.drop("rare").join(tail, F.col("row") == F.col("r"), "left")
+    out = scratch.table(scores_of).join(tail, F.col("row") == F.col("r"), "left")
     base = F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
