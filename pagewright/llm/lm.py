@@ -2,8 +2,8 @@
 
 Two scores in log10. The base is an add-one unigram over lower-cased words and an end. The model is the causal
 self-attention of `attention` over subword ids: VOCABULARY - 1 ids of a byte-level vocabulary and an end. Its merges are
-learnt from the words of the corpus that are met most (TAUGHT times in all, by their shares), so a word is 1.4 ids on
-average; where these words give fewer merges, the first ones of a public vocabulary follow. All 256 bytes are ids, so any
+learnt from at most HOT_WORDS words that are met most in the training documents (up to TAUGHT_BYTES bytes long, each
+shown by its share of about TAUGHT); this fixes only how a text is cut into ids, whole as it is. Where these words give fewer merges, the first ones of a public vocabulary follow. All 256 bytes are ids, so any
 text has its ids. A text is its words, each with one blank before it; its score is the probability of the ids of these
 and of the end.
 
@@ -20,7 +20,7 @@ parts are dealt and scores are taken.
 
 Scale. Words of a count of 2^j and more go to the workers as a dictionary, j being the least for which they are
 HOT_WORDS at most; the other words of a document stay with its row and are joined with their counts, so no worker
-holds the corpus's words. Only weights, counts by id, and sums reach the driver, all of fixed size.
+holds the corpus's words. Only those words, weights, counts by id, and sums reach the driver, all of bounded number.
 
 Cases. A null text is empty, and an empty one its end alone. A document with a null doc_id has the id text ''. Repeated
 documents each count and are each returned. Extra columns are ignored. Without training documents all counts are zero
