@@ -155,6 +155,7 @@ def encode(texts: list[list[bytes]], source: str) -> list[np.ndarray]:
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(the words of all texts, how many each text has); as words_of, in Arrow."""
+    texts = texts.take(pa.array(np.arange(len(texts)), pa.int64()))  # fill_null gives wrong texts for a slice without nulls
     parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     words, ends = parts.flatten().cast(pa.large_binary()), parts.offsets.to_numpy()
     there = pc.greater(pc.binary_length(words), 0)  # blanks at a text's ends leave empty ones

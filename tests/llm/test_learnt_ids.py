@@ -31,7 +31,8 @@ def test_words_of_the_corpus_take_few_ids_and_any_text_has_its_bytes():
 
 
 def test_split_is_words_of():
-    for texts in (pa.array(ODD), pa.array(ODD).slice(2, 5), pa.array([], pa.string()), pa.array([None], pa.string())):
+    many = pa.array([" ".join(["w"] * (k % 30)) for k in range(700)])
+    for texts in (many, many.slice(256, 256), many.slice(512), pa.array(ODD), pa.array(ODD).slice(2, 5), pa.array([], pa.string()), pa.array([None], pa.string())):
         got, n = lm.split(texts)
         want = [lm.words_of(t or "") for t in texts.to_pylist()]
         assert got.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
