@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pagewright.llm.common import Scratch, drop_caches, read, slices, texts_of
-from pagewright.llm.components import components
+from pagewright.llm.components import components, find
 
 SHINGLE, BANDS, ROWS, LIKENESS = 9, 8, 4, 0.8
 STEP, BLOCK, CHARS, BINS = 1 << 16, 1024, 1 << 20, 20
@@ -237,13 +237,6 @@ def _common(values: list[np.ndarray], outside: np.ndarray) -> np.ndarray:
     return out
 
 
-def find(root: dict, x: object) -> object:
-    """The representative of x, by the forest root (node -> a node nearer to it)."""
-    while (up := root.setdefault(x, x)) != x:
-        root[x] = x = root.setdefault(up, up)
-    return x
-
-
 def block_links(rows: list[tuple], values: list[np.ndarray], root: dict | None = None) -> list[tuple]:
     """rows (line, component, outside) of one block pair, their distinct shingles -> links of lines outside that join their components.
 
@@ -295,23 +288,25 @@ def unsettled(state: DataFrame) -> DataFrame:
     return state.join(several, F.col("l") == F.col("k")).select(*state.columns, "n", "w", (F.col("c") != F.col("top")).alias("outside"))
 
 
-def blocks(groups: DataFrame, bodies: DataFrame, bins: Column | None = None, reach: int = round((1 - LIKENESS) * BINS) + 1, shingles: Callable = values_of) -> DataFrame:
+def blocks(groups: DataFrame, bodies: DataFrame, bins: Column | None = None, reach: int = round((1 - LIKENESS) * BINS) + 1, shingles: Callable = values_of, scratch: Scratch | None = None) -> DataFrame:
     """groups, as from `unsettled`, bodies (line, body) -> links (a, b) of lines outside; those of a task make no cycle of components.
 
     The lines of a leader that has more than a block of them are dealt into bins, by their likeness j to it if nothing else
-    is given, and these into blocks; lines of bins further apart than reach can't be alike.
+    is given, and these into blocks; lines of bins further apart than reach can't be alike. scratch: where the parts that
+    several joins read are written, else each join plans them again.
     """
+    keep = scratch.table if scratch else lambda df: df
     full = (F.col("n") > BLOCK) | (F.col("w") > CHARS)
     bins = F.floor(F.col("j") * BINS) if bins is None else bins
     g = groups.withColumn("bin", F.when(full, bins.cast("int")).otherwise(0)).withColumn("h", F.xxhash64("line"))
     k = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / CHARS))
-    size = g.groupBy("l", "bin").agg(k(F.count_if("outside"), F.sum(F.expr("if(outside, m, 0)"))).alias("kx"), k(F.count("*"), F.sum("m")).alias("ky"))
+    size = keep(g.groupBy("l", "bin").agg(k(F.count_if("outside"), F.sum(F.expr("if(outside, m, 0)"))).alias("kx"), k(F.count("*"), F.sum("m")).alias("ky")))
     at = g.join(size.withColumnsRenamed({"l": "l2", "bin": "bin2"}), (F.col("l") == F.col("l2")) & (F.col("bin") == F.col("bin2")))
-    at = at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by"))
+    at = keep(at.select("l", "bin", "line", "c", "outside", F.expr("if(outside, pmod(h, kx), null)").alias("bx"), F.pmod("h", "ky").alias("by")))
     x, y = size.where("kx > 0").select("l", F.col("bin").alias("xb"), "kx"), size.select(F.col("l").alias("l2"), F.col("bin").alias("yb"), "ky")
     near = F.abs(F.col("xb") - F.col("yb")) <= reach
     grid = x.join(y, (F.col("l") == F.col("l2")) & near).withColumn("xk", F.explode(F.sequence(F.lit(0), F.col("kx") - 1))).withColumn("yk", F.explode(F.sequence(F.lit(0), F.col("ky") - 1)))
-    grid = grid.select(F.col("l").alias("gl"), "xb", "yb", "xk", "yk", F.xxhash64("l", "xb", "yb", "xk", "yk").alias("t"))
+    grid = keep(grid.select(F.col("l").alias("gl"), "xb", "yb", "xk", "yk", F.xxhash64("l", "xb", "yb", "xk", "yk").alias("t")))
     left = at.where("outside").join(grid, (F.col("l") == F.col("gl")) & (F.col("bin") == F.col("xb")) & (F.col("bx") == F.col("xk")))
     right = at.join(grid, (F.col("l") == F.col("gl")) & (F.col("bin") == F.col("yb")) & (F.col("by") == F.col("yk")))
     both = left.select("t", "line", "c", F.lit(True).alias("outside")).union(right.select("t", "line", "c", F.lit(False).alias("outside")))
@@ -362,7 +357,10 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     all_of = star.select("l", "line", "j", "m").union(star.select("l", F.col("l").alias("line"), F.lit(1.0).alias("j"), F.col("lm").alias("m")).distinct())
     state = scratch.table(all_of.join(comp, F.col("line") == F.col("node"), "left").select("l", "line", "j", "m", F.coalesce("component", "line").alias("c")))
     groups = scratch.table(unsettled(state))
-    more = scratch.table(blocks(groups, bodies))
+    if groups.isEmpty():
+        scratch.drop(star, bodies, state, groups)
+        return comp
+    more = scratch.table(blocks(groups, bodies, scratch=scratch))
     out = components(scratch, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     scratch.drop(star, bodies, state, groups, more)
     return out

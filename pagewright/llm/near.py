@@ -153,11 +153,11 @@ def shingles_of(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in bodies]
 
 
-def block_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(scratch: Scratch, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """groups (l, node, n, c) -> links (a, b) between the components of each leader's nodes; bins are of equal size but for 0.8."""
-    groups = lines.unsettled(groups.select("l", F.col("node").alias("line"), F.col("n").alias("m"), "c"))
+    groups = scratch.table(lines.unsettled(groups.select("l", F.col("node").alias("line"), F.col("n").alias("m"), "c")))
     by_size = F.floor(F.log("m") / -math.log(LIKENESS))
-    return lines.blocks(groups, sets.withColumnRenamed("node", "line"), by_size, 1, shingles_of)
+    return lines.blocks(groups, sets.withColumnRenamed("node", "line"), by_size, 1, shingles_of, scratch)
 
 
 def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def links(scratch: Scratch, docs: DataFrame, distinct: DataFrame) -> DataFrame:
             new = verified(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct(), sets)
         else:
             groups = state.join(one.select("k", "l"), F.col("bucket") == F.col("k")).select("l", "node", "n", "c").distinct()
-            new = block_links(scratch.table(groups), sets)
+            new = block_links(scratch, scratch.table(groups), sets)
         new = scratch.table(new)
         found = scratch.table(found.union(new))
         comp = components(scratch, found)
