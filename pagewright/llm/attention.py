@@ -55,7 +55,7 @@ def init(vocabulary: int, dim: int, counts: np.ndarray, seed: int = 7) -> Model:
     branch, r = max(2, math.ceil(vocabulary ** (1 / 3) - 1e-9)), np.random.default_rng(seed)
     slot = np.empty(vocabulary, np.int64)
     slot[np.lexsort((np.arange(vocabulary), -counts))] = np.arange(vocabulary)
-    slots = np.stack([slot % branch, slot // branch % branch, slot // branch**2], 1)
+    slots = np.stack([slot % branch, slot // branch % branch, slot // branch**2]).T  # a choice of all ids lies in one run
     share = np.zeros((branch, branch, branch))
     share[tuple(slots.T)] = counts + 1.0
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -74,6 +74,7 @@ def init(vocabulary: int, dim: int, counts: np.ndarray, seed: int = 7) -> Model:
 
 _OWN = np.tril(np.ones((BLOCK, BLOCK), bool))
 _DIST = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None]
+_NEAR, _OWN_DIST, _FAR_DIST = np.where(_OWN, _DIST, 0), _DIST[_OWN], (_DIST + BLOCK).ravel()
 
 
 def _shape(m: Model) -> tuple[int, int]:
@@ -99,7 +100,11 @@ def layout(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, n
 def _weights(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What exponentials of scores are multiplied by: within a block, and to the block before."""
     near = np.exp(dist)
-    return np.where(_OWN, near[np.where(_OWN, _DIST, 0)], 0).astype(dist.dtype), near[_DIST + BLOCK]
+    return np.where(_OWN, near[_NEAR], 0).astype(dist.dtype), near[_DIST + BLOCK]
+
+
+def _padded(o: np.ndarray) -> np.ndarray:
+    return np.concatenate([o, np.zeros((1, o.shape[1]), o.dtype)])
 
 
 def states(m: Model, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -122,9 +127,9 @@ def states(m: Model, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     a = np.matmul(own, v)
     a[1:] += np.matmul(far, v[:-1])
     a = a.reshape(-1, VALUES)
-    den = a[:, -1:]
-    a = a[:, :-1] / den
-    z = a @ p["o"]
+    den = a[:, -1:].copy()
+    a /= den  # the last is 1, and no row of o takes it
+    z = a @ _padded(p["o"])
     z += x
     u = z @ p["w1"]
     u += p["b1"]
@@ -134,10 +139,10 @@ def states(m: Model, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return out, (x, y, own, far, a, den, z, u)
 
 
-def _choice(logits: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _choice(logits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log softmax of each column at one place, sums of the exponentials); logits turn into exponentials."""
     logits -= logits.max(0)
-    got = _pick(logits.ravel(), which * logits.shape[1] + at, 0)
+    got = _pick(logits.ravel(), place, 0)
     np.exp(logits, out=logits)
     s = logits.sum(0)
     return got - np.log(s), s
@@ -146,22 +151,22 @@ def _choice(logits: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.n
 def _levels(m: Model, z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(natural log probabilities of goal given states, what backward needs); features run down, positions across."""
     p, branch, at = view(m["flat"], *_shape(m)), m["last"].shape[0], np.arange(len(goal))
-    c1, c2, c3 = np.ascontiguousarray(_pick(m["slots"], goal, 0).T)
+    c1, c2, c3 = _pick(m["slots"].T, goal, 1)
     w = np.concatenate([p["n1"], p["a2"], p["a3"]], 1)
     t = w.T @ z.T  # what the three choices take from the state
     l1, h2, h3 = t[:branch], t[branch : branch + HIDDEN], t[branch + HIDDEN :]
     l1 += p["c1"][:, None]
-    lp, s1 = _choice(l1, c1, at)
+    lp, s1 = _choice(l1, c1 * len(goal) + at)
     t[branch:] += _pick(np.concatenate([p["e2"], p["e3"]]), c1, 1)
     h3 += _pick(p["f3"], c2, 1)
     np.maximum(t[branch:], 0, out=t[branch:])
     l2 = p["n2"].T @ h2
     l2 += _pick(p["c2"], c1, 1)
-    more, s2 = _choice(l2, c2, at)
+    more, s2 = _choice(l2, c2 * len(goal) + at)
     lp += more
     l3 = p["n3"].T @ h3
     l3 += _pick(m["last"], c1 * branch + c2, 1)
-    more, s3 = _choice(l3, c3, at)
+    more, s3 = _choice(l3, c3 * len(goal) + at)
     lp += more
     return lp, (c1, c2, c3, at, w, t, s1, l2, s2, l3, s3)
 
@@ -201,7 +206,7 @@ def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     o1, o2 = _pick(one, c1, 0), _pick(one, c2, 0)
     for e, s, c in ((l1, s1, c1), (l2, s2, c2), (l3, s3, c3)):
         e *= share / s
-        e[c, at] -= share
+        e.reshape(-1)[c * len(goal) + at] -= share
     g["n2"][...], g["n3"][...] = h2 @ l2.T, h3 @ l3.T
     alive = t[branch:] > 0
     np.matmul(p["n2"], l2, out=h2)
@@ -216,10 +221,10 @@ def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     du *= u > 0
     g["w2"][...], g["w1"][...], g["b1"][...] = u.T @ dz, z0.T @ du, du.sum(0)
     dz += du @ p["w1"].T
-    g["o"][...] = a.T @ dz
-    da = np.empty((len(x), VALUES), x.dtype)
-    np.divide(dz @ p["o"].T, den, out=da[:, :-1])
-    np.negative(np.einsum("ij,ij->i", da[:, :-1], a), out=da[:, -1])
+    g["o"][...] = (a.T @ dz)[:-1]
+    da = dz @ _padded(p["o"]).T
+    da /= den
+    np.negative(np.einsum("ij,ij->i", da, a), out=da[:, -1])
     da = da.reshape(n, BLOCK, VALUES)
     q, k, v = y[:, :, :KEYS], y[:, :, KEYS : 2 * KEYS], y[:, :, 2 * KEYS :]
     dy = np.empty_like(y)
@@ -236,7 +241,7 @@ def gradients(m: Model, given: np.ndarray, goal: np.ndarray, first: np.ndarray)
     dq[1:] += np.matmul(df, k[:-1])
     np.matmul(do.transpose(0, 2, 1), q, out=dk)
     dk[:-1] += np.matmul(df.transpose(0, 2, 1), q[1:])
-    g["dist"][...] = np.bincount(_DIST[_OWN], do.sum(0)[_OWN], 2 * BLOCK) + np.bincount((_DIST + BLOCK).ravel(), df.sum(0).ravel(), 2 * BLOCK)
+    g["dist"][...] = np.bincount(_OWN_DIST, do.sum(0)[_OWN], 2 * BLOCK) + np.bincount(_FAR_DIST, df.sum(0).ravel(), 2 * BLOCK)
     dy = dy.reshape(len(x), -1)
     g["qkv"][...] = x.T @ dy
     dz += dy @ p["qkv"].T
@@ -270,7 +275,7 @@ class Trainer:
             head[::run] = True
             there = pick < len(first)  # the last run may be shorter
             pick, head = pick[there], head[there]
-            self.step(given[pick], goal[pick], first[pick] | head)
+            self.step(_pick(given, pick, 0), _pick(goal, pick, 0), _pick(first, pick, 0) | head)
 
     def step(self, given: np.ndarray, goal: np.ndarray, first: np.ndarray) -> float:
         loss, flat, ids, emb = gradients(self.model, given, goal, first)
@@ -280,6 +285,9 @@ class Trainer:
         self.m += 0.1 * (flat - self.m)
         self.s += 0.01 * (flat * flat - self.s)
         self.model["flat"] -= (rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)
-        self.sums[ids] += np.einsum("ij,ij->i", emb, emb)
-        self.model["emb"][ids] -= emb * (10 * rate / np.sqrt(self.sums[ids]))[:, None]
+        sums = _pick(self.sums, ids, 0)
+        sums += np.einsum("ij,ij->i", emb, emb)
+        self.sums[ids] = sums
+        emb *= (10 * rate / np.sqrt(sums))[:, None]
+        self.model["emb"][ids] = np.subtract(_pick(self.model["emb"], ids, 0), emb, out=emb)
         return loss

@@ -121,7 +121,15 @@ class WordIds(dict):
 
     def __init__(self, source: str):
         super().__init__()
-        self.coder = coder(source)
+        self.coder, self.table = coder(source), None
+
+    def hot(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids of the words that every task knows, each one's number of ids, where they start); the last two have one place more."""
+        if self.table is None:
+            body, sizes = self.coder(words.to_pylist())
+            sizes = np.append(sizes, 0)
+            self.table = body, sizes, np.cumsum(sizes) - sizes
+        return self.table
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """Of words that differ."""
@@ -173,8 +181,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal size, ends
             count = pa.chunked_array(held, pa.large_binary()).value_counts()
-            words, counts = (count.field(k).to_pylist() for k in (0, 1))
-            out = pa.RecordBatch.from_arrays([pa.array([*words, *[None] * bool(ends)], pa.binary()), pa.array([*counts, *[ends] * bool(ends)], pa.int64())], ["word", "c"])
+            cols = [(count.field(0).cast(pa.binary()), [None]), (count.field(1), [ends])]
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y * bool(ends), x.type)]) for x, y in cols], ["word", "c"])
             held.clear()
             size = ends = 0
             return out
@@ -286,12 +294,14 @@ def fit(scratch: Scratch, docs: DataFrame, counts: np.ndarray, source: str) -> a
     for k, end in enumerate(ROUNDS):
         share = total * (end - (ROUNDS[k - 1] if k else 0)) // ROUNDS[-1]
         parts = max(1, min(MOST_PARTS, -(-share // IDS_A_PART)))
-        dealt = in_round(docs, k).select("ids").repartition(parts, F.rand(k))
-        each = scratch.table(trained(dealt, model, source, share // parts, passes, RATE / (1 + k)))
+        dealt = in_round(docs, k).select("ids").repartition(parts)  # in turn, by no key: as many sets of weights as parts, and no more
+        held = [scratch.table(trained(dealt, model, source, share // parts, passes, RATE / (1 + k)))]
         while parts > 8:
             parts = -(-parts // 8)
-            each = scratch.table(_average(each.repartition(parts)))
-        got = _average(each.coalesce(1)).collect()  # one set of weights
+            held.append(scratch.table(_average(held[-1].repartition(parts))))
+            scratch.drop(held.pop(0))
+        got = _average(held[0].coalesce(1)).collect()  # one set of weights
+        scratch.drop(held[0])
         if got:
             flat, emb, _ = pickle.loads(got[0]["body"])
             model = {**model, "flat": flat, "emb": emb}
@@ -315,32 +325,36 @@ def scores(docs: DataFrame, path: str) -> DataFrame:
     ends = words.where("word is null").first()
     hot[None] = ends["c"] if ends else 0
     source = learnt({w: c for w, c in hot.items() if w is not None}, path)
-    shared = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in hot.items()}, source))
-    end_known = int(hot[None] > 0)
+    end_known, end_log = int(hot[None] > 0), math.log10(hot.pop(None) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((list(hot), [math.log10(c + 1) for c in hot.values()], source))
     del hot
     divisor = math.log10(total + distinct + 1)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, source = shared.value
-        for b in slices(batches):
+        known, logs, source = shared.value
+        known, logs, own = pa.array(known, pa.large_binary()), np.array([*logs, -1.0]), word_ids(source)
+        table, sizes_of, starts_of = own.hot(known)
+        for b in slices(batches, 512):
             words, sizes = split(b.column("text"))
             found = words.dictionary_encode()
-            which, doc = found.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
-            each = found.dictionary.to_pylist()  # words that differ
-            log = np.array([logs.get(w, -1.0) for w in each], np.float64)[which]
-            parts = word_ids(source).of(each)
-            body, long = np.frombuffer(b"".join(parts), "<u2"), np.array(list(map(len, parts)), np.int64) // 2
-            n, start = long[which], (np.cumsum(long) - long)[which]
+            each, which, doc = found.dictionary, found.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)  # each: words that differ
+            place = pc.fill_null(pc.index_in(each, known), len(known)).to_numpy()
+            new = np.flatnonzero(place == len(known))
+            parts = own.of(each.take(pa.array(new)).to_pylist())
+            body, long, start = np.concatenate([table, np.frombuffer(b"".join(parts), "<u2")]), sizes_of[place], starts_of[place]
+            long[new] = np.array(list(map(len, parts)), np.int64) // 2
+            start[new] = len(table) + np.cumsum(long[new]) - long[new]
+            log, n, start = logs[place][which], long[which], start[which]
             ends = np.cumsum(n)
             ids = body[np.repeat(start - ends + n, n) + np.arange(n.sum())].tobytes()
             edges = (2 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]).tolist()
             seen = log >= 0
             key, k = np.unique(doc[~seen] * len(each) + which[~seen], return_counts=True)
             texts, rare = np.divmod(key, max(1, len(each)))
-            pairs = pa.StructArray.from_arrays([found.dictionary.take(pa.array(rare)).cast(pa.binary()), pa.array(k, pa.int64())], ["w", "k"])
+            pairs = pa.StructArray.from_arrays([each.take(pa.array(rare)).cast(pa.binary()), pa.array(k, pa.int64())], ["w", "k"])
             cols = [
                 pa.array(map(is_held_out, b.column("doc_id").to_pylist()), pa.bool_()), pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(doc[seen], minlength=len(sizes)) + end_known, pa.int64()),
-                pa.array(np.bincount(doc[seen], log[seen], len(sizes)) + logs[None], pa.float64()), pa.array([ids[at:to] for at, to in zip(edges, edges[1:])], pa.binary()),
+                pa.array(np.bincount(doc[seen], log[seen], len(sizes)) + end_log, pa.float64()), pa.array([ids[at:to] for at, to in zip(edges, edges[1:])], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.searchsorted(texts, np.arange(len(sizes) + 1)), pa.int32()), pairs),
             ]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "held_out", "n_tokens", "known", "base", "ids", "rare"])

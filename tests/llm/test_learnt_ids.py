@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 from pagewright.llm import attention, lm
+from pagewright.llm.common import Scratch
 
 PATH = P.path("byte_bpe_50k.json")
 ODD = [" a  B\t\x0b\x0c\r\nc ", "", None, "  ", "É x y \x1c\x85Z", "one", "a\x00b \x1fq", "字 " * 3, "Xx" * 5000]
@@ -48,3 +49,25 @@ def test_scores_are_those_of_texts_encoded_alone(spark, monkeypatch):
     own = lm.encode([lm.words_of(t or "") for t in texts], seen["source"])
     want = attention.score(seen["model"], own, lm.VOCABULARY - 1) / np.log(10)
     assert np.allclose([r.score for r in sorted(got, key=lambda r: r.doc_id)], want, rtol=1e-4)
+
+
+def test_a_round_makes_no_more_sets_of_weights_than_it_has_parts(spark, monkeypatch):
+    rows, kept, dropped, table, drop = {}, [], [], Scratch.table, Scratch.drop
+    frame, by_key = type(spark.range(0)), type(spark.range(0)).repartition
+
+    def counted(self, df, *a):
+        out = table(self, df, *a)
+        if "weight" in out.columns:
+            rows[len(rows)] = out.count()
+            kept.append(id(out))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    monkeypatch.setattr(Scratch, "drop", lambda self, *t: dropped.extend(map(id, t)) or drop(self, *t))
+    # as where a cluster deals out by a key to many partitions
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: by_key(self, max(n, 40) if cols and isinstance(n, int) else n, *cols))
+    monkeypatch.setattr(lm, "LEAST_IDS", 1)
+    texts = [" ".join(w.decode() for w in list(words())[k : k + 9]) for k in range(0, 400, 4)]
+    got = lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), PATH).collect()
+    assert len(got) == len(texts) and len(rows) == len(lm.ROUNDS) and set(rows.values()) <= {0, 1}  # few ids: a part each
+    assert sorted(kept) == sorted(dropped)  # no weights stay on disk once they are averaged
