@@ -104,11 +104,16 @@ class Regions:
     def images(self) -> DataFrame:
         return merge_images(self._kind("image"))
 
+    @cached_property
+    def _sized(self) -> DataFrame:
+        """Paths, those over a quarter of their page as hidden: they stand alone."""
+        large = self.paths.join(self.pages, KEYS).withColumn("large", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > vectors.LARGE_SHARE * F.col("width") * F.col("height"))
+        return large.withColumn("hidden", F.col("hidden") | F.col("large"))
+
     @cached_property
     def clusters(self) -> DataFrame:
         """(keys, ord, cluster) of every path; a cluster over a quarter of its page stands alone."""
-        large = self.paths.join(self.pages, KEYS).withColumn("large", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > vectors.LARGE_SHARE * F.col("width") * F.col("height"))
-        return vectors.clusters(large.withColumn("hidden", F.col("hidden") | F.col("large")), float("inf"))
+        return vectors.clusters(self._sized, float("inf"))
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -117,7 +122,7 @@ class Regions:
     @cached_property
     def vector_kinds(self) -> DataFrame:
         """K2 of every cluster, numbered by drawing order within its page (index)."""
-        k = vectors.kinds(vectors.features(self.paths, self.clusters, vectors.letter_runs(self.paths)))
+        k = vectors.kinds(vectors.cluster_features(self._sized, float("inf")))
         return k.withColumn("index", F.row_number().over(layout.page_window("cluster")) - 1)
 
     @cached_property

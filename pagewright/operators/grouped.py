@@ -1,7 +1,7 @@
-"""Page operators whose rules are sequential or graph-shaped: one page in one task, as grouped maps over Arrow.
+"""Page operators whose rules are sequential or graph-shaped: a page in one task, many pages in one pass over Arrow.
 
-A page is the unit of work (tens of thousands of boxes at most), so a group is bounded by a page, never by the data.
-Neighbour searches go through a grid or a sorted array: no operator compares all pairs of a page.
+A page is the unit of work (tens of thousands of boxes at most), so what is held is bounded by a page, never by the data.
+Neighbour searches go through a sorted array (module boxes) or a grid.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOUCH, CELL, LARGE_SHARE, PAGE_AREA = 10, 360, 0.25, 6000 * 8000
+from pagewright.operators import boxes
+
+TOUCH, LARGE_SHARE, PAGE_AREA = 10, 0.25, 6000 * 8000
 STRIP_EDGE, STRIP_GAP = 5, 10
 
 
@@ -20,80 +22,77 @@ def _cols(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(n).to_numpy() for n in names]
 
 
-def touching_roots(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """The smallest index of each box's component; boxes touch when they overlap with TOUCH of slack in all."""
-    root = np.arange(len(x0))
+def touching_roots(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, alone: np.ndarray, page: np.ndarray | None = None) -> np.ndarray:
+    """The smallest index of each box's component in its page; boxes touch when they overlap with TOUCH of slack in all."""
+    return boxes.touching(np.zeros(len(x0), np.int64) if page is None else page, x0, y0, x1, y1, alone, TOUCH)
 
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
 
-    cells: dict[tuple[int, int], list[int]] = {}
-    for k in np.flatnonzero(~alone).tolist():
-        seen: set[int] = set()
-        span = [(cx, cy) for cx in range(int((x0[k] - TOUCH) // CELL), int(x1[k] // CELL) + 1) for cy in range(int((y0[k] - TOUCH) // CELL), int(y1[k] // CELL) + 1)]
-        for c in span:
-            for j in cells.get(c, ()):
-                if j not in seen and x0[j] <= x1[k] + TOUCH and x0[k] <= x1[j] + TOUCH and y0[j] <= y1[k] + TOUCH and y0[k] <= y1[j] + TOUCH:
-                    a, b = find(j), find(k)
-                    root[max(a, b)] = min(a, b)
-                seen.add(j)
-        wide = [(cx, cy) for cx in range(int((x0[k] - TOUCH) // CELL), int((x1[k] + TOUCH) // CELL) + 1) for cy in range(int((y0[k] - TOUCH) // CELL), int((y1[k] + TOUCH) // CELL) + 1)]
-        for c in wide:
-            cells.setdefault(c, []).append(k)
-    return np.array([find(k) for k in range(len(x0))], np.int64)
-
-
-def vector_clusters(paths: DataFrame) -> DataFrame:
+def _clustered(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(the rows by page and ord, places of the clusters' first members, the cluster's number of each row)."""
+    t, page = boxes.in_order(t, "page_n", "ord")
+    x0, y0, x1, y1 = _cols(t, "x0", "y0", "x1", "y1")
+    alone = (x1 - x0) * (y1 - y0) > LARGE_SHARE * PAGE_AREA
+    firsts, k = np.unique(touching_roots(x0, y0, x1, y1, alone, page), return_inverse=True)
+    return t, firsts, k
+
+
+_BOXED = ["page_n", "ord", "x0", "y0", "x1", "y1"]
+
+
+def _longs(df: DataFrame, *more: str) -> DataFrame:
+    return df.selectExpr(*(f"CAST({c} AS BIGINT) {c}" for c in _BOXED), *more)
+
+
+def vector_clusters(paths: DataFrame, dealt: bool = False) -> DataFrame:
     """Paths (page_n, ord, x0, y0, x1, y1) -> (page_n, ord, cluster): cluster is its first member's ord."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ord")
-        x0, y0, x1, y1 = _cols(t, "x0", "y0", "x1", "y1")
-        alone = (x1 - x0) * (y1 - y0) > LARGE_SHARE * PAGE_AREA
-        cluster = t.column("ord").to_numpy()[touching_roots(x0, y0, x1, y1, alone)]
-        return t.select(["page_n", "ord"]).append_column("cluster", pa.array(cluster, pa.int64()))
-
-    cols = paths.selectExpr("page_n", "CAST(ord AS BIGINT) ord", *(f"CAST({c} AS BIGINT) {c}" for c in ("x0", "y0", "x1", "y1")))
-    return cols.groupBy("page_n").applyInArrow(run, "page_n long, ord long, cluster long")
-
-
-def chains(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """The length of each letter's run. A letter names the nearest fit letter to its right; the first to name one has it."""
-    n, order = len(x0), np.lexsort((np.arange(len(x0)), x0))
-    xs, nxt, taken = x0[order], [-1] * n, [False] * n
-    for i in range(n):
-        h, best = y1[i] - y0[i], -1
-        for j in order[np.searchsorted(xs, x1[i] - 0.25 * h) :][:400].tolist():
-            if x0[j] > x1[i] + h:
-                break
-            hj, over = y1[j] - y0[j], min(y1[i], y1[j]) - max(y0[i], y0[j])
-            if j != i and x0[j] > x0[i] and 0.4 * h <= hj <= 2.5 * h and over >= 0.5 * min(h, hj):
-                best = j
-                break
-        if best >= 0 and not taken[best]:
-            nxt[i], taken[best] = best, True
-    out = np.ones(n, np.int64)
-    for s in range(n):
-        if not taken[s]:
-            run = [s]
-            while nxt[run[-1]] >= 0:
-                run.append(nxt[run[-1]])
-            out[run] = len(run)
+        t, firsts, k = _clustered(t)
+        return t.select(["page_n", "ord"]).append_column("cluster", t["ord"].take(pa.array(firsts[k])))
+
+    return boxes.by_page(_longs(paths), ["page_n"], run, "page_n long, ord long, cluster long", dealt)
+
+
+def _extent(t: pa.Table, firsts: np.ndarray, k: np.ndarray, names: tuple[str, ...]) -> dict:
+    """Page, cluster and box of each cluster."""
+    out = {"page_n": t["page_n"].take(pa.array(firsts)), "cluster": t["ord"].take(pa.array(firsts))}
+    for name, v, f in zip(names, _cols(t, "x0", "y0", "x1", "y1"), (np.minimum, np.minimum, np.maximum, np.maximum)):
+        edge = v[firsts]
+        f.at(edge, k, v)
+        out[name] = pa.array(edge)
     return out
 
 
-def letter_runs(letters: DataFrame) -> DataFrame:
+def _flags(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t[n].combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for n in names]
+
+
+def cluster_flags(paths: DataFrame, dealt: bool = False) -> DataFrame:
+    """Each cluster's box, number of paths and flags: painted by any, white or empty by all."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t, firsts, k = _clustered(t)
+        n = np.bincount(k, minlength=len(firsts))
+        fill, stroke, white, is_empty = (np.bincount(k[c], minlength=len(firsts)) for c in _flags(t, "fill", "stroke", "white", "is_empty"))
+        return pa.table(_extent(t, firsts, k, ("x0", "y0", "x1", "y1")) | {"n_paths": n, "fill": fill > 0, "stroke": stroke > 0, "white": white == n, "is_empty": is_empty == n})
+
+    cols = _longs(paths, "fill", "stroke", "white", "is_empty")
+    return boxes.by_page(cols, ["page_n"], run, "page_n long, cluster long, x0 long, y0 long, x1 long, y1 long, n_paths long, fill boolean, stroke boolean, white boolean, is_empty boolean", dealt)
+
+
+def chains(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, page: np.ndarray | None = None) -> np.ndarray:
+    """The length of each letter's run."""
+    return boxes.run_lengths(np.zeros(len(x0), np.int64) if page is None else page, x0, y0, x1, y1)
+
+
+def letter_runs(letters: DataFrame, dealt: bool = False) -> DataFrame:
     """letters (page_n, ord, box) -> (page_n, ord, run_length)."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ord")
-        return t.select(["page_n", "ord"]).append_column("run_length", pa.array(chains(*_cols(t, "x0", "y0", "x1", "y1")), pa.int64()))
+        t, page = boxes.in_order(t, "page_n", "ord")
+        return t.select(["page_n", "ord"]).append_column("run_length", pa.array(chains(*_cols(t, "x0", "y0", "x1", "y1"), page), pa.int64()))
 
-    cols = letters.selectExpr("page_n", "CAST(ord AS BIGINT) ord", *(f"CAST({c} AS BIGINT) {c}" for c in ("x0", "y0", "x1", "y1")))
-    return cols.groupBy("page_n").applyInArrow(run, "page_n long, ord long, run_length long")
+    return boxes.by_page(_longs(letters), ["page_n"], run, "page_n long, ord long, run_length long", dealt)
 
 
 def merged_strips(rows: list[dict]) -> list[dict]:
@@ -223,22 +222,23 @@ def ink_components(bitmaps: DataFrame, below: int = 128) -> DataFrame:
     return bitmaps.groupBy("bmp_id").applyInArrow(run, "bmp_id long, x0 long, y0 long, x1 long, y1 long, pixels long")
 
 
-def vector_features(paths: DataFrame, clusters: DataFrame) -> DataFrame:
-    """K2's evidence of each cluster, by grouped aggregates over its paths that aren't empty."""
-    from pyspark.sql import functions as F
+def vector_features(paths: DataFrame, dealt: bool = False) -> DataFrame:
+    """K2's evidence of each cluster, from its paths that aren't empty."""
+    counts = ("n", "hlines", "vlines", "rects", "open_rects", "curved")
 
-    p = paths.join(clusters, ["page_n", "ord"])
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    thin_h = (h <= 40) & (w >= 4 * F.greatest(h, F.lit(2.5)))
-    thin_v = (w <= 40) & (h >= 4 * F.greatest(w, F.lit(2.5)))
-    area, shows = w * h, ~F.col("is_empty")
-
-    def n(c):
-        return F.count_if(shows & c)
-
-    return p.groupBy("page_n", "cluster").agg(
-        F.min("x0").alias("cx0"), F.min("y0").alias("cy0"), F.max("x1").alias("cx1"), F.max("y1").alias("cy1"), n(F.lit(True)).alias("n"), n(thin_h).alias("hlines"), n(~thin_h & thin_v).alias("vlines"),
-        n(F.col("is_rect") & F.col("stroke")).alias("rects"), n(F.col("is_rect") & F.col("stroke") & ~F.col("fill")).alias("open_rects"), n(F.col("n_curves") > 0).alias("curved"),
-        F.sum(F.when(shows & F.col("fill") & ~thin_h & ~thin_v, area).otherwise(0)).alias("fill_area"),
-        F.max(F.when(shows & F.col("is_rect") & F.col("stroke"), area).otherwise(0)).alias("frame_area"),
-    )
+    def run(t: pa.Table) -> pa.Table:
+        t, firsts, k = _clustered(t)
+        x0, y0, x1, y1, n_curves = _cols(t, "x0", "y0", "x1", "y1", "n_curves")
+        fill, stroke, is_rect, is_empty = _flags(t, "fill", "stroke", "is_rect", "is_empty")
+        w, h, shows = x1 - x0, y1 - y0, ~is_empty
+        thin_h, thin_v = (h <= 40) & (w >= 4 * np.maximum(h, 2.5)), (w <= 40) & (h >= 4 * np.maximum(w, 2.5))
+        held = (shows, shows & thin_h, shows & ~thin_h & thin_v, shows & is_rect & stroke, shows & is_rect & stroke & ~fill, shows & (n_curves > 0))
+        area, frame = np.zeros(len(firsts), np.int64), np.zeros(len(firsts), np.int64)
+        np.add.at(area, k, np.where(shows & fill & ~thin_h & ~thin_v, w * h, 0))
+        np.maximum.at(frame, k, np.where(shows & is_rect & stroke, w * h, 0))
+        out = _extent(t, firsts, k, ("cx0", "cy0", "cx1", "cy1")) | {c: np.bincount(k[v], minlength=len(firsts)) for c, v in zip(counts, held)}
+        return pa.table(out | {"fill_area": area, "frame_area": frame})
+
+    cols = _longs(paths, "CAST(n_curves AS BIGINT) n_curves", "fill", "stroke", "is_rect", "is_empty")
+    names = ["page_n", "cluster", "cx0", "cy0", "cx1", "cy1", *counts, "fill_area", "frame_area"]
+    return boxes.by_page(cols, ["page_n"], run, ", ".join(f"{c} long" for c in names), dealt)

@@ -1,25 +1,42 @@
 """Vector clusters, their attributes and their kinds (G7, G10, K2), keyed by (doc_id, page_n).
 
-Clusters and letter runs are graph rules of a page and run as grouped maps, one page in one task. All evidence of a
-cluster is a grouped aggregate; rules on sorted positions fold arrays of at most a cluster's paths. Lengths are points
+Clusters and letter runs are graph rules of a page and run in one pass over whole pages (module boxes). All evidence of a
+cluster comes from the same pass; rules on sorted positions step through the clusters together. Lengths are points
 times `unit`. Paths that paint nothing (`empty`) have no say in a kind.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators import boxes
 from pagewright.operators.grouped import LARGE_SHARE, chains, touching_roots
 
 KEYS = ["doc_id", "page_n"]
 THIN = 4.0
 
 
-def _paged(t: pa.Table, n: int) -> dict:
-    return {k: pa.array([t[k][0].as_py()] * n, pa.int64()) for k in KEYS}
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def _roots(t: pa.Table, page: np.ndarray, page_area: float, unit: float) -> np.ndarray:
+    """G7 over pages: the place of the first path of each path's cluster."""
+    x0, y0, x1, y1 = (np.asarray(t[c], np.float64) * (10 / unit) for c in _BOX)
+    alone = t["alone"].combine_chunks().to_numpy(zero_copy_only=False) | ((x1 - x0) * (y1 - y0) > LARGE_SHARE * page_area * 100 / unit / unit)
+    return touching_roots(x0, y0, x1, y1, alone, page)
+
+
+def _alone() -> Column:
+    return (F.coalesce(F.col("offpage"), F.lit(False)) | F.coalesce(F.col("hidden"), F.lit(False))).alias("alone")
+
+
+def _keyed() -> list[Column]:
+    return [*(F.col(k).cast("long").alias(k) for k in [*KEYS, "ord"]), *(F.col(c).cast("double").alias(c) for c in _BOX)]
 
 
 def clusters(paths: DataFrame, page_area: float, unit: float = 1.0) -> DataFrame:
@@ -27,15 +44,10 @@ def clusters(paths: DataFrame, page_area: float, unit: float = 1.0) -> DataFrame
     over a quarter of it stand alone; others are joined where their boxes come within a point."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ord")
-        x0, y0, x1, y1 = (np.asarray(t[c], np.float64) * (10 / unit) for c in ("x0", "y0", "x1", "y1"))
-        alone = np.asarray(t["alone"].combine_chunks().to_numpy(zero_copy_only=False)) | ((x1 - x0) * (y1 - y0) > LARGE_SHARE * page_area * 100 / unit / unit)
-        roots = touching_roots(x0, y0, x1, y1, alone)
-        return pa.table(_paged(t, len(t)) | {"ord": t["ord"], "cluster": pa.array(np.asarray(t["ord"])[roots], pa.int64())})
+        t, page = boxes.in_order(t, *KEYS, "ord")
+        return t.select([*KEYS, "ord"]).append_column("cluster", t["ord"].take(pa.array(_roots(t, page, page_area, unit))))
 
-    alone = F.coalesce(F.col("offpage"), F.lit(False)) | F.coalesce(F.col("hidden"), F.lit(False))
-    cols = paths.select(*(F.col(k).cast("long") for k in [*KEYS, "ord"]), *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")), alone.alias("alone"))
-    return cols.groupBy(*KEYS).applyInArrow(run, "doc_id long, page_n long, ord long, cluster long")
+    return boxes.by_page(paths.select(*_keyed(), _alone()), KEYS, run, "doc_id long, page_n long, ord long, cluster long")
 
 
 def attributes(paths: DataFrame, of: DataFrame) -> DataFrame:
@@ -75,83 +87,147 @@ def letter_runs(paths: DataFrame, unit: float = 1.0) -> DataFrame:
     """(doc_id, page_n, ord, run_length) of the paths shaped like letters."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ord")
-        n = chains(*(np.asarray(t[c], np.float64) for c in ("x0", "y0", "x1", "y1")))
-        return pa.table(_paged(t, len(t)) | {"ord": t["ord"], "run_length": pa.array(n, pa.int64())})
+        t, page = boxes.in_order(t, *KEYS, "ord")
+        n = chains(*(np.asarray(t[c]) for c in _BOX), page)
+        return t.select([*KEYS, "ord"]).append_column("run_length", pa.array(n, pa.int64()))
 
-    cols = paths.where(glyph_like(unit)).select(*(F.col(k).cast("long") for k in [*KEYS, "ord"]), *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")))
-    return cols.groupBy(*KEYS).applyInArrow(run, "doc_id long, page_n long, ord long, run_length long")
+    return boxes.by_page(paths.where(glyph_like(unit)).select(*_keyed()), KEYS, run, "doc_id long, page_n long, ord long, run_length long")
 
 
-def _distinct(xs: Column, unit: float) -> Column:
+_SHAPE = {"fill": "boolean", "stroke": "boolean", "rectish": "boolean", "empty": "boolean", "th": "boolean", "tv": "boolean", "n_curves": "long", "seg_rows": "long", "seg_cols": "long"}
+_COUNTS = ("hlines", "vlines", "rects", "open_rects", "curved", "glyphs")
+_PLACES = ("rows", "cols", "rect_cols", "rect_rows", "rows_in", "cols_in", "cell_rows", "cell_cols")
+_SHARES = ("cell_cover", "filled", "rect_cover")
+_EVIDENCE = ", ".join(["doc_id long", "page_n long", "cluster long", *(f"{c} double" for c in ("cx0", "cy0", "cx1", "cy1")), "n long", *(f"{c} long" for c in _COUNTS), *(f"{c} int" for c in _PLACES), *(f"{c} double" for c in _SHARES), "framed boolean", "w double", "h double"])
+
+
+def _fold(k: np.ndarray, m: int, x: np.ndarray, more: np.ndarray, step: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+    """Calls step(groups, their next x, its more) until each of m groups k has seen its values by x, then more."""
+    order = np.lexsort((more, x, k))
+    x, more, n = x[order], more[order], np.bincount(k, minlength=m)
+    start, by = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+    sizes = -n[by]
+    for r in range(int(n.max(initial=0))):
+        some = by[: np.searchsorted(sizes, -r, "left")]
+        step(some, x[start[some] + r], more[start[some] + r])
+
+
+def _distinct(k: np.ndarray, m: int, x: np.ndarray, unit: float) -> np.ndarray:
     """Positions more than a point after the last one counted."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(float("-inf")).alias("last"))
-    step = lambda a, x: F.when(x - a["last"] > unit, F.struct((a["n"] + 1).alias("n"), x.alias("last"))).otherwise(a)
-    return F.aggregate(F.array_sort(xs), start, step)["n"]
+    n, last = np.zeros(m, np.int32), np.full(m, -np.inf)
 
+    def step(g: np.ndarray, v: np.ndarray, _: np.ndarray) -> None:
+        g, v = g[new := v - last[g] > unit], v[new]
+        n[g] += 1
+        last[g] = v
 
-def _covered(lines: Column, span: Column, unit: float) -> Column:
-    """Groups of positions (gaps of a point at most) whose lines together cover half of the span."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(float("-inf")).alias("last"), F.lit(0.0).alias("total"))
+    _fold(k, m, x, x, step)
+    return n
 
-    def step(a, s):
-        new = s["x"] - a["last"] > unit
-        n = a["n"] + F.when(new & (a["total"] >= 0.5 * span), 1).otherwise(0)
-        return F.struct(n.alias("n"), s["x"].alias("last"), (F.when(new, 0.0).otherwise(a["total"]) + s["len"]).alias("total"))
 
-    return F.aggregate(F.array_sort(lines), start, step, lambda a: a["n"] + F.when(a["total"] >= 0.5 * span, 1).otherwise(0))
+def _covered(k: np.ndarray, m: int, x: np.ndarray, length: np.ndarray, span: np.ndarray, unit: float) -> np.ndarray:
+    """Groups of positions (gaps of a point at most) whose lines together cover half of the span."""
+    n, last, total = np.zeros(m, np.int32), np.full(m, -np.inf), np.zeros(m)
 
+    def step(g: np.ndarray, v: np.ndarray, size: np.ndarray) -> None:
+        new = v - last[g] > unit
+        n[g] += new & (total[g] >= 0.5 * span[g])
+        last[g], total[g] = v, np.where(new, 0.0, total[g]) + size
 
-def _shared(xs: Column, unit: float) -> Column:
-    """Groups of two or more positions with gaps of a point at most."""
-    start = F.struct(F.lit(0).alias("groups"), F.lit(0).alias("run"), F.lit(float("-inf")).alias("last"))
+    _fold(k, m, x, length, step)
+    return n + (total >= 0.5 * span)
 
-    def step(a, x):
-        goes_on = x - a["last"] <= unit
-        groups = a["groups"] + F.when(~goes_on & (a["run"] >= 2), 1).otherwise(0)
-        return F.struct(groups.alias("groups"), F.when(goes_on, a["run"] + 1).otherwise(1).alias("run"), x.alias("last"))
 
-    return F.aggregate(F.array_sort(xs), start, step, lambda a: a["groups"] + F.when(a["run"] >= 2, 1).otherwise(0))
+def _shared(k: np.ndarray, m: int, x: np.ndarray, unit: float) -> np.ndarray:
+    """Groups of two or more positions with gaps of a point at most."""
+    n, run, last = np.zeros(m, np.int32), np.zeros(m, np.int32), np.full(m, -np.inf)
+
+    def step(g: np.ndarray, v: np.ndarray, _: np.ndarray) -> None:
+        on = v - last[g] <= unit
+        n[g] += ~on & (run[g] >= 2)
+        run[g], last[g] = np.where(on, run[g] + 1, 1), v
+
+    _fold(k, m, x, x, step)
+    return n + (run >= 2)
+
+
+def _evidence(t: pa.Table, firsts: np.ndarray, k: np.ndarray, run: np.ndarray, unit: float) -> pa.Table:
+    """K2's evidence of clusters k, of which the first paths stand at firsts; run: the paths' runs of letters."""
+    m = len(firsts)
+    flag = {c: t[c].combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for c in ("fill", "stroke", "rectish", "empty", "th", "tv")}
+    box = [np.asarray(t[c], np.float64) for c in _BOX]
+    edges = [np.full(m, np.inf), np.full(m, np.inf), np.full(m, -np.inf), np.full(m, -np.inf)]
+    for e, v, f in zip(edges, box, (np.minimum, np.minimum, np.maximum, np.maximum)):
+        f.at(e, k, v)
+    s = np.flatnonzero(~flag["empty"])
+    of = k[s]
+    x0, y0, x1, y1 = (v[s] for v in box)
+    cx0, cy0, cx1, cy1 = (e[of] for e in edges)
+    fill, stroke, rect, th, tv = (flag[c][s] for c in ("fill", "stroke", "rectish", "th", "tv"))
+    cw, ch, w, h = cx1 - cx0, cy1 - cy0, x1 - x0, y1 - y0
+    area, mx, my, edge = w * h, (x0 + x1) / 2, (y0 + y1) / 2, np.maximum(0.03 * np.maximum(cw, ch), 6.0 * unit)
+    cell, open_rect = rect & ~th & ~tv & (area < 0.5 * cw * ch), rect & stroke & ~fill
+    wide, high = edges[2] - edges[0], edges[3] - edges[1]
+    count = lambda c: np.bincount(of[c], minlength=m)
+    some = lambda c: count(c) > 0
+    near = lambda a, b: np.abs(a - b) <= 2 * unit
+    places = lambda f, c, x: f(of[c], m, x[c], unit)
+    lines = lambda c, x, length, span: _covered(of[c], m, x[c], length[c], span, unit)
+
+    def most(name: str) -> np.ndarray:
+        out = np.zeros(m, np.int64)
+        np.maximum.at(out, of, np.nan_to_num(np.asarray(t[name], np.float64)[s]).astype(np.int64))
+        return np.maximum(0, out - 2)
+
+    def share(c: np.ndarray) -> np.ndarray:
+        total, whole = np.bincount(of[c], area[c], m), wide * high
+        return np.where(whole > 0, np.minimum(1.0, total / np.where(whole > 0, whole, 1.0)), 0.0)
+
+    n, large = np.bincount(of, minlength=m), (wide >= 10 * unit) & (high >= 10 * unit)
+    level, upright = th & (w >= 0.9 * cw), tv & (h >= 0.9 * ch)
+    sides = some(level & near(y0, cy0)) & some(level & near(y1, cy1)) & some(upright & near(x0, cx0)) & some(upright & near(x1, cx1))
+    found = {
+        "hlines": count(th), "vlines": count(~th & tv), "rects": count(rect & stroke), "open_rects": count(open_rect), "curved": count(np.asarray(t["n_curves"])[s] > 0), "glyphs": count(run[s] >= 3),
+        "rows": places(_distinct, th & (w >= 0.5 * cw), my), "cols": places(_distinct, ~th & tv & (h >= 0.5 * ch), mx), "rect_cols": places(_distinct, open_rect, x0), "rect_rows": places(_distinct, open_rect, y0),
+        "rows_in": np.maximum(lines(th & (my > cy0 + edge) & (my < cy1 - edge), my, w, wide), most("seg_rows")), "cols_in": np.maximum(lines(tv & (mx > cx0 + edge) & (mx < cx1 - edge), mx, h, high), most("seg_cols")),
+        "cell_rows": places(_shared, cell, y0), "cell_cols": places(_shared, cell, x0), "cell_cover": share(cell), "filled": share(fill & ~th & ~tv), "rect_cover": share(open_rect),
+        "framed": (some(rect & stroke & (area >= 0.85 * cw * ch)) | sides) & large,
+    }
+    kinds = dict.fromkeys(_COUNTS, pa.int64()) | dict.fromkeys(_PLACES, pa.int32()) | dict.fromkeys(_SHARES, pa.float64()) | {"framed": pa.bool_()}
+    first = t.select([*KEYS, "ord"]).take(pa.array(firsts)).rename_columns([*KEYS, "cluster"])
+    cols = dict(zip(("cx0", "cy0", "cx1", "cy1"), edges)) | {"n": n} | {c: pa.array(v, kinds[c], mask=n == 0) for c, v in found.items()} | {"w": wide, "h": high}
+    return pa.table({c: first[c] for c in first.column_names} | cols)
+
+
+def _shapes(unit: float) -> list[Column]:
+    th, tv = thin(unit)
+    named = {"rectish": rectish(), "th": th, "tv": tv}
+    return [*_keyed(), *(F.coalesce(named.get(c, F.col(c)).cast(k), F.lit(False if k == "boolean" else 0).cast(k)).alias(c) for c, k in _SHAPE.items())]
 
 
 def features(paths: DataFrame, of: DataFrame, runs: DataFrame, unit: float = 1.0) -> DataFrame:
     """K2's evidence of each cluster; the cluster's box is that of all of its paths."""
-    box = paths.join(of, [*KEYS, "ord"]).join(runs, [*KEYS, "ord"], "left")
-    box = box.select("*", *(F.col(c).cast("double").alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")), F.coalesce("run_length", F.lit(1)).alias("run"))
-    whole = box.groupBy(*KEYS, "cluster").agg(F.min("b_x0").alias("cx0"), F.min("b_y0").alias("cy0"), F.max("b_x1").alias("cx1"), F.max("b_y1").alias("cy1"))
-    p = box.where(~F.col("empty")).join(whole, [*KEYS, "cluster"])
-    x0, y0, x1, y1 = (F.col(f"b_{c}") for c in ("x0", "y0", "x1", "y1"))
-    cw, ch = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
-    w, h, (th, tv), rect = x1 - x0, y1 - y0, thin(unit), rectish()
-    area, mx, my = w * h, (x0 + x1) / 2, (y0 + y1) / 2
-    edge = F.greatest(0.03 * F.greatest(cw, ch), F.lit(6.0 * unit))
-    inner_h, inner_v = th & (my > F.col("cy0") + edge) & (my < F.col("cy1") - edge), tv & (mx > F.col("cx0") + edge) & (mx < F.col("cx1") - edge)
-    large = (cw >= 10 * unit) & (ch >= 10 * unit)
-    near = lambda a, b: F.abs(a - F.col(b)) <= 2 * unit
-    cell, open_rect = rect & ~th & ~tv & (area < 0.5 * cw * ch), rect & F.col("stroke") & ~F.col("fill")
-    some = lambda c, v: F.collect_list(F.when(c, v))
-    line = lambda x, n: F.struct(x.alias("x"), n.alias("len"))
-    n = lambda c: F.count_if(c)
-    f = p.groupBy(*KEYS, "cluster", "cx0", "cy0", "cx1", "cy1").agg(
-        F.count("*").alias("n"), n(th).alias("hlines"), n(~th & tv).alias("vlines"), n(rect & F.col("stroke")).alias("rects"), n(open_rect).alias("open_rects"), n(F.col("n_curves") > 0).alias("curved"), n(F.col("run") >= 3).alias("glyphs"),
-        some(th & (w >= 0.5 * cw), my).alias("_ys"), some(~th & tv & (h >= 0.5 * ch), mx).alias("_xs"), some(open_rect, x0).alias("_rx"), some(open_rect, y0).alias("_ry"), some(cell, x0).alias("_cx"), some(cell, y0).alias("_cy"),
-        some(inner_h, line(my, w)).alias("_yi"), some(inner_v, line(mx, h)).alias("_xi"), F.max("seg_rows").alias("_sr"), F.max("seg_cols").alias("_sc"),
-        F.sum(F.when(F.col("fill") & ~th & ~tv, area).otherwise(0.0)).alias("_fill"), F.sum(F.when(open_rect, area).otherwise(0.0)).alias("_open"), F.sum(F.when(cell, area).otherwise(0.0)).alias("_cell"),
-        F.bool_or(rect & F.col("stroke") & large & (area >= 0.85 * cw * ch)).alias("_frame"),
-        *(F.bool_or(c).alias(k) for k, c in (("_t", th & (w >= 0.9 * cw) & near(y0, "cy0")), ("_b", th & (w >= 0.9 * cw) & near(y1, "cy1")), ("_l", tv & (h >= 0.9 * ch) & near(x0, "cx0")), ("_r2", tv & (h >= 0.9 * ch) & near(x1, "cx1")))),
-    )
-    all_of = cw * ch
-    share = lambda a: F.when(all_of > 0, F.least(F.lit(1.0), F.col(a) / all_of)).otherwise(0.0)
-    more = lambda a: F.greatest(F.lit(0), F.coalesce(F.col(a), F.lit(0)) - 2)
-    out = whole.join(
-        f.select(
-            *KEYS, "cluster", "n", "hlines", "vlines", "rects", "open_rects", "curved", "glyphs", _distinct(F.col("_ys"), unit).alias("rows"), _distinct(F.col("_xs"), unit).alias("cols"),
-            _distinct(F.col("_rx"), unit).alias("rect_cols"), _distinct(F.col("_ry"), unit).alias("rect_rows"), F.greatest(_covered(F.col("_yi"), cw, unit), more("_sr")).alias("rows_in"), F.greatest(_covered(F.col("_xi"), ch, unit), more("_sc")).alias("cols_in"),
-            _shared(F.col("_cy"), unit).alias("cell_rows"), _shared(F.col("_cx"), unit).alias("cell_cols"), share("_cell").alias("cell_cover"), share("_fill").alias("filled"), share("_open").alias("rect_cover"),
-            (F.col("_frame") | (F.col("_t") & F.col("_b") & F.col("_l") & F.col("_r2") & large)).alias("framed"),
-        ), [*KEYS, "cluster"], "left",
-    )
-    return out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("w", cw).withColumn("h", ch)
+
+    def run(t: pa.Table) -> pa.Table:
+        t, page = boxes.in_order(t, *KEYS, "cluster", "ord")
+        _, firsts, k = np.unique(page, return_index=True, return_inverse=True)
+        return _evidence(t, firsts, k, np.asarray(t["run"]), unit)
+
+    given = paths.join(of, [*KEYS, "ord"]).join(runs, [*KEYS, "ord"], "left")
+    return boxes.by_page(given.select(*_shapes(unit), F.col("cluster").cast("long").alias("cluster"), F.coalesce("run_length", F.lit(1)).cast("long").alias("run")), KEYS, run, _EVIDENCE)
+
+
+def cluster_features(paths: DataFrame, page_area: float, unit: float = 1.0, dealt: bool = False) -> DataFrame:
+    """G7, G10 and K2's evidence in one pass over each page."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t, page = boxes.in_order(t, *KEYS, "ord")
+        box, letters, runs = [np.asarray(t[c]) for c in _BOX], np.flatnonzero(t["letter"].combine_chunks().to_numpy(zero_copy_only=False)), np.ones(len(t), np.int64)
+        runs[letters] = chains(*(v[letters] for v in box), page[letters])
+        firsts, k = np.unique(_roots(t, page, page_area, unit), return_inverse=True)
+        return _evidence(t, firsts, k, runs, unit)
+
+    return boxes.by_page(paths.select(*_shapes(unit), _alone(), F.coalesce(glyph_like(unit), F.lit(False)).alias("letter")), KEYS, run, _EVIDENCE, dealt)
 
 
 def kinds(f: DataFrame, unit: float = 1.0) -> DataFrame:
