@@ -7,15 +7,17 @@ DataFrame code, and pages of all documents spread over all tasks by that key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import r1
-from pagewright.operators import layout, vectors
+from pagewright.operators import boxes, layout, vectors
 from pagewright.operators.grouped import merged_strips
 
 KEYS = layout.KEYS
@@ -26,27 +28,30 @@ _TYPES = {"ord": "long", "px_w": "long", "px_h": "long", "obj": "long", "parts":
 def merge_images(images: DataFrame) -> DataFrame:
     """Images of a page, strips of one picture merged: (keys, image_idx, attributes, parts, pieces: objects drawn)."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.sort_by("ord").to_pylist()
+    def merged(rows: list[dict]) -> Iterator[dict]:
         given = []
         for k, r in enumerate(rows):
             free = r["upright"] and not r["offpage"] and not r["hidden"]
             given.append({"image_idx": k, "px_w": r["px_w"], "px_h": r["px_h"], "mask": (r["mask"], r["annot"]) if free else k, "parts": 1, "members": [k]} | {c: r[c] * 10 for c in ("x0", "y0", "x1", "y1")})
-        out = []
         for k, g in enumerate(merged_strips(given)):
             first, of = rows[g["members"][0]], [rows[m] for m in g["members"]]
             objs = [x["obj"] for x in of if x["obj"]]
-            out.append(
+            yield (
                 first | {c: g[c] / 10 for c in ("x0", "y0", "x1", "y1")} | {"image_idx": k, "px_w": g["px_w"], "px_h": g["px_h"], "parts": g["parts"], "pieces": [x["obj"] for x in of]}
                 | {c: min(x[c] for x in of) for c in ("dpi_x", "dpi_y", "ord")} | {c: any(x[c] for x in of) for c in ("inline", "clipped")} | {"obj": min(objs, default=0)}
             )
+
+    def run(t: pa.Table) -> pa.Table:
+        t, page = boxes.in_order(t, *KEYS, "ord")
+        rows, ends = t.to_pylist(), np.searchsorted(page, np.arange(page[-1] + 2))
+        out = [r for a, b in zip(ends, ends[1:]) for r in merged(rows[a:b])]
         kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
         cols = {c: pa.array([r[c] for r in out], kinds[_TYPES.get(c, "boolean")]) for c in [*_IMAGE, "image_idx", "parts"]}
-        return pa.table({k: pa.array([t[k][0].as_py()] * len(out), pa.int64()) for k in KEYS} | cols | {"pieces": pa.array([r["pieces"] for r in out], pa.list_(pa.int64()))})
+        return pa.table({k: pa.array([r[k] for r in out], pa.int64()) for k in KEYS} | cols | {"pieces": pa.array([r["pieces"] for r in out], pa.list_(pa.int64()))})
 
     schema = ", ".join(["doc_id long", "page_n long", *(f"{c} {_TYPES.get(c, 'boolean')}" for c in [*_IMAGE, "image_idx", "parts"]), "pieces array<long>"])
-    cols = [*(F.col(k).cast("long") for k in KEYS), *(F.coalesce(F.col(c).cast(_TYPES.get(c, "boolean")), F.lit(0 if c in _TYPES else False).cast(_TYPES.get(c, "boolean"))).alias(c) for c in _IMAGE)]
-    return images.select(*cols).groupBy(*KEYS).applyInArrow(run, schema)
+    cols = [*(F.col(k).cast("long").alias(k) for k in KEYS), *(F.coalesce(F.col(c).cast(_TYPES.get(c, "boolean")), F.lit(0 if c in _TYPES else False).cast(_TYPES.get(c, "boolean"))).alias(c) for c in _IMAGE)]
+    return boxes.by_page(images.select(*cols), KEYS, run, schema)
 
 
 @dataclass

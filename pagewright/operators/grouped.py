@@ -159,11 +159,13 @@ def strip_merge(images: DataFrame) -> DataFrame:
     """images -> merged images with the number of their parts."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = merged_strips([r | {"parts": 1} for r in t.sort_by("image_idx").to_pylist()])
+        t, page = boxes.in_order(t, "page_n", "image_idx")
+        given, ends = [r | {"parts": 1} for r in t.to_pylist()], np.searchsorted(page, np.arange(page[-1] + 2))
+        rows = [r for a, b in zip(ends, ends[1:]) for r in merged_strips(given[a:b])]
         return pa.table({n: pa.array([r[n] for r in rows], pa.bool_() if n == "mask" else pa.int64()) for n in [*_STRIP, "parts"]})
 
     cols = images.selectExpr(*(f"CAST({c} AS {'BOOLEAN' if c == 'mask' else 'BIGINT'}) {c}" for c in _STRIP))
-    return cols.groupBy("page_n").applyInArrow(run, ", ".join(f"{c} {'boolean' if c == 'mask' else 'long'}" for c in _STRIP) + ", parts long")
+    return boxes.by_page(cols, ["page_n"], run, ", ".join(f"{c} {'boolean' if c == 'mask' else 'long'}" for c in _STRIP) + ", parts long")
 
 
 def ink_boxes(ink: np.ndarray) -> list[tuple[int, int, int, int, int]]:

@@ -67,3 +67,11 @@ def test_pages_come_whole():
         batches = [pa.RecordBatch.from_pydict({"p": pages[k : k + size]}) for k in range(0, 10, size)]
         got = [t["p"].to_pylist() for t in boxes.whole_pages(iter(batches), "p")]
         assert sum(got, []) == pages and all(not set(a) & set(b) for k, a in enumerate(got) for b in got[k + 1 :]) and all(got)
+
+
+def test_strips_of_many_pages_in_one_call(spark):
+    rows = [(p, k, 100, 100 + 50 * k, 200, 150 + 50 * k, 8, 4, False) for p in range(300) for k in range(1 + p % 3)]
+    images = spark.createDataFrame(rows, "page_n long, image_idx long, x0 long, y0 long, x1 long, y1 long, px_w long, px_h long, mask boolean")
+    merged = grouped.strip_merge(images)
+    assert "FlatMapGroups" not in merged._jdf.queryExecution().toString()  # a page isn't a call of its own
+    assert sorted((r.page_n, r.parts, r.y1) for r in merged.collect()) == [(p, 1 + p % 3, 150 + 50 * (p % 3)) for p in range(300)]
