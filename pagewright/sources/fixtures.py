@@ -6,6 +6,7 @@ for Spark (DataFrames by name) and by their names for DuckDB.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("lineitem", "part", "customer", "documents", "embeddings", "labels", "events", "pages", "orders", "supplier", "nation", "region", "benchmark", "conversations")
@@ -25,6 +26,29 @@ _GLYPHS = """SELECT doc_id AS page_n, i-1 AS ord, c, c IN (' ',chr(10),chr(9),ch
 _GLYPHS_SPARK = _GLYPHS + "(SELECT doc_id, p+1 AS i, c FROM (SELECT /*+ REPARTITION(64, doc_id) */ doc_id, text FROM <documents> WHERE length(text) > 0) d LATERAL VIEW posexplode(split(text,'')) e AS p, c) t"
 _GLYPHS_DUCK = _GLYPHS + "(SELECT doc_id, i, substr(text,i,1) AS c FROM (SELECT doc_id,text,unnest(range(1,length(text)+1)) AS i FROM <documents>) d) t"
 
+
+
+def glyph_arrays(page_n: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """The view of glyphs, as arrays over some pages: their numbers, characters and how many each has."""
+    page = np.repeat(np.arange(len(page_n)), sizes)
+    doc, i = page_n[page], np.arange(1, len(page) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    mapped = ~((np.fmod(doc, 13) == 5) & (i % 3 != 0))
+    ux = 360 + (i - 1) % 80 * 62 + np.where(np.fmod(doc * 7 + i * 13, 17) == 0, 18, 0)
+    uy = 360 + (i - 1) // 80 * 140 + np.where(np.fmod(doc + i, 29) == 0, 60, 0)
+    space = np.isin(codes, (32, 10, 9, 13)) & mapped
+    same = {"size": np.int64(100), "dx": np.float64(1), "dy": np.float64(0), "annot": np.bool_(False)}
+    return same | {
+        "page": page, "ord": i - 1, "codes": codes, "is_space": space, "mapped": mapped, "invisible": np.fmod(doc, 10) == 3, "white": (i % 50 < 3) & (np.fmod(doc, 7) == 0),
+        "ux": ux, "uy": uy, "ex": ux + 60, "ey": uy, "x0": ux, "y0": uy - 80, "x1": ux + 60, "y1": uy + 20,
+    }
+
+
+def pages_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_n, text): pages of the view of glyphs, dealt to all cores whatever the files."""
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS BIGINT) AS page_n", "text").where("length(text) > 0").repartition(n, "page_n")
+
+
 _IMAGES = """SELECT p_partkey AS page_n, 0 AS image_idx, 300+(p_size*97)%2000 AS x0, 300+(p_partkey*61)%3000 AS y0, 300+(p_size*97)%2000+10+(p_partkey*89)%3500 AS x1, 300+(p_partkey*61)%3000+10+(p_size*131)%3000 AS y1,
  2+(p_partkey*17)%900 AS px_w, 2+(p_size*23)%900 AS px_h, p_size%5=0 AS mask, p_partkey%23=0 AS offpage FROM <part>"""
 _STRIPS = """SELECT page_n, image_idx, x0, y0+image_idx*h+CASE WHEN (page_n+image_idx)%7=0 THEN 15 ELSE 0 END AS y0, x0+w AS x1, y0+(image_idx+1)*h+CASE WHEN (page_n+image_idx)%7=0 THEN 15 ELSE 0 END AS y1, 100 AS px_w, 10 AS px_h, mask

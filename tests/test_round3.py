@@ -2,8 +2,8 @@
 
 import numpy as np
 import pyarrow as pa
-from pagewright.operators import boxes, grouped, layout
-from pagewright.sources import pdf
+from pagewright.operators import boxes, grouped, layout, runs
+from pagewright.sources import fixtures, pdf
 
 
 def test_sides_of_rectangles_are_placed_whole(spark):
@@ -96,3 +96,27 @@ def test_rows_of_a_page_come_back_from_their_packs(spark, monkeypatch):
     names = pdf.SCHEMA.names
     one, two = (sorted(map(repr, df.select(*names).collect())) for df in (pdf.scan(docs), pdf.paged(docs)))
     assert one == two and len(pdf.scan(docs, "path").collect()) == docs.count() - 1
+
+
+def test_texts_go_without_a_row_for_each_glyph(spark):
+    from pagewright.plans import pages
+
+    d = "/root/testdata/sf0.001"
+    for name in ("words", "word_lines", "text_lines", "page_text", "ocr_features", "ocr_regions", "ocr_reasons", "page_map", "map_flag_counts", "unseen_counts"):
+        assert "posexplode" not in getattr(pages, name)(spark, d)._jdf.queryExecution().toString(), name
+    by_rows = layout.text_lines(layout.words(fixtures.primitives(spark, d, "glyphs").where("page_n < 40"))).select(*pages._LINE)
+    assert sorted(map(repr, by_rows.collect())) == sorted(map(repr, pages.text_lines(spark, d).where("page_n < 40").collect()))
+
+
+def test_words_of_slices(monkeypatch):
+    monkeypatch.setattr(runs, "SLICE", 4)
+    b = pa.RecordBatch.from_pydict({"page_n": [1, 2, 3, 4], "text": ["a bé", None, "😀x y", "z"]})
+    got = []
+    for part, codes, sizes in runs._slices(b):
+        g = fixtures.glyph_arrays(np.asarray(part.column("page_n")), codes, sizes)
+        w = runs.words(g)
+        line, region, heads = runs.lines(w)
+        got += zip(part.column("page_n").take(pa.array(w["page"])).to_pylist(), w["word"].tolist(), runs.strings(runs.shown(g)[w["ink"]], w["at"]).to_pylist(), line.tolist())
+        got += runs.line_texts(runs.shown(g), w, heads).to_pylist()
+    assert [x[:3] for x in got if isinstance(x, tuple)] == [(1, 1, "a"), (1, 2, "bé"), (3, 1, "😀x"), (3, 2, "y"), (4, 1, "z")]
+    assert [x for x in got if isinstance(x, str)] == ["a bé", "😀x y", "z"]
